@@ -12,7 +12,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-NOT_WORD = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def icontains(column: Column, needle: Column) -> Column:
@@ -38,7 +38,7 @@ def parse_int(column: Column) -> Column:
 
 def words(column: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(column), NOT_WORD), lambda word: word != "")
+    return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
 
 
 def grams(column: Column, length: int) -> Column:

@@ -53,11 +53,15 @@ def relevance_topk(
     vocabulary = asked.select("word").distinct()
     if broadcast is None:
         broadcast = is_small(asked)
-    occurrences = tokens.select("_doc", "_length", F.explode("_words").alias("word"))
+    # explode_outer: a plain explode would first test the size of the word list,
+    # and so split every text twice. The join drops the null of an empty text.
+    occurrences = tokens.select("_doc", "_length", F.explode_outer("_words").alias("word"))
     if broadcast:
         occurrences = occurrences.join(F.broadcast(vocabulary), "word", "left_semi")
     counted = occurrences.groupBy("_doc", "word", "_length").agg(F.count("*").alias("tf"))
-    frequency = counted.groupBy("word").agg(F.count("*").alias("df"))
+    # Every row counts; naming tf keeps this plan equal to the one scored below,
+    # so that the texts are read and shuffled once for both.
+    frequency = counted.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
     weight = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(frequency, "word").select("query_id", "word", weight.alias("weight"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.text import parse_int, strip
 
@@ -26,8 +27,28 @@ def read_filters(log: DataFrame, column: str = "filters") -> DataFrame:
     )
 
 
-def _has(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+def _is_whole(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.IntegralType)
+
+
+def _broken_rules(requests: DataFrame) -> dict[str, Column]:
+    """Per field, whether it breaks its rule (null: it does not)."""
+    query = strip(F.col("query"))
+    bad_query = ~F.length(query).between(*QUERY_LENGTH) | F.contains(query, F.lit("\x00"))
+    rules = {"query": F.col("query").isNull() | bad_query}
+    for name in TEXT_FIELDS:
+        if name in requests.columns:
+            bad = F.contains(F.col(name), F.lit("\x00"))
+            if name == "anatomical_area_name":
+                bad = bad | F.length(strip(F.col(name))).between(1, AREA_NAME_LENGTH - 1)
+            rules[name] = bad
+    for name in NUMBER_FIELDS:
+        if name in requests.columns and not _is_whole(requests, name):
+            text = F.col(name).cast("string")
+            rules[name] = (strip(text) != "") & parse_int(text).isNull()
+    if "ordering" in requests.columns:
+        rules["ordering"] = F.size("ordering") > ORDERING_ITEMS
+    return rules
 
 
 def check_requests(requests: DataFrame) -> DataFrame:
@@ -37,24 +58,8 @@ def check_requests(requests: DataFrame) -> DataFrame:
     name at least 2 (blank asks for nothing), bounds must be whole numbers, and
     an order has at most two items. Fields the table lacks are not checked.
     """
-    rules: list[Column] = []
-    query = strip(F.col("query"))
-    fits = F.length(query).between(*QUERY_LENGTH) & ~F.contains(query, F.lit("\x00"))
-    rules.append(F.when(~F.coalesce(fits, F.lit(False)), F.lit("query")))
-    for name in TEXT_FIELDS:
-        if _has(requests, name):
-            text = strip(F.col(name))
-            bad = F.contains(text, F.lit("\x00"))
-            if name == "anatomical_area_name":
-                bad = bad | F.length(text).between(1, AREA_NAME_LENGTH - 1)
-            rules.append(F.when(bad, F.lit(name)))
-    for name in NUMBER_FIELDS:
-        if _has(requests, name):
-            given = strip(F.col(name).cast("string")) != ""
-            rules.append(F.when(given & parse_int(F.col(name).cast("string")).isNull(), F.lit(name)))
-    if _has(requests, "ordering"):
-        rules.append(F.when(F.size("ordering") > ORDERING_ITEMS, F.lit("ordering")))
-    return requests.withColumn("errors", F.array_compact(F.array(*rules)))
+    named = [F.when(broken, F.lit(name)) for name, broken in _broken_rules(requests).items()]
+    return requests.withColumn("errors", F.array_compact(F.array(*named)))
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
@@ -63,17 +68,21 @@ def valid_requests(requests: DataFrame) -> DataFrame:
     The query and texts are trimmed, blanks are null, bounds are whole numbers,
     and a field the table lacks is null, so equal requests have equal rows.
     """
-    checked = check_requests(requests).where(F.size("errors") == 0)
-    texts = {
-        name: F.nullif(strip(F.col(name)), F.lit("")) if _has(requests, name) else F.lit(None).cast("string")
-        for name in TEXT_FIELDS
-    }
-    numbers = {
-        name: parse_int(F.col(name).cast("string")) if _has(requests, name) else F.lit(None).cast("bigint")
-        for name in NUMBER_FIELDS
-    }
-    normal = checked.withColumns({"query": strip(F.col("query")), **texts, **numbers})
-    return normal.drop("errors")
+    kept = requests
+    for broken in _broken_rules(requests).values():
+        kept = kept.where(~F.coalesce(broken, F.lit(False)))
+    normal = {"query": strip(F.col("query"))}
+    for name in TEXT_FIELDS:
+        given = name in requests.columns
+        normal[name] = F.nullif(strip(F.col(name)), F.lit("")) if given else F.lit(None).cast("string")
+    for name in NUMBER_FIELDS:
+        if name not in requests.columns:
+            normal[name] = F.lit(None).cast("bigint")
+        elif _is_whole(requests, name):
+            normal[name] = F.col(name).cast("bigint")
+        else:
+            normal[name] = parse_int(F.col(name).cast("string"))
+    return kept.withColumns(normal)
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:

@@ -443,7 +443,7 @@ def _raw_requests(c: Catalog) -> DataFrame:
         .when(turn == 4, F.lit(None).cast("string"))
         .otherwise(text)
     )
-    k = F.get_json_object("filters", "$.k")
+    k = F.col("k")
     least = (
         F.when(turn == 5, F.concat(k, F.lit(".0")))
         .when(turn == 6, F.concat(k, F.lit(".5")))
@@ -452,7 +452,8 @@ def _raw_requests(c: Catalog) -> DataFrame:
         .otherwise(F.lit(""))
     )
     area = F.when(F.col("id") % 3 == 0, F.lit("A")).when(F.col("id") % 3 == 1, F.lit(" ASIA "))
-    return c.user_search_queries.select(
+    log = c.user_search_queries.withColumn("k", F.get_json_object("filters", "$.k"))
+    return log.select(
         F.col("id").alias("request_id"),
         query.alias("query"),
         area.alias("anatomical_area_name"),
@@ -494,7 +495,7 @@ def batch_search_shuffled(c: Catalog) -> DataFrame:
 
 
 def _listed_requests(c: Catalog) -> DataFrame:
-    k = F.get_json_object("filters", "$.k").cast("int")
+    k = F.col("id") % 100
     return c.user_search_queries.select(
         F.col("id").alias("request_id"),
         F.col("query_text").alias("query"),
