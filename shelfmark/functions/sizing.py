@@ -1,10 +1,12 @@
-"""Counting a table before it is sent to every executor."""
+"""Counting a table before it is sent to every executor, and fixing it in between."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import ensure_checkpoint_dir
+
 SMALL_ROWS = 100_000
 SMALL_BYTES = 32 * 1024 * 1024
 
@@ -25,3 +27,22 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) ->
         .first()
     )
     return found["n"] <= rows and found["size"] <= size
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast when it is small; otherwise as it is.
+
+    For tables that are cheap to count. The unmarked table joins by shuffle.
+    """
+    return F.broadcast(df) if is_small(df) else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder.
+
+    For a result that several joins of one plan read, such as the hits of a
+    search: they then share one computation and one set of rows, and its size
+    can be counted for little.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

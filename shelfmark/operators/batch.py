@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
-from shelfmark.functions.sizing import SMALL_BYTES, SMALL_ROWS, is_small
+from shelfmark.functions.sizing import SMALL_BYTES, SMALL_ROWS, sent_if_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.functions.text import grams, split_list
 from shelfmark.operators.requests import FIELDS, valid_requests
 from shelfmark.schemas import RELATIONS
-from shelfmark.session import ensure_checkpoint_dir
 
 GRAM_LENGTHS = (2, 3, 4)
 
@@ -124,10 +123,8 @@ def text_matches(
         return candidates.where(holds).select("pattern", *_MATCHED)
     exploded = texts.select("id", F.explode(_text_grams(lengths)).alias("gram"))
     by_text = exploded.groupBy("gram").agg(F.count("*").alias("n"))
-    filed = _filed(choices, by_text).checkpoint()
-    in_use = filed.select("gram").distinct()
-    if is_small(in_use):
-        exploded = exploded.join(F.broadcast(in_use), "gram", "left_semi")
+    filed = settled(_filed(choices, by_text))
+    exploded = exploded.join(sent_if_small(filed.select("gram").distinct()), "gram", "left_semi")
     candidates = spread_join(exploded, filed, "gram", spread="id", slots=slots).select("pattern", "id")
     return candidates.join(texts, "id").where(holds).select("pattern", *_MATCHED)
 
@@ -187,8 +184,13 @@ def batch_search(
     ``dataset_id``, one row per hit; :func:`with_search_key` leads from a
     request to its key. Equal to running a single search per request.
     """
-    ensure_checkpoint_dir(requests.sparkSession)
-    searches = distinct_searches(requests).checkpoint()
+    return _hits(catalog, requests, small_rows, small_bytes, slots)[0]
+
+
+def _hits(
+    catalog: Catalog, requests: DataFrame, small_rows: int, small_bytes: int, slots: int
+) -> tuple[DataFrame, _Load]:
+    searches = settled(distinct_searches(requests))
     load = _Load.of(searches, small_rows, small_bytes)
     patterns = searches.select("pattern").distinct()
     matches = text_matches(
@@ -204,7 +206,7 @@ def batch_search(
     for field, relation in RELATIONS.items():
         if f"{field}_list" in load.fields:
             hits = _with_any_link(hits, catalog.table(relation.bridge), relation.key, f"_{field}")
-    return hits.select("search_key", "pattern", *FIELDS, F.col("id").alias("dataset_id"))
+    return hits.select("search_key", "pattern", *FIELDS, F.col("id").alias("dataset_id")), load
 
 
 def _with_any_link(hits: DataFrame, bridge: DataFrame, key: str, wanted: str) -> DataFrame:
@@ -217,10 +219,20 @@ def _with_any_link(hits: DataFrame, bridge: DataFrame, key: str, wanted: str) ->
     return hits.where(F.col(wanted).isNull() | linked.exists())
 
 
-def batch_counts(catalog: Catalog, requests: DataFrame, id_column: str = "request_id", **how) -> DataFrame:
+def batch_counts(
+    catalog: Catalog,
+    requests: DataFrame,
+    id_column: str = "request_id",
+    small_rows: int = SMALL_ROWS,
+    small_bytes: int = SMALL_BYTES,
+    slots: int = SLOTS,
+) -> DataFrame:
     """``(request id, count)`` for every valid request, 0 where nothing is found."""
-    counts = batch_search(catalog, requests, **how).groupBy("search_key").agg(F.count("*").alias("count"))
+    hits, load = _hits(catalog, requests, small_rows, small_bytes, slots)
+    counts = hits.groupBy("search_key").agg(F.count("*").alias("count"))
     asked = with_search_key(requests).select(id_column, "search_key")
-    return spread_join(asked, counts, "search_key", spread=id_column, how="left").select(
-        id_column, F.coalesce("count", F.lit(0)).alias("count")
-    )
+    if load.small:
+        counted = asked.join(F.broadcast(counts), "search_key", "left")
+    else:
+        counted = spread_join(asked, counts, "search_key", spread=id_column, how="left", slots=slots)
+    return counted.select(id_column, F.coalesce("count", F.lit(0)).alias("count"))

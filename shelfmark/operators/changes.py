@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.catalog import Catalog
+from shelfmark.functions.sizing import sent_if_small, settled
 from shelfmark.functions.times import expiry, moment
 from shelfmark.operators.quality import blocked_deletes
 from shelfmark.schemas import ForeignKey
@@ -50,13 +51,14 @@ def upsert(
     ``changes`` has the columns of ``base`` and those of ``order``; its last row
     per key wins. Every saved row is stamped with ``updated_at = now``; one
     without ``created_at`` keeps the old one, or gets ``now`` if it is new.
-    Rows not saved pass through a single anti-join, which needs no shuffle of
-    ``base`` while the changed keys are small enough to broadcast.
+    The saved rows are computed once. Rows not saved pass through one anti-join,
+    which shuffles ``base`` only if the saved keys are too many to send to it.
     """
-    saved = latest(changes, key, order).select(*base.columns)
-    untouched = base.join(saved.select(key), key, "left_anti").select(*base.columns)
+    saved = settled(latest(changes, key, order).select(*base.columns))
+    keys = sent_if_small(saved.select(key))
+    untouched = base.join(keys, key, "left_anti").select(*base.columns)
     if "created_at" in base.columns:
-        before = base.select(key, F.col("created_at").alias("_before"))
+        before = base.select(key, F.col("created_at").alias("_before")).join(keys, key, "left_semi")
         created = F.coalesce(F.col("created_at"), F.col("_before"), moment(now))
         saved = saved.join(before, key, "left").withColumn("created_at", created)
     if "updated_at" in base.columns:
@@ -75,16 +77,18 @@ def delete(
     Rows that a restricting reference still uses are not deleted; see
     :func:`~shelfmark.operators.quality.blocked_deletes` for which and why.
     Cascades are followed to the end, and references that allow it become null.
-    Each consequence is one anti-join (or left join) against the deleted keys.
+    Each consequence is one anti-join (or left join) against the deleted keys,
+    which are computed once per table.
     """
     gone = keys.select("id").distinct()
     if any(fk.parent == table and fk.on_delete == "restrict" and fk.child in catalog for fk in foreign_keys):
         refused = blocked_deletes(catalog, table, gone, foreign_keys).select("id")
         gone = gone.join(refused, "id", "left_anti")
-    return _remove(catalog, table, gone, foreign_keys)
+    return _remove(catalog, table, settled(gone), foreign_keys)
 
 
 def _remove(catalog: Catalog, table: str, gone: DataFrame, foreign_keys: Sequence[ForeignKey]) -> Catalog:
+    gone = sent_if_small(gone)
     rows = catalog.table(table)
     result = catalog.replace(**{table: rows.join(gone, "id", "left_anti").select(*rows.columns)})
     for fk in foreign_keys:
@@ -100,7 +104,7 @@ def _remove(catalog: Catalog, table: str, gone: DataFrame, foreign_keys: Sequenc
         elif fk.on_delete == "cascade":
             if "id" in child.columns:
                 lost = child.join(hit, fk.column, "left_semi").select("id").distinct()
-                result = _remove(result, fk.child, lost, foreign_keys)
+                result = _remove(result, fk.child, settled(lost), foreign_keys)
             else:
                 kept = child.join(hit, fk.column, "left_anti").select(*child.columns)
                 result = result.replace(**{fk.child: kept})

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
+from shelfmark.functions.sizing import settled
 from shelfmark.functions.times import moment
 from shelfmark.operators.changes import with_expiry
 from shelfmark.operators.numbering import assign_ids
 from shelfmark.schemas import SCHEMAS
-from shelfmark.session import ensure_checkpoint_dir
 
 ARCHIVE_ROOT = "/collections"
 
@@ -44,13 +44,14 @@ def build_collections(
     Ids follow those in use, the archive path is ``<root>/<id>``, the size is
     that of the datasets collected, and the collection expires after one day.
     """
-    ensure_checkpoint_dir(hits.sparkSession)
     score = F.max("relevance_score") if "relevance_score" in hits.columns else F.lit(None)
-    picked = hits.groupBy("query_id", "dataset_id").agg(score.cast("decimal(5,4)").alias("relevance_score"))
+    picked = settled(
+        hits.groupBy("query_id", "dataset_id").agg(score.cast("decimal(5,4)").alias("relevance_score"))
+    )
     asked = owners.select("query_id", "user_id").where(F.col("user_id").isNotNull()).distinct()
     wanted = asked.join(picked.select("query_id").distinct(), "query_id", "left_semi")
     # Fresh ids must not change between their two uses, headers and members.
-    headers = assign_ids(wanted, catalog.user_dataset_collections).checkpoint()
+    headers = settled(assign_ids(wanted, catalog.user_dataset_collections))
     members = picked.join(
         headers.select("query_id", F.col("id").alias("collection_id")), "query_id"
     ).select(*SCHEMAS["collection_datasets"].names)

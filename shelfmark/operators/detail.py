@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
+from shelfmark.functions.sizing import sent_if_small, settled
+from shelfmark.functions.tables import stacked
 from shelfmark.functions.times import iso_utc
 from shelfmark.schemas import RELATIONS, ManyToMany
 
@@ -52,11 +54,18 @@ def detail_view(catalog: Catalog, datasets: DataFrame | None = None) -> DataFram
     """One row per dataset with ``{id, name}`` lists; no items is ``[]``, not null.
 
     Each relation is aggregated before it is joined, so the three fan-outs never
-    multiply. Given ``datasets`` (a search result, say), links of other datasets
-    are dropped before they are shuffled.
+    multiply. Given ``datasets`` (a search result, say), they are computed once,
+    and links of other datasets are dropped: in the scan if the ids are few
+    enough to send there, else where the links are shuffled to be grouped.
     """
-    rows = catalog.dataset if datasets is None else datasets
-    only = None if datasets is None else datasets.select(F.col("id").alias("dataset_id"))
+    rows, only = catalog.dataset, None
+    if datasets is not None:
+        rows = settled(datasets)
+        only = sent_if_small(rows.select(F.col("id").alias("dataset_id")))
+    return _with_details(catalog, rows, only)
+
+
+def _with_details(catalog: Catalog, rows: DataFrame, only: DataFrame | None) -> DataFrame:
     areas = catalog.anatomical_area.select(
         F.col("id").alias("anatomical_area"), F.col("name").alias("anatomical_area_name")
     )
@@ -87,6 +96,22 @@ def detail_of(catalog: Catalog, dataset_id: int) -> DataFrame:
     return detail_view(catalog.replace(**tables))
 
 
+def lookup_rows(catalog: Catalog, table: str) -> DataFrame:
+    """All fields of a lookup table."""
+    return catalog.table(table).select("id", "name")
+
+
+def display_names(catalog: Catalog) -> DataFrame:
+    """``(table_name, id, label)``: what each catalog row is shown as."""
+    shown = {"anatomical_area": "name", "modality": "name", "ml_task": "name", "tag": "name", "dataset": "title"}
+    return stacked(
+        [
+            catalog.table(table).select(F.lit(table).alias("table_name"), "id", F.col(column).alias("label"))
+            for table, column in shown.items()
+        ]
+    )
+
+
 def labels(items: Column) -> Column:
     """A nested list as one string, ``1:CT,4:MRI``."""
     return F.concat_ws(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
+from shelfmark.functions.sizing import sent_if_small, settled
+from shelfmark.functions.tables import stacked
 from shelfmark.schemas import RELATIONS
 
 _SCHEMA = ("facet", "option", "n_datasets", "low", "high")
@@ -38,7 +38,8 @@ def facets(
     """
     datasets = catalog.dataset
     if ids is not None:
-        datasets = datasets.join(ids.select("id"), "id", "left_semi")
+        ids = sent_if_small(settled(ids.select("id")))
+        datasets = datasets.join(ids, "id", "left_semi")
     per_area = datasets.groupBy("anatomical_area_id").agg(
         F.count("*").alias("n"),
         *(
@@ -57,7 +58,7 @@ def facets(
     for field, relation in RELATIONS.items():
         bridge = catalog.table(relation.bridge)
         if ids is not None:
-            bridge = bridge.join(ids.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
+            bridge = bridge.join(ids, bridge["dataset_id"] == ids["id"], "left_semi")
         used = F.count("*") if pairs_unique else F.count_distinct("dataset_id")
         counts = bridge.groupBy(F.col(relation.key).alias("id")).agg(used.alias("n"))
         parts.append(_options(field, catalog.table(relation.target), counts))
@@ -74,4 +75,4 @@ def facets(
         )
     ).select(F.inline(F.array("record_count", "size")))
     parts.append(ranges.select(*_SCHEMA))
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts)

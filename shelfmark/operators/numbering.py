@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.session import ensure_checkpoint_dir
+from shelfmark.functions.sizing import settled
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its low 33 bits
 
@@ -19,21 +19,23 @@ def number_rows(df: DataFrame, column: str = "position") -> DataFrame:
     cannot change them), and one row per partition gives the offsets. Any
     distribution of the data is fine, a single hot value included.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    marked = df.withColumns(
-        {
-            "_part": F.spark_partition_id(),
-            "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)),
-        }
-    ).checkpoint()
+    marked = settled(
+        df.withColumns(
+            {
+                "_part": F.spark_partition_id(),
+                "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)),
+            }
+        )
+    )
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row per partition of df: the window's single task sees only these.
+    # One row per partition of df, so neither the window's single task nor the
+    # broadcast below grows with the rows.
     offsets = (
         marked.groupBy("_part")
         .agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
-    return marked.join(offsets, "_part").select(
+    return marked.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_offset") + F.col("_place")).cast("bigint").alias(column)
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.catalog import Catalog
+from shelfmark.functions.tables import stacked
 from shelfmark.schemas import ForeignKey
 
 
@@ -44,38 +45,48 @@ def without_duplicates(df: DataFrame, columns: Sequence[str], keep: str = "id")
     Rows in which one of ``columns`` is null are all kept.
     """
     others = [c for c in df.columns if c not in columns]
+    ranked = [keep, *(c for c in others if c != keep)] if keep in others else others
     whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-    first = F.min_by(F.struct(*others), keep) if keep in others else F.min(F.struct(*others))
-    kept = df.where(whole).groupBy(*columns).agg(first.alias("_rest")) if others else df.where(whole).distinct()
-    rest = [F.col("_rest")[c].alias(c) for c in others]
-    named = kept.select(*columns, *rest).select(*df.columns)
+    if not others:
+        return df.where(whole).distinct().unionByName(df.where(~whole))
+    kept = df.where(whole).groupBy(*columns).agg(F.min(F.struct(*ranked)).alias("_rest"))
+    named = kept.select(*columns, *(F.col("_rest")[c].alias(c) for c in others)).select(*df.columns)
     return named.unionByName(df.where(~whole))
 
 
-def missing(
-    df: DataFrame, columns: Sequence[str], table: str = "", key: Sequence[str] = ("id",)
+def row_faults(
+    df: DataFrame,
+    required: Sequence[str] = (),
+    limits: Mapping[str, int] | None = None,
+    table: str = "",
+    key: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """Rows without a required value, under ``required <column>``; one pass over ``df``."""
-    empty = F.array_compact(
-        F.array(*(F.when(F.col(c).isNull(), F.lit(f"required {c}")) for c in columns))
-    )
-    rows = df.select(F.explode(empty).alias("rule"), _key(key).alias("key"))
-    return rows.select(
+    """Rows without a required value or with a text over its limit.
+
+    The rules are named ``required <column>`` and ``length <column>``; all of
+    them are tested in one pass over ``df``.
+    """
+    tests = [F.when(F.col(c).isNull(), F.lit(f"required {c}")) for c in required]
+    tests += [F.when(F.length(c) > n, F.lit(f"length {c}")) for c, n in (limits or {}).items()]
+    # explode_outer, so that the tests are not run twice to see if any failed.
+    found = df.select(F.explode_outer(F.array_compact(F.array(*tests))).alias("rule"), _key(key).alias("key"))
+    return found.where(F.col("rule").isNotNull()).select(
         "rule", F.lit(table).alias("table_name"), "key", F.lit(1).cast("bigint").alias("n_rows")
     )
 
 
+def missing(
+    df: DataFrame, columns: Sequence[str], table: str = "", key: Sequence[str] = ("id",)
+) -> DataFrame:
+    """Rows without a required value."""
+    return row_faults(df, required=columns, table=table, key=key)
+
+
 def too_long(
     df: DataFrame, limits: Mapping[str, int], table: str = "", key: Sequence[str] = ("id",)
 ) -> DataFrame:
-    """Rows with a text over its limit, under ``length <column>``; one pass over ``df``."""
-    over = F.array_compact(
-        F.array(*(F.when(F.length(c) > n, F.lit(f"length {c}")) for c, n in limits.items()))
-    )
-    rows = df.select(F.explode(over).alias("rule"), _key(key).alias("key"))
-    return rows.select(
-        "rule", F.lit(table).alias("table_name"), "key", F.lit(1).cast("bigint").alias("n_rows")
-    )
+    """Rows with a text over its limit."""
+    return row_faults(df, limits=limits, table=table, key=key)
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, table: str = "") -> DataFrame:
@@ -111,13 +122,10 @@ def violations(
         if table in catalog
     ]
     reports += [
-        missing(catalog.table(table), columns, table, _row_key(catalog, table))
-        for table, columns in schemas.REQUIRED.items()
-        if table in catalog
-    ]
-    reports += [
-        too_long(catalog.table(table), limits, table, _row_key(catalog, table))
-        for table, limits in schemas.TEXT_LIMITS.items()
+        row_faults(
+            catalog.table(table), required, schemas.TEXT_LIMITS.get(table), table, _row_key(catalog, table)
+        )
+        for table, required in schemas.REQUIRED.items()
         if table in catalog
     ]
     reports += [
@@ -125,7 +133,7 @@ def violations(
         for fk in foreign_keys
         if fk.child in catalog and fk.parent in catalog
     ]
-    return reduce(DataFrame.unionByName, reports)
+    return stacked(reports)
 
 
 def blocked_deletes(
@@ -159,4 +167,4 @@ def blocked_deletes(
         return nothing.select(
             "id", F.lit("").alias("referrer"), F.lit(0).cast("bigint").alias("n_rows")
         )
-    return reduce(DataFrame.unionByName, reports)
+    return stacked(reports)

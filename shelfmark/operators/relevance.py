@@ -24,7 +24,7 @@ def relevance_topk(
     k: int = TOP,
     text_columns: Sequence[str] = ("title", "description"),
     id_column: str = "id",
-    broadcast: bool | None = None,
+    small: bool | None = None,
     slots: int = SLOTS,
 ) -> DataFrame:
     """``(query_id, <id>, score, relevance_score, rank)``: the best ``k`` per query.
@@ -34,10 +34,12 @@ def relevance_topk(
     tie and the id decides. ``relevance_score`` is the score relative to the
     query's best, at most 1, as DECIMAL(5,4).
 
-    The whole text of every document is read. Only words some query asks for
-    leave the scan: the query words are broadcast when counted small, and
-    otherwise joined with each word cut into ``slots`` pieces. Ranking keeps
-    ``k`` rows per query in every task before it shuffles.
+    The whole text of every document is read, once for the totals and once for
+    the words. Only words some query asks for leave the scan, if the list of
+    them is counted small. Queries are sent to every task if they are few
+    (``small``, counted when not given), and otherwise joined with each word
+    cut into ``slots`` pieces. Ranking keeps ``k`` rows per query in every task
+    before it shuffles.
     """
     text = F.concat_ws(" ", *text_columns)
     tokens = docs.select(F.col(id_column).alias("_doc"), words(text).alias("_words")).withColumn(
@@ -51,12 +53,12 @@ def relevance_topk(
         "query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word")
     )
     vocabulary = asked.select("word").distinct()
-    if broadcast is None:
-        broadcast = is_small(asked)
+    if small is None:
+        small = is_small(asked)
     # explode_outer: a plain explode would first test the size of the word list,
     # and so split every text twice. The join drops the null of an empty text.
     occurrences = tokens.select("_doc", "_length", F.explode_outer("_words").alias("word"))
-    if broadcast:
+    if small or is_small(vocabulary):
         occurrences = occurrences.join(F.broadcast(vocabulary), "word", "left_semi")
     counted = occurrences.groupBy("_doc", "word", "_length").agg(F.count("*").alias("tf"))
     # Every row counts; naming tf keeps this plan equal to the one scored below,
@@ -65,7 +67,7 @@ def relevance_topk(
 
     weight = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(frequency, "word").select("query_id", "word", weight.alias("weight"))
-    if broadcast:
+    if small:
         scored = counted.join(F.broadcast(weighted), "word")
     else:
         scored = spread_join(counted, weighted, "word", spread="_doc", slots=slots)

@@ -302,6 +302,16 @@ ORACLES: dict[str, str] = {
                'updated_at': strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ')}) AS VARCHAR) AS json
            FROM dataset d LEFT JOIN anatomical_area a ON a.id = anatomical_area_id""",
     ),
+    "shown_as": _sql(
+        "anatomical_area modality ml_task tag dataset",
+        " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, id, {column} AS label FROM {table}"
+            for table, column in (
+                ("anatomical_area", "name"), ("modality", "name"), ("ml_task", "name"), ("tag", "name"),
+                ("dataset", "title"),
+            )
+        ),
+    ),
     "users_newest": _sql("users", "SELECT id, username, role_id, date_joined FROM users"),
     "user_groups": _sql(
         "users user_groups",

@@ -12,7 +12,7 @@ from shelfmark.catalog import Catalog
 from shelfmark.functions.text import split_list
 from shelfmark.operators import accounts, batch, changes, collections, facets, quality, relevance
 from shelfmark.operators import search as searching
-from shelfmark.operators.detail import detail_by_ids, detail_view, json_rows, labels
+from shelfmark.operators.detail import detail_by_ids, detail_view, display_names, json_rows, labels
 from shelfmark.operators.filters import apply_conditions, parse_parameters, text_match
 from shelfmark.operators.numbering import assign_ids
 from shelfmark.operators.paging import page
@@ -180,6 +180,11 @@ def response_rows(c: Catalog) -> DataFrame:
     return json_rows(detail_view(c))
 
 
+@_query
+def shown_as(c: Catalog) -> DataFrame:
+    return display_names(c)
+
+
 # Users and groups
 
 
