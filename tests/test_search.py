@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from small import ids, plan, small_catalog
+
+from shelfmark.functions.ordering import order_columns
+from shelfmark.operators.numbering import assign_ids, number_rows
+from shelfmark.operators.paging import page
+from shelfmark.operators.search import find, newest, search, search_count
+from shelfmark.sources.fixtures import fixture_catalog
+
+ROOT = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def catalog(spark):
+    return small_catalog(spark)
+
+
+def order_of(df):
+    return [row["id"] for row in df.collect()]
+
+
+def test_order(catalog):
+    assert order_of(search(catalog, "ring")) == [5, 4, 2, 1]  # newest first, no time first of all
+    assert order_of(search(catalog, "ring", {"ordering": ["title"]})) == [1, 2, 4, 5]
+    assert order_of(search(catalog, "ring", {"ordering": ["title", "up"]})) == [1, 2, 4, 5]
+    assert order_of(search(catalog, "ring", {"ordering": ["title", "desc"]})) == [5, 4, 2, 1]
+
+
+def test_null_and_tie_order(catalog):
+    down = catalog.dataset.orderBy(*order_columns(["record_count", "desc"], catalog.dataset.columns))
+    up = catalog.dataset.orderBy(*order_columns("record_count", catalog.dataset.columns))
+    assert order_of(down) == [3, 4, 5, 1, 2]
+    assert order_of(up) == [2, 1, 5, 4, 3]
+    for wrong in ([], ["a", "b", "c"], ["nothing"]):
+        with pytest.raises(ValueError):
+            order_columns(wrong, ["a"])
+
+
+def test_newest(catalog):
+    assert order_of(newest(catalog, 3)) == [5, 4, 2]
+    assert order_of(newest(catalog, 3, ascending=True)) == [1, 2, 3]
+    assert "TakeOrderedAndProject" in plan(newest(catalog))
+
+
+def test_count_and_copies(catalog):
+    params = {"modalities_list": "CT,MRI", "size_max": 4}
+    assert ids(find(catalog, "ring", params)) == [4]
+    assert ids(find(catalog, "ring", params, "as_written")) == [1, 1, 2, 4, 4]
+    assert search_count(catalog, "ring", params).first()["count"] == 1
+    assert search_count(catalog, "ring", params, "as_written").first()["count"] == 5
+
+
+def test_set_is_distinct_of_bag_and_bag_is_product(spark):
+    catalog = fixture_catalog(spark, ROOT)
+    names = {"modalities_list": "NATION_1,NATION_2,NATION_3,NATION_4", "ml_tasks_list": "1-URGENT,2-HIGH,5-LOW"}
+    bag = Counter(order_of(find(catalog, "e", names, "as_written")))
+    assert sorted(bag) == ids(find(catalog, "e", names))
+
+    def links(bridge, key, wanted):
+        rows = catalog.table(bridge).where(F.col(key).isin(wanted)).collect()
+        return Counter(row["dataset_id"] for row in rows)
+
+    modalities = links("dataset_modality", "modality_id", [1, 2, 3, 4])
+    tasks = links("dataset_ml_task", "ml_task_id", [1, 2, 5])
+    assert bag and all(n == modalities[i] * tasks[i] for i, n in bag.items())
+
+
+def test_plan_of_single_search(spark):
+    found = find(fixture_catalog(spark, ROOT), "rin", {"modalities_list": "NATION_1", "size_max": 9})
+    text = plan(found)
+    assert "LeftSemi" in text
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert "LessThanOrEqual(p_size,9)" in text
+
+
+def test_pages(spark):
+    datasets = fixture_catalog(spark, ROOT).dataset
+    seen = []
+    for number in range(1, 12):
+        near = order_of(page(datasets, number, ["title", "desc"]))
+        seen += near
+        if number in (3, 10, 11):
+            assert order_of(page(datasets, number, ["title", "desc"], direct_rows=0)) == near
+    assert len(seen) == 200 and len(set(seen)) == 200
+    assert "TakeOrderedAndProject" in plan(page(datasets, 2))
+    with pytest.raises(ValueError):
+        page(datasets, 0)
+
+
+def test_numbers_are_consecutive(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 > 0").select(F.lit("same").alias("x"))
+    numbered = number_rows(df)
+    assert ids(numbered, "position") == list(range(666))
+    ordered = number_rows(spark.range(0, 500, 1, 5).orderBy(F.desc("id")))
+    assert all(row["id"] == 499 - row["position"] for row in ordered.collect())
+
+
+def test_assigned_ids(spark):
+    batch = spark.range(0, 50, 1, 6).select(F.lit(None).cast("bigint").alias("id"), F.lit("n").alias("name"))
+    existing = spark.createDataFrame([(7,), (3,)], "id bigint")
+    assert ids(assign_ids(batch, existing)) == list(range(8, 58))
+    assert ids(assign_ids(batch, existing.where("id > 100"))) == list(range(1, 51))
