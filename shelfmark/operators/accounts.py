@@ -20,18 +20,32 @@ def users(catalog: Catalog, ordering: str | None = "-date_joined") -> DataFrame:
     return shown if ordering is None else shown.orderBy(*order_columns(ordering, shown.columns))
 
 
+def _with_lists(rows: DataFrame, catalog: Catalog, owner: str, lists: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with sorted id lists, ``[]`` for none; links the catalog lacks give no column."""
+    for name, (table, member) in lists.items():
+        if table not in catalog:
+            continue
+        listed = (
+            catalog.table(table)
+            .groupBy(F.col(owner).alias("id"))
+            .agg(F.sort_array(F.collect_set(member)).alias(name))
+        )
+        rows = rows.join(listed, "id", "left").withColumn(
+            name, F.coalesce(name, F.array().cast("array<bigint>"))
+        )
+    return rows
+
+
 def users_with_groups(catalog: Catalog) -> DataFrame:
-    """Every user with the sorted ids of their groups, ``[]`` for none."""
-    member = (
-        catalog.user_groups.groupBy("user_id")
-        .agg(F.sort_array(F.collect_list("group_id")).alias("groups"))
-        .withColumnRenamed("user_id", "id")
-    )
-    return (
-        users(catalog, ordering=None)
-        .join(member, "id", "left")
-        .withColumn("groups", F.coalesce("groups", F.array().cast("array<bigint>")))
-    )
+    """Every user with the ids of their groups and permissions."""
+    lists = {"groups": ("user_groups", "group_id"), "permissions": ("user_permissions", "permission_id")}
+    return _with_lists(users(catalog, ordering=None), catalog, "user_id", lists)
+
+
+def groups_with_permissions(catalog: Catalog) -> DataFrame:
+    """Every group with the ids of its permissions."""
+    lists = {"permissions": ("group_permissions", "permission_id")}
+    return _with_lists(groups(catalog, ordering=None), catalog, "group_id", lists)
 
 
 def user_by_id(catalog: Catalog, user_id: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.ordering import DEFAULT_ORDERING, order_columns
+from shelfmark.operators.detail import detail_view
 from shelfmark.operators.filters import (
     AS_WRITTEN,
     INTENDED,
@@ -37,6 +38,16 @@ def find(
     return found.select(*catalog.dataset.columns)
 
 
+def _ordered(rows: DataFrame, params: Mapping[str, object] | None) -> DataFrame:
+    ordering = parse_parameters(params or {}).ordering or DEFAULT_ORDERING
+    name, *direction = [ordering] if isinstance(ordering, str) else ordering
+    # The area's key is called differently before and after details are added.
+    for here, there in (("anatomical_area", "anatomical_area_id"), ("anatomical_area_id", "anatomical_area")):
+        if name == here and here not in rows.columns:
+            name = there
+    return rows.orderBy(*order_columns([name, *direction], rows.columns))
+
+
 def search(
     catalog: Catalog,
     query: str,
@@ -52,8 +63,20 @@ def search(
     found = find(catalog, query, params, semantics)
     if semantics == AS_WRITTEN:
         return found
-    ordering = parse_parameters(params or {}).ordering or DEFAULT_ORDERING
-    return found.orderBy(*order_columns(ordering, found.columns))
+    return _ordered(found, params)
+
+
+def search_details(
+    catalog: Catalog,
+    query: str,
+    params: Mapping[str, object] | None = None,
+    semantics: str = INTENDED,
+) -> DataFrame:
+    """What a search responds with: the detail view of its hits, in its order."""
+    details = detail_view(catalog, find(catalog, query, params, semantics))
+    if semantics == AS_WRITTEN:
+        return details
+    return _ordered(details, params)
 
 
 def search_count(

@@ -172,7 +172,7 @@ def detail_of_collected(c: Catalog) -> DataFrame:
 
 @_query
 def detail_of_search(c: Catalog) -> DataFrame:
-    return _as_text(detail_view(c, searching.find(c, TEXT, {"record_count_min": 25})))
+    return _as_text(searching.search_details(c, TEXT, {"record_count_min": 25}))
 
 
 @_query
@@ -561,5 +561,4 @@ _REGISTRY["too_long"] = long_documents
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """One search end to end: text, lists and a bound, in order, with details."""
     catalog = fixture_catalog(spark, root)
-    found = searching.search(catalog, TEXT, PARAMS).limit(5)
-    return _as_text(detail_view(catalog, found))
+    return _as_text(searching.search_details(catalog, TEXT, PARAMS)).limit(5)

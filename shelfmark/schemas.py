@@ -41,6 +41,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "users": _table(id=_LONG, username=_TEXT, role_id=_LONG, date_joined=_TIME),
     "groups": LOOKUP,
     "user_groups": _table(user_id=_LONG, group_id=_LONG),
+    "user_permissions": _table(user_id=_LONG, permission_id=_LONG),
+    "group_permissions": _table(group_id=_LONG, permission_id=_LONG),
     "user_search_queries": _table(
         id=_LONG, user_id=_LONG, query_text=_TEXT, filters=_TEXT, performed_at=_TIME
     ),
@@ -135,6 +137,10 @@ _SHARED_KEYS = (
     ForeignKey("dataset_ml_task", "dataset_id", "dataset", "cascade"),
     ForeignKey("dataset_tag", "dataset_id", "dataset", "cascade"),
     ForeignKey("users", "role_id", "roles", "restrict"),
+    ForeignKey("user_groups", "user_id", "users", "cascade"),
+    ForeignKey("user_groups", "group_id", "groups", "cascade"),
+    ForeignKey("user_permissions", "user_id", "users", "cascade"),
+    ForeignKey("group_permissions", "group_id", "groups", "cascade"),
     ForeignKey("user_dataset_collections", "user_id", "users", "cascade"),
     ForeignKey("user_search_queries", "user_id", "users", "restrict"),
     ForeignKey("collection_datasets", "collection_id", "user_dataset_collections", "cascade"),

@@ -1,4 +1,8 @@
-"""Run every query against its SQL at one scale and print what differs (not a test)."""
+"""Run every query against its SQL at one scale and print what differs (not a test).
+
+``python tests/check_all.py FOLDER [QUERY or KEY=VALUE ...]``; a setting such as
+``spark.sql.autoBroadcastJoinThreshold=-1`` tries the plans large tables get.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +19,15 @@ from shelfmark.plans.queries import registry  # noqa: E402
 from shelfmark.session import build_session  # noqa: E402
 
 
-def main(root: str, only: list[str]) -> None:
-    spark = build_session(
-        "check", "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"},
-    )
+def main(root: str, arguments: list[str]) -> None:
+    only = [a for a in arguments if "=" not in a]
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.driver.memory": "8g",
+        **dict(a.split("=", 1) for a in arguments if "=" in a),
+    }
+    spark = build_session("check", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(root)
     bad = 0

@@ -18,6 +18,7 @@ from shelfmark.operators.detail import (
 )
 from shelfmark.operators.facets import facets
 from shelfmark.operators.search import search
+from shelfmark.schemas import SCHEMAS
 from shelfmark.sources.readers import read_tables
 from shelfmark.sources.sinks import save_bucketed
 
@@ -83,12 +84,21 @@ def test_lookup_and_names(catalog):
     assert labels["dataset", 2] == "Lung" and labels["tag", 3] == "unused"
 
 
-def test_accounts(catalog):
+def test_accounts(spark, catalog):
     assert [row["id"] for row in accounts.users(catalog).collect()] == [3, 2, 1]
     with_secret = catalog.replace(users=catalog.users.withColumn("password", F.lit("x")))
     assert "password" not in accounts.users(with_secret).columns
     member = {row["id"]: row["groups"] for row in accounts.users_with_groups(catalog).collect()}
     assert member == {1: [1, 2], 2: [2], 3: []}
+    assert "permissions" not in accounts.users_with_groups(catalog).columns
+    allowed = catalog.replace(
+        user_permissions=spark.createDataFrame([(1, 9), (1, 8)], SCHEMAS["user_permissions"]),
+        group_permissions=spark.createDataFrame([(2, 7)], SCHEMAS["group_permissions"]),
+    )
+    may = {row["id"]: row["permissions"] for row in accounts.users_with_groups(allowed).collect()}
+    assert may == {1: [8, 9], 2: [], 3: []}
+    may = {row["id"]: row["permissions"] for row in accounts.groups_with_permissions(allowed).collect()}
+    assert may == {1: [], 2: [7]}
     assert [row["name"] for row in accounts.groups(catalog).collect()] == ["guests", "staff"]
     assert ids(accounts.user_by_id(catalog, 2)) == [2]
     assert ids(accounts.group_by_id(catalog, 9)) == []

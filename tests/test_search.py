@@ -9,7 +9,7 @@ from small import ids, plan, small_catalog
 from shelfmark.functions.ordering import order_columns
 from shelfmark.operators.numbering import assign_ids, number_rows
 from shelfmark.operators.paging import page
-from shelfmark.operators.search import find, newest, search, search_count
+from shelfmark.operators.search import find, newest, search, search_count, search_details
 from shelfmark.sources.fixtures import fixture_catalog
 
 ROOT = "/root/testdata/sf0.001"
@@ -29,6 +29,9 @@ def test_order(catalog):
     assert order_of(search(catalog, "ring", {"ordering": ["title"]})) == [1, 2, 4, 5]
     assert order_of(search(catalog, "ring", {"ordering": ["title", "up"]})) == [1, 2, 4, 5]
     assert order_of(search(catalog, "ring", {"ordering": ["title", "desc"]})) == [5, 4, 2, 1]
+    for name in ("anatomical_area", "anatomical_area_id"):
+        assert order_of(search(catalog, "ring", {"ordering": [name]})) == [1, 4, 2, 5]
+        assert order_of(search_details(catalog, "ring", {"ordering": [name]})) == [1, 4, 2, 5]
 
 
 def test_null_and_tie_order(catalog):
@@ -55,6 +58,14 @@ def test_count_and_copies(catalog):
     assert search_count(catalog, "ring", params, "as_written").first()["count"] == 5
 
 
+def test_details_keep_order_and_copies(catalog):
+    rows = search_details(catalog, "ring").collect()
+    assert [row["id"] for row in rows] == [5, 4, 2, 1]
+    assert [len(row["modalities"]) for row in rows] == [0, 3, 1, 2]
+    twice = search_details(catalog, "ring", {"modalities_list": "CT,MRI"}, "as_written")
+    assert ids(twice) == [1, 1, 2, 4, 4]
+
+
 def test_set_is_distinct_of_bag_and_bag_is_product(spark):
     catalog = fixture_catalog(spark, ROOT)
     names = {"modalities_list": "NATION_1,NATION_2,NATION_3,NATION_4", "ml_tasks_list": "1-URGENT,2-HIGH,5-LOW"}
