@@ -116,12 +116,15 @@ def text_matches(
     texts = datasets.withColumns({"_title": F.upper("title"), "_description": F.upper("description")})
     holds = F.contains("_title", "pattern") | F.contains("_description", "pattern")
     choices = _pattern_grams(patterns)
+    # explode_outer: a plain explode would take the grams of every text a second
+    # time, to test that there are any. The joins drop the null of an empty text.
+    text_grams = F.explode_outer(_text_grams(lengths))
     if small:
         by_request = choices.groupBy("gram").agg(F.count("*").alias("n"))
         filed = F.broadcast(_filed(choices, by_request))
-        candidates = texts.withColumn("gram", F.explode(_text_grams(lengths))).join(filed, "gram")
+        candidates = texts.withColumn("gram", text_grams).join(filed, "gram")
         return candidates.where(holds).select("pattern", *_MATCHED)
-    exploded = texts.select("id", F.explode(_text_grams(lengths)).alias("gram"))
+    exploded = texts.select("id", text_grams.alias("gram"))
     by_text = exploded.groupBy("gram").agg(F.count("*").alias("n"))
     filed = settled(_filed(choices, by_text))
     exploded = exploded.join(sent_if_small(filed.select("gram").distinct()), "gram", "left_semi")

@@ -106,6 +106,53 @@ def orphan_rows(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
     return child.where(F.col(column).isNotNull()).join(parents, column, "left_anti").select(*child.columns)
 
 
+def all_orphans(catalog: Catalog, foreign_keys: Sequence[ForeignKey]) -> DataFrame:
+    """:func:`orphans` for many references: each table is read once and all keys join once.
+
+    Every reference becomes a row naming its parent; rows are counted per value
+    in each task, and the counts meet the ids of all parents in one anti-join.
+    """
+    held = [fk for fk in foreign_keys if fk.child in catalog and fk.parent in catalog]
+    children = list(dict.fromkeys(fk.child for fk in held))
+    parents = list(dict.fromkeys(fk.parent for fk in held))
+
+    # References and parents go by number until the end, to keep the keys short.
+    def references(child: str) -> DataFrame:
+        keys = [
+            F.struct(
+                F.lit(number).alias("reference"),
+                F.lit(parents.index(fk.parent)).alias("parent"),
+                F.col(fk.column).cast("bigint").alias("id"),
+            )
+            for number, fk in enumerate(held)
+            if fk.child == child
+        ]
+        return catalog.table(child).select(F.inline(F.array(*keys)))
+
+    used = (
+        stacked([references(child) for child in children])
+        .where(F.col("id").isNotNull())
+        .groupBy("reference", "parent", "id")
+        .agg(F.count("*").alias("n_rows"))
+    )
+    known = stacked(
+        [
+            catalog.table(parent).select(F.lit(number).alias("parent"), F.col("id").cast("bigint").alias("id"))
+            for number, parent in enumerate(parents)
+        ]
+    )
+
+    def named(names: Sequence[str]) -> Column:
+        return F.get(F.array(*(F.lit(name) for name in names)), F.col("reference"))
+
+    return used.join(known, ["parent", "id"], "left_anti").select(
+        named([f"reference {fk.column}" for fk in held]).alias("rule"),
+        named([fk.child for fk in held]).alias("table_name"),
+        F.col("id").cast("string").alias("key"),
+        "n_rows",
+    )
+
+
 def _row_key(catalog: Catalog, table: str) -> Sequence[str]:
     if "id" in catalog.table(table).columns:
         return ("id",)
@@ -128,11 +175,8 @@ def violations(
         for table, required in schemas.REQUIRED.items()
         if table in catalog
     ]
-    reports += [
-        orphans(catalog.table(fk.child), fk.column, catalog.table(fk.parent), fk.child)
-        for fk in foreign_keys
-        if fk.child in catalog and fk.parent in catalog
-    ]
+    if any(fk.child in catalog and fk.parent in catalog for fk in foreign_keys):
+        reports.append(all_orphans(catalog, foreign_keys))
     return stacked(reports)
 
 

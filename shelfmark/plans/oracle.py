@@ -267,7 +267,7 @@ ORACLES: dict[str, str] = {
         "dataset",
         "SELECT id, title, created_at FROM dataset ORDER BY created_at ASC NULLS LAST, id LIMIT 5",
     ),
-    "second_page": _sql(
+    "page": _sql(
         "dataset",
         "SELECT id, created_at FROM dataset ORDER BY created_at DESC NULLS FIRST, id LIMIT 20 OFFSET 20",
     ),
@@ -278,8 +278,8 @@ ORACLES: dict[str, str] = {
     "deep_page": _sql(
         "dataset", "SELECT id, title FROM dataset ORDER BY title ASC NULLS LAST, id LIMIT 20 OFFSET 580"
     ),
-    "detail_all": _sql("detail", "SELECT * FROM detail"),
-    "detail_of_collected": _sql(
+    "detail_view": _sql("detail", "SELECT * FROM detail"),
+    "detail_by_ids": _sql(
         "detail member", "SELECT * FROM detail WHERE id IN (SELECT dataset_id FROM member)"
     ),
     "detail_of_search": _sql(
@@ -324,7 +324,7 @@ ORACLES: dict[str, str] = {
         """SELECT id, username AS name FROM users WHERE id = 42
            UNION ALL SELECT id, name FROM groups_ WHERE id = 13""",
     ),
-    "facet_options": _sql(
+    "facets": _sql(
         "dataset anatomical_area modality ml_task tag dataset_modality dataset_ml_task dataset_tag",
         """SELECT 'anatomical_area' AS facet, name AS option,
                   (SELECT count(*) FROM dataset WHERE anatomical_area_id = a.id) AS n_datasets,
@@ -341,7 +341,7 @@ ORACLES: dict[str, str] = {
                   FROM dataset
            UNION ALL SELECT 'size', NULL, count(size), min(size), max(size) FROM dataset""",
     ),
-    "facet_options_of_search": _sql(
+    "facets_of_search": _sql(
         "text_hit anatomical_area modality ml_task tag dataset_modality dataset_ml_task dataset_tag",
         """SELECT 'anatomical_area' AS facet, name AS option,
                   (SELECT count(*) FROM text_hit WHERE anatomical_area_id = a.id) AS n_datasets,
@@ -358,8 +358,8 @@ ORACLES: dict[str, str] = {
                   FROM text_hit
            UNION ALL SELECT 'size', NULL, count(size), min(size), max(size) FROM text_hit""",
     ),
-    "duplicate_names": _sql("dataset", _count_rows("dataset", "title", "unique", "dataset") + " HAVING count(*) > 1"),
-    "duplicate_pairs": _sql(
+    "dup_names": _sql("dataset", _count_rows("dataset", "title", "unique", "dataset") + " HAVING count(*) > 1"),
+    "dup_pairs": _sql(
         "member",
         """SELECT 'unique' AS rule, 'collection_datasets' AS table_name, query_id || '/' || dataset_id AS key,
                   count(*) AS n_rows
@@ -370,7 +370,7 @@ ORACLES: dict[str, str] = {
         """SELECT id, title, size FROM dataset
            QUALIFY row_number() OVER (PARTITION BY title ORDER BY id) = 1""",
     ),
-    "missing_values": _sql(
+    "missing": _sql(
         "dataset",
         " UNION ALL ".join(
             f"""SELECT 'required {name}' AS rule, 'dataset' AS table_name, CAST(id AS VARCHAR) AS key,
@@ -378,7 +378,7 @@ ORACLES: dict[str, str] = {
             for name in ("description", "record_count", "anatomical_area_id")
         ),
     ),
-    "orphaned_links": _sql(
+    "orphans": _sql(
         "with_area dataset_modality",
         _count_rows(
             "dataset_modality",
@@ -445,13 +445,13 @@ ORACLES: dict[str, str] = {
         """SELECT id, CASE WHEN day(created_at) > 15 THEN created_at ELSE TIMESTAMP '2025-01-01' END AS created_at
            FROM collection""",
     ),
-    "assigned_ids": _sql(
+    "assign_ids": _sql(
         "dataset log",
         """SELECT (SELECT max(id) FROM dataset) + 1 AS first_id,
                   (SELECT max(id) FROM dataset) + count(*) AS last_id,
                   count(*) AS n_ids, count(*) AS n_rows FROM log""",
     ),
-    "collection_expiry": _sql(
+    "expiry": _sql(
         "collection",
         """SELECT id, made AS created_at, made + INTERVAL 1 DAY AS expires_at
            FROM (SELECT id, CASE WHEN day(created_at) > 1 THEN created_at END AS made FROM collection)""",

@@ -39,7 +39,8 @@ _REGISTRY: dict[str, Query] = {}
 
 def _query(function: Callable[[Catalog], DataFrame]) -> Callable[[Catalog], DataFrame]:
     """Register a query over the catalog under its function's name."""
-    _REGISTRY[function.__name__] = lambda spark, root: function(fixture_catalog(spark, root))
+    name = function.__name__.removesuffix("_query")
+    _REGISTRY[name] = lambda spark, root: function(fixture_catalog(spark, root))
     return function
 
 
@@ -138,7 +139,7 @@ def oldest(c: Catalog) -> DataFrame:
 
 
 @_query
-def second_page(c: Catalog) -> DataFrame:
+def page_query(c: Catalog) -> DataFrame:
     return page(c.dataset, 2).select("id", "created_at")
 
 
@@ -160,12 +161,12 @@ def _as_text(detail: DataFrame) -> DataFrame:
 
 
 @_query
-def detail_all(c: Catalog) -> DataFrame:
+def detail_view_query(c: Catalog) -> DataFrame:
     return _as_text(detail_view(c))
 
 
 @_query
-def detail_of_collected(c: Catalog) -> DataFrame:
+def detail_by_ids_query(c: Catalog) -> DataFrame:
     collected = c.collection_datasets.select(F.col("dataset_id").alias("id")).distinct()
     return _as_text(detail_by_ids(c, collected))
 
@@ -214,12 +215,12 @@ def account_by_id(c: Catalog) -> DataFrame:
 
 
 @_query
-def facet_options(c: Catalog) -> DataFrame:
+def facets_query(c: Catalog) -> DataFrame:
     return facets.facets(c)
 
 
 @_query
-def facet_options_of_search(c: Catalog) -> DataFrame:
+def facets_of_search(c: Catalog) -> DataFrame:
     return facets.facets(c, searching.find(c, TEXT).select("id"), pairs_unique=False)
 
 
@@ -227,12 +228,12 @@ def facet_options_of_search(c: Catalog) -> DataFrame:
 
 
 @_query
-def duplicate_names(c: Catalog) -> DataFrame:
+def dup_names_query(c: Catalog) -> DataFrame:
     return quality.duplicates(c.dataset, ["title"], "dataset")
 
 
 @_query
-def duplicate_pairs(c: Catalog) -> DataFrame:
+def dup_pairs_query(c: Catalog) -> DataFrame:
     pairs = c.collection_datasets.select("query_id", "dataset_id")
     return quality.duplicates(pairs, ["query_id", "dataset_id"], "collection_datasets")
 
@@ -243,7 +244,7 @@ def unique_titles(c: Catalog) -> DataFrame:
 
 
 @_query
-def missing_values(c: Catalog) -> DataFrame:
+def missing_query(c: Catalog) -> DataFrame:
     return quality.missing(c.dataset, ["description", "record_count", "anatomical_area_id"], "dataset")
 
 
@@ -253,7 +254,7 @@ def _without_area(c: Catalog) -> Catalog:
 
 
 @_query
-def orphaned_links(c: Catalog) -> DataFrame:
+def orphans_query(c: Catalog) -> DataFrame:
     return quality.orphans(c.dataset_modality, "dataset_id", _without_area(c).dataset, "dataset_modality")
 
 
@@ -357,7 +358,7 @@ def default_times(c: Catalog) -> DataFrame:
 
 
 @_query
-def assigned_ids(c: Catalog) -> DataFrame:
+def assign_ids_query(c: Catalog) -> DataFrame:
     fresh = assign_ids(c.user_search_queries.select("query_text"), c.dataset)
     return fresh.agg(
         F.min("id").alias("first_id"),
@@ -368,7 +369,7 @@ def assigned_ids(c: Catalog) -> DataFrame:
 
 
 @_query
-def collection_expiry(c: Catalog) -> DataFrame:
+def expiry_query(c: Catalog) -> DataFrame:
     given = c.user_dataset_collections.select(
         "id",
         F.when(F.dayofmonth("created_at") > 1, F.col("created_at")).alias("created_at"),
