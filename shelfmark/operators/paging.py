@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.ordering import DEFAULT_ORDERING, order_columns
-from shelfmark.functions.sizing import SMALL_ROWS
+from shelfmark.functions.sizing import SMALL_ROWS, settled
 from shelfmark.operators.numbering import number_rows
 
 # Rows on a page.
@@ -38,7 +38,8 @@ def page(
     if first + size <= direct_rows:
         return df.orderBy(*order).offset(first).limit(size)
     name = ordering if isinstance(ordering, str) else ordering[0]
-    keys = df.select(*dict.fromkeys(["id", name.lstrip("-")])).orderBy(*order)
+    # Kept before sorting: a sort reads its input twice, to find the ranges first.
+    keys = settled(df.select(*dict.fromkeys(["id", name.lstrip("-")]))).orderBy(*order)
     place = number_rows(keys).where(F.col("position").between(first, first + size - 1)).select("id")
     if size <= SMALL_ROWS:
         place = F.broadcast(place)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.ordering import DEFAULT_ORDERING, order_columns
+from shelfmark.functions.sizing import settled
 from shelfmark.operators.detail import detail_view
 from shelfmark.operators.filters import (
     AS_WRITTEN,
@@ -57,13 +58,16 @@ def search(
     """:func:`find`, ordered as ``params["ordering"]`` says, newest first by default.
 
     A result nobody reads in order (a join input, a count) should come from
-    :func:`find`, which spares the range shuffle of the sort. ``"as_written"``
-    never applied the order.
+    :func:`find`, which spares the range shuffle of the sort, and one of which
+    only a page is read from :func:`~shelfmark.operators.paging.page` over
+    ``find``. The hits are computed once and kept, because a sort reads its
+    input twice: to find the ranges, and to sort. ``"as_written"`` never applied
+    the order.
     """
     found = find(catalog, query, params, semantics)
     if semantics == AS_WRITTEN:
         return found
-    return _ordered(found, params)
+    return _ordered(settled(found), params)
 
 
 def search_details(

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go when nothing refers to the table any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
