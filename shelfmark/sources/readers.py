@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.schemas import SCHEMAS
@@ -27,6 +28,92 @@ def read_tables(spark: SparkSession, database: str) -> Catalog:
     return Catalog(**{name: partial(spark.table, f"{database}.{name}") for name in SCHEMAS})
 
 
+@dataclass(frozen=True)
+class StoredTable:
+    """Where a catalog table is kept in a database, and columns named differently there."""
+
+    name: str
+    renamed: Mapping[str, str] = field(default_factory=dict)
+
+
+# The two database layouts. The first is the application's own,
+# the second that of the script run when a database is created.
+APPLICATION_LAYOUT = {
+    "anatomical_area": StoredTable("datasets_anatomicalarea"),
+    "modality": StoredTable("datasets_modality"),
+    "ml_task": StoredTable("datasets_mltask"),
+    "tag": StoredTable("datasets_tag"),
+    "dataset": StoredTable("datasets_dataset"),
+    "dataset_modality": StoredTable("datasets_datasetmodality"),
+    "dataset_ml_task": StoredTable("datasets_datasetmltask"),
+    "dataset_tag": StoredTable("datasets_datasettag"),
+    "users": StoredTable("auth_user"),
+    "groups": StoredTable("auth_group"),
+    "user_groups": StoredTable("auth_user_groups"),
+    "user_permissions": StoredTable("auth_user_user_permissions"),
+    "group_permissions": StoredTable("auth_group_permissions"),
+}
+SCRIPT_LAYOUT = {
+    "anatomical_area": StoredTable("anatomical_areas"),
+    "modality": StoredTable("modalities"),
+    "ml_task": StoredTable("ml_tasks"),
+    "tag": StoredTable("tags"),
+    "dataset": StoredTable(
+        "datasets",
+        {
+            "external_link": "external_path",
+            "local_storage_path": "local_path",
+            "dataset_size_mb": "size",
+        },
+    ),
+    "dataset_modality": StoredTable("dataset_modalities"),
+    "dataset_ml_task": StoredTable("dataset_ml_tasks"),
+    "dataset_tag": StoredTable("dataset_tags"),
+    "roles": StoredTable("roles"),
+    "users": StoredTable("users", {"login": "username", "created_at": "date_joined"}),
+    "user_search_queries": StoredTable("user_search_queries"),
+    "user_dataset_collections": StoredTable("user_dataset_collections"),
+    "collection_datasets": StoredTable("collection_datasets"),
+}
+
+
+def read_layout(load: Callable[[str], DataFrame], layout: Mapping[str, StoredTable]) -> Catalog:
+    """A catalog from ``load(<stored table>)``, with the catalog's names and types.
+
+    Columns the catalog does not know, such as password hashes, are not read.
+    Times with a zone become UTC wall-clock times.
+    """
+
+    def build(name: str) -> DataFrame:
+        stored = layout[name]
+        df = load(stored.name).withColumnsRenamed(dict(stored.renamed))
+        return df.select(
+            *(
+                F.col(column.name).cast(column.dataType).alias(column.name)
+                for column in SCHEMAS[name]
+                if column.name in df.columns
+            )
+        )
+
+    return Catalog(**{name: partial(build, name) for name in layout})
+
+
+def read_database(
+    spark: SparkSession,
+    source: "DatabaseSource",
+    layout: Mapping[str, StoredTable] = APPLICATION_LAYOUT,
+    partitions: int | None = None,
+) -> Catalog:
+    """The catalog kept in a relational database; tables with an id are read in ranges of it."""
+
+    def load(name: str) -> DataFrame:
+        stored = next(table for table, where in layout.items() if where.name == name)
+        ranged = "id" in SCHEMAS[stored].names
+        return source.read(spark, name, partitions if ranged else None)
+
+    return read_layout(load, layout)
+
+
 # URL and driver class per database engine.
 _ENGINES = {
     "postgresql": ("jdbc:postgresql://{host}:{port}/{name}", "org.postgresql.Driver"),

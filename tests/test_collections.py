@@ -14,7 +14,13 @@ from shelfmark.operators.changes import upsert
 from shelfmark.operators.detail import detail_view
 from shelfmark.session import ensure_checkpoint_dir
 from shelfmark.sources import sinks
-from shelfmark.sources.readers import DatabaseSource, read_files
+from shelfmark.sources.readers import (
+    APPLICATION_LAYOUT,
+    SCRIPT_LAYOUT,
+    DatabaseSource,
+    read_files,
+    read_layout,
+)
 from shelfmark.streaming.ingest import collection_stream, log_stream
 
 NOW = datetime(2025, 5, 5, 5)
@@ -129,6 +135,28 @@ def test_database_source():
         DatabaseSource(engine="oracle").options()
 
 
+def test_layouts(spark):
+    stored = {
+        "datasets": spark.createDataFrame(
+            [(1, "Brain", None, "http://a", "/b", 3, 4, 1, datetime(2024, 1, 1, 12))],
+            "id int, title string, description string, external_link string, local_storage_path string, "
+            "record_count int, dataset_size_mb int, anatomical_area_id int, created_at timestamp",
+        ),
+        "users": spark.createDataFrame(
+            [(1, "ann", "secret", 2, datetime(2024, 1, 1))],
+            "id int, login string, password_hash string, role_id int, created_at timestamp",
+        ),
+        "datasets_datasettag": spark.createDataFrame([(5, 1, 2)], "id long, dataset_id long, tag_id long"),
+    }
+    script = read_layout(stored.__getitem__, SCRIPT_LAYOUT)
+    row = script.dataset.first()
+    assert (row["external_path"], row["local_path"], row["size"]) == ("http://a", "/b", 4)
+    assert dict(script.dataset.dtypes)["id"] == "bigint"
+    assert dict(script.dataset.dtypes)["created_at"] == "timestamp_ntz"
+    assert script.users.columns == ["id", "username", "role_id", "date_joined"]
+    assert read_layout(stored.__getitem__, APPLICATION_LAYOUT).dataset_tag.columns == ["dataset_id", "tag_id"]
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("lung", 1), ("brain", None)], "query string, user_id bigint").write.parquet(source)
