@@ -428,7 +428,10 @@ def log_filters(c: Catalog) -> DataFrame:
 @_query
 def log_append(c: Catalog) -> DataFrame:
     asked = c.user_search_queries.select(
-        "user_id", F.col("query_text").alias("query"), "filters", F.lit(None).cast("timestamp_ntz").alias("performed_at")
+        "user_id",
+        F.col("query_text").alias("query"),
+        "filters",
+        F.lit(None).cast("timestamp_ntz").alias("performed_at"),
     )
     added = collections.append_log(c, asked, NOW)
     return added.groupBy("user_id", "query_text", "performed_at").agg(F.count("*").alias("n_rows"))

@@ -128,13 +128,15 @@ def test_upsert(spark, catalog):
 
 
 def test_defaults_and_expiry(spark):
-    df = spark.createDataFrame([(1, None, None), (2, T1, T3)], "id int, created_at timestamp_ntz, expires_at timestamp_ntz")
+    schema = "id int, created_at timestamp_ntz, expires_at timestamp_ntz"
+    df = spark.createDataFrame([(1, None, None), (2, T1, T3)], schema)
     rows = {r["id"]: r for r in changes.with_expiry(df).collect()}
     assert rows[1]["expires_at"] is None
     assert rows[2]["expires_at"] == T1 + timedelta(days=1)
     filled = {r["id"]: r["created_at"] for r in changes.with_defaults(df, NOW).collect()}
     assert filled == {1: NOW, 2: T1}
+    stamped = F.unix_timestamp(F.col("created_at").cast("timestamp"))
     clock = changes.with_defaults(df).where("id = 1").select(
-        F.abs(F.unix_timestamp(F.col("created_at").cast("timestamp")) - F.unix_timestamp(F.current_timestamp())).alias("s")
+        F.abs(stamped - F.unix_timestamp(F.current_timestamp())).alias("seconds")
     )
-    assert clock.first()["s"] < 60
+    assert clock.first()["seconds"] < 60

@@ -67,7 +67,8 @@ def test_build(spark, catalog):
 
 
 def test_log(spark, catalog):
-    asked = spark.createDataFrame([("lung", 1, T1), ("brain", None, None)], "query string, user_id bigint, performed_at timestamp_ntz")
+    schema = "query string, user_id bigint, performed_at timestamp_ntz"
+    asked = spark.createDataFrame([("lung", 1, T1), ("brain", None, None)], schema)
     rows = sorted(collections.append_log(catalog, asked, NOW).collect(), key=lambda r: r["id"])
     assert [r["id"] for r in rows] == [4, 5]
     assert {r["query_text"]: (r["user_id"], r["filters"], r["performed_at"]) for r in rows} == {
@@ -120,9 +121,8 @@ def test_scan_prunes_and_pushes(spark, catalog, tmp_path):
 
 
 def test_database_source():
-    source = DatabaseSource.from_environment(
-        {"DB_ENGINE": "postgresql", "DB_HOST": "db", "DB_PORT": "6000", "DB_NAME": "cat", "DB_USER": "u", "DB_PASSWORD": "p"}
-    )
+    given = {"ENGINE": "postgresql", "HOST": "db", "PORT": "6000", "NAME": "cat", "USER": "u", "PASSWORD": "p"}
+    source = DatabaseSource.from_environment({f"DB_{part}": value for part, value in given.items()})
     assert source.options() == {
         "url": "jdbc:postgresql://db:6000/cat",
         "driver": "org.postgresql.Driver",

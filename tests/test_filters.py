@@ -88,7 +88,10 @@ def test_as_written_parameters():
 
 def test_text_functions(spark):
     row = (
-        spark.createDataFrame([("a,,b, c", "　 x\t", "Où, là-bas 2x!", "ab😀\nd")], "l string, s string, w string, g string")
+        spark.createDataFrame(
+            [("a,,b, c", "\u3000 x\t", "Où, là-bas 2x!", "ab😀\nd")],
+            "l string, s string, w string, g string",
+        )
         .select(
             split_list(F.col("l")).alias("list"),
             strip(F.col("s")).alias("strip"),
