@@ -12,7 +12,9 @@ to three bytes a word, its places in the table, never the text.
 
 The word rules are those of the tokenizer file: characters up to U+036F (and
 common punctuation) are split here, any other text by the library's own
-normalizer and splitter, so both give the library's words.
+normalizer and splitter, so both give the library's words. No word crosses a
+blank, so a task splits each distinct string between blanks once while it is
+kept, in a table of bounded size.
 
 Defined cases: a null text is empty and has no ids; special tokens inside a text
 are encoded as such; repeated rows each get the result; a null doc_id is kept.
@@ -42,11 +44,12 @@ HEAD_WORDS = 1 << 18
 HEAD_LENGTH = 64
 TASK_WORDS = 1 << 16
 HELD_WORDS = 1 << 19
+HELD_STRINGS = 1 << 18
 
 # The tokenizer file's word pattern, and blanks as it knows them.
 BLANKS = r"\t-\r \x85\xa0"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
-UNUSUAL = re.compile("[^\x00-ͯ‐-‧‰-⁞€]")
+UNUSUAL = re.compile("[^\x00-\x1b\x20-ͯ‐-‧‰-⁞€]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -66,21 +69,33 @@ class Words:
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text, special tokens among them, in order."""
+    def strings(self, text: str) -> list[str]:
+        """A text as strings that are split by themselves: :meth:`words` of each, in order, are its words."""
         if self.marks and self.marks.search(text):
             return [
-                word
+                string
                 for part in self.marks.split(text)
-                for word in ([part] if part in self.special else self.plain(part))
+                for string in ([part] if part in self.special else self._plain(part))
             ]
-        return self.plain(text)
+        return self._plain(text)
 
-    def plain(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> list[str]:
         if UNUSUAL.search(text):
             normal = self.library.normalizer.normalize_str(text)
             return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        return WORD.findall(unicodedata.normalize("NFC", text).lower())
+        return unicodedata.normalize("NFC", text).lower().split()
+
+    def words(self, string: str) -> list[str]:
+        if string in self.special:
+            return [string]
+        if UNUSUAL.search(string):
+            # Such strings come from the library's splitter.
+            return [string]
+        return WORD.findall(string)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, special tokens among them, in order."""
+        return [word for string in self.strings(text) for word in self.words(string)]
 
     def ids(self, word: str) -> list[int]:
         if word in self.special:
@@ -92,26 +107,27 @@ class Words:
         return np.array(self.ids(word), "<u4").tobytes()
 
 
-def packed_places(places: np.ndarray) -> bytes:
-    """Numbers below 2^21 in one to three bytes each."""
-    sizes = 1 + (places >= 1 << 7) + (places >= 1 << 14)
+def packed_places(places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 2^21 in one to three bytes each, and how many bytes each took."""
+    sizes = (1 + (places >= 1 << 7) + (places >= 1 << 14)).astype(np.int64)
     at = np.cumsum(sizes) - sizes
     out = np.empty(int(sizes.sum()), np.uint8)
     for k in range(3):
-        some = sizes > k
+        some = np.flatnonzero(sizes > k)
         out[at[some] + k] = (places[some] >> (7 * k) & 127) | ((sizes[some] > k + 1) << 7)
-    return out.tobytes()
+    return out.tobytes(), sizes
 
 
-def unpacked_places(packed: bytes) -> np.ndarray:
+def unpacked_places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and for each the place of its last byte."""
     octets = np.frombuffer(packed, np.uint8)
     ends = np.flatnonzero(octets < 128)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
-    for k in range(3):
-        some = starts + k <= ends
-        out[some] |= (octets[starts[some] + k] & 127).astype(np.int64) << (7 * k)
-    return out
+    out = (octets[starts] & 127).astype(np.int32)
+    for k in (1, 2):
+        some = np.flatnonzero(starts + k <= ends)
+        out[some] |= (octets[starts[some] + k] & 127).astype(np.int32) << (7 * k)
+    return out, ends
 
 
 def word_counts(documents: DataFrame, path: str) -> DataFrame:
@@ -127,14 +143,22 @@ def word_counts(documents: DataFrame, path: str) -> DataFrame:
 
     def count(batches):
         splitter, seen = Words(path), Counter()
+
+        def counted() -> Counter:
+            found = Counter()
+            for string, n in seen.items():
+                for word in splitter.words(string):
+                    found[word] += n
+            return found
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(splitter.split(text))
+                    seen.update(splitter.strings(text))
             if len(seen) > HELD_WORDS:
-                yield top(seen)
+                yield top(counted())
                 seen = Counter()
-        yield top(seen)
+        yield top(counted())
 
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -191,28 +215,38 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
     long, binary = T.LongType(), T.BinaryType()
     key = [id_field, T.StructField("version", long)]
 
-    def split_batches(batches) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[str], list[int]]]]]:
+    def placed(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+        """Each batch with the place of every word (0: not among the frequent), words per row, and the rare words."""
         splitter = Words(path)
         place = {word: k for k, (word, _) in enumerate(head.value, 1)}.get
+        known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
+
+        def look_up(string: str):
+            words = splitter.words(string)
+            found = tuple([place(word, 0) for word in words])
+            known[string] = found, tuple([w for w, k in zip(words, found, strict=True) if not k])
+            return known[string]
+
         for batch in batches:
-            found = []
+            places, sizes, rare_words = [], [], []
             for text in batch.column(1).to_pylist():
-                words = splitter.split(text or "")
-                found.append((words, [place(word, 0) for word in words]))
-            yield batch, found
+                if len(known) > HELD_STRINGS:
+                    known.clear()
+                found = [known.get(string) or look_up(string) for string in splitter.strings(text or "")]
+                numbers = [k for numbers, _ in found for k in numbers]
+                places.append(np.array(numbers, np.int32))
+                sizes.append(len(numbers))
+                rare_words.extend([word for _, words in found if words for word in words])
+            yield batch, np.concatenate([np.zeros(0, np.int32), *places]), np.array(sizes, np.int64), rare_words
 
     def rare(batches):
-        for batch, found in split_batches(batches):
-            row, position, word = [], [], []
-            for k, (words, places) in enumerate(found):
-                for at, number in enumerate(places):
-                    if not number:
-                        row.append(k)
-                        position.append(at)
-                        word.append(words[at])
+        for batch, places, sizes, words in placed(batches):
+            at = np.flatnonzero(places == 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            position = at - (np.cumsum(sizes) - sizes)[row]
             rows = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(position, pa.int64()), pa.array(word, pa.string())],
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(position, pa.int64()), pa.array(words, pa.string())],
                 names=["doc_id", "version", "position", "word"],
             )
 
@@ -227,10 +261,12 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], names=["doc_id", "version", "position", "packed"])
 
     def places(batches):
-        for batch, found in split_batches(batches):
-            packed = [packed_places(np.array(numbers, np.int64)) for _, numbers in found]
+        for batch, numbers, sizes, _ in placed(batches):
+            packed, n_bytes = packed_places(numbers)
+            cuts = np.concatenate(([0], np.cumsum(n_bytes)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+            rows = [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.nulls(batch.num_rows, pa.int64()), pa.array(packed, pa.binary())],
+                [batch.column(0), batch.column(2), pa.nulls(batch.num_rows, pa.int64()), pa.array(rows, pa.binary())],
                 names=["doc_id", "version", "position", "packed"],
             )
 
@@ -258,23 +294,30 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
         now, found = None, {}
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, version, position, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = list(zip(*(column.to_pylist() for column in batch.columns), strict=True))
+            coded = [row[3] for row in rows if row[2] is None]
+            every, ends = unpacked_places(b"".join(coded))
+            cuts = np.searchsorted(ends, np.cumsum([len(x) for x in coded])).tolist()
+            every, begin, texts = every.tolist(), 0, iter(cuts)
+            for doc_id, version, position, packed in rows:
                 if (doc_id, version) != now:
                     now, found = (doc_id, version), {}
                 if position is not None:
                     found[position] = packed
                     continue
-                numbers = unpacked_places(packed).tolist()
-                parts = [ids_of[k] for k in numbers]
+                end = next(texts)
+                numbers = every[begin:end]
+                begin = end
+                parts = list(map(ids_of.__getitem__, numbers))
                 for at, ids in found.items():
                     parts[at] = ids
                 ids = b"".join(parts)
                 row = [doc_id, hashlib.sha256(ids).hexdigest() if digest else ids, len(ids) // 4]
                 if decode:
-                    shown = [piece_of[k] for k in numbers]
+                    shown = list(map(piece_of.__getitem__, numbers))
                     for at, own in found.items():
                         shown[at] = text_of(own)
-                    decoded = b" ".join([piece for piece in shown if piece])
+                    decoded = b" ".join(filter(None, shown))
                     row.append(hashlib.sha256(decoded).hexdigest() if digest else decoded.decode())
                 out.append(tuple(row))
             columns = list(zip(*out, strict=True)) or [[] for _ in result.names]

@@ -47,7 +47,10 @@ def test_words_equal_library(text):
 
 @given(st.lists(st.integers(0, (1 << 21) - 1), max_size=50))
 def test_places_round_trip(numbers):
-    assert op.unpacked_places(op.packed_places(np.array(numbers, np.int64))).tolist() == numbers
+    packed, sizes = op.packed_places(np.array(numbers, np.int32))
+    found, ends = op.unpacked_places(packed)
+    assert found.tolist() == numbers
+    assert (ends + 1).tolist() == np.cumsum(sizes).tolist()
 
 
 TEXTS = [
