@@ -83,7 +83,7 @@ class Template:
         return by_name[name] if name in by_name else self.unescaped(name.removeprefix(self.mark + "="))
 
 
-# The roles that may follow each state; a valid conversation ends after an assistant's turn.
+# The roles that may follow each state; a valid conversation may end after any of them.
 MACHINE = {
     "start": {"system": "system", "user": "user"},
     "system": {"user": "user"},
@@ -91,7 +91,7 @@ MACHINE = {
     "assistant": {"user": "user"},
 }
 WRONG = "wrong"
-ACCEPTED = ("assistant",)
+ACCEPTED = ("system", "user", "assistant")
 
 
 def step(state: str, role: str) -> str:

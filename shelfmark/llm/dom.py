@@ -83,12 +83,12 @@ class Page:
                 self._close(tag)
                 continue
             attrs = found["attrs"] or found["attrs2"] or ""
-            self._start(tag, attrs)
-            if tag in RAW and not attrs.endswith("/"):
-                # What stands inside is no text of the page.
+            if tag not in RAW:
+                self._start(tag, attrs)
+            elif not attrs.endswith("/"):
+                # What stands inside is no text of the page, and the element no part of the tree.
                 close = re.compile(f"</{re.escape(tag)}\\b[^>]*(?:>|\\Z)", re.IGNORECASE).search(source, at)
                 at = close.end() if close else size
-                self._close(tag)
 
     def _add_text(self, text: str) -> None:
         if text and not text.isspace():

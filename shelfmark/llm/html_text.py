@@ -35,8 +35,8 @@ from shelfmark.llm.dom import INLINE, RAW, Page, names
 
 SAMPLE_PAGES = 200
 LAYOUT_PAGES = 600
-STEPS = 150
-RIDGE = 1e-4
+STEPS = 250
+RIDGE = 1e-6
 HASHES = 1 << 20
 SEED = 7
 
@@ -96,7 +96,7 @@ def nodes_of(pages: list[Page], cache: dict) -> Nodes:
         np.add.at(own, parent[spread], own[spread])
     share = (4 * linked / np.maximum(chars, 1)).astype(int).tolist()
     rate = np.minimum(100 * stops / np.maximum(chars, 1), 5).astype(int).tolist()
-    size, direct, level = _bucket(chars), _bucket(own), np.minimum(depth, 8).tolist()
+    size, direct = _bucket(chars), _bucket(own)
     features = []
     for k, (tag, attr) in enumerate(zip(tags, attrs, strict=True)):
         fixed = cache.get((tag, attr))
@@ -104,7 +104,7 @@ def nodes_of(pages: list[Page], cache: dict) -> Nodes:
             if len(cache) > 50_000:
                 cache.clear()
             fixed = cache[tag, attr] = [f"tag {tag}", *(f"name {name}" for name in names(attr))]
-        features.append([*fixed, f"size {size[k]}", f"direct {direct[k]}", f"links {share[k]}", f"stops {rate[k]}", f"depth {level[k]}"])
+        features.append([*fixed, f"size {size[k]}", f"direct {direct[k]}", f"links {share[k]}", f"stops {rate[k]}"])
     return Nodes(parent, depth, inline, features, first)
 
 
@@ -222,10 +222,13 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
     pages = []
     for _ in range(count):
         kinds = list(OTHER_NAMES)
-        before = "".join(other(k) for k in choose.sample(kinds, choose.randint(0, 4)))
-        after = "".join(other(k) for k in choose.sample(kinds, choose.randint(0, 4)))
-        blocks = [block() for _ in range(choose.randint(1, 9))]
-        if choose.random() < 0.4:
+        # A quarter of the pages are little more than a short article.
+        bare = choose.random() < 0.25
+        around = [0, 0, 0, 1] if bare else [0, 1, 2, 3, 4]
+        before = "".join(other(k) for k in choose.sample(kinds, choose.choice(around)))
+        after = "".join(other(k) for k in choose.sample(kinds, choose.choice(around)))
+        blocks = [block() for _ in range(choose.randint(1, 3 if bare else 9))]
+        if not bare and choose.random() < 0.4:
             blocks.insert(choose.randint(0, len(blocks)), other(choose.choice(["advert", "share", "sidebar", "form", "comment"])))
         tag = choose.choice(["article", "main", "div", "div", "section"])
         attrs = named(CONTENT_NAMES, 0.5 if tag in ("article", "main") else 0.8)
@@ -234,7 +237,10 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
         if choose.random() < 0.5:
             body = f'<div{named(["wrapper", "container", "page", "layout", "wrap"], 0.8)}>{body}{after}</div>'
             after = ""
-        pages.append(f"<html><head><title>{short()}</title></head><body>{before}{body}{after}</body></html>")
+        page = f"{before}{body}{after}"
+        if choose.random() < 0.8:
+            page = f"<html><head><title>{short()}</title></head><body>{page}</body></html>"
+        pages.append(page)
     return pages
 
 

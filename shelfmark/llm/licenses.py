@@ -166,7 +166,7 @@ def rules() -> tuple[Rule, ...]:
     spelled = [(label, ("creative commons", name)) for label, name in SPELLED.items()]
     for label, (keyword, name) in [*NAMES.items(), *spelled]:
         for version in VERSIONS.get(label, ()):
-            numbers = rf"{name}(?: (?:version|v))? {version}(?: 0)?"
+            numbers = rf"{name}(?: version)? (?:v ?)?{version}(?: 0)?"
             tail = "-".join((label, version.replace(" ", ".")))
             named.append((tail, keyword, f"{numbers} or (?:any )?later(?: version)?", 0.1))
             named.append((tail, keyword, numbers, 0.1))

@@ -187,16 +187,14 @@ def without_secrets(documents: DataFrame) -> DataFrame:
     some = documents.where(suspect)
     found = findings(written(scan(some), "ledger")).withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
     joined = some.join(found, F.sha2("text", 256) == F.col("_blob"), "left")
-    cleaned = F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    columns = {"text": cleaned}
-    if "n_chars" in documents.columns:
+    found = F.col("_spans").isNotNull()
+    clean = joined.withColumn("_clean", F.when(found, redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    columns = {name: F.col(name) for name in documents.columns} | {"text": F.col("_clean").alias("text")}
+    if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
-        n_chars = F.when(F.col("_spans").isNotNull(), F.length(cleaned).cast(kind)).otherwise(F.col("n_chars"))
-        columns["n_chars"] = n_chars
-    return (
-        joined.select(*(columns[name].alias(name) if name in columns else F.col(name) for name in documents.columns))
-        .unionByName(documents.where(~suspect))
-    )
+        n_chars = F.when(found, F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
+        columns["n_chars"] = n_chars.alias("n_chars")
+    return clean.select(*columns.values()).unionByName(documents.where(~suspect))
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:

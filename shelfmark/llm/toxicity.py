@@ -1,61 +1,91 @@
-"""Toxicity as ordered severity grades: cumulative-link regression on words.
+"""Toxicity as ordered severity grades: cumulative-link regression on sparse text features.
 
-The model has one weight per word, shared by all thresholds: the chance of a
-grade above k is the logistic of the sum of the weights of a text's distinct
-words minus threshold k. The output is the expected severity, the sum of these
+Features are words and word beginnings, each at up to four levels: present, and
+making up a half, one or two percent of the words (and there twice at least).
+The model has one weight per feature, shared by all thresholds: the chance of a
+grade above k is the logistic of the sum of the weights of a text's features
+minus threshold k. The output is the expected severity, the sum of these
 chances over the thresholds.
 
 It is trained on a bounded sample of labelled rows, at most about
-``SAMPLE_ROWS`` chosen by a hash of their id; words and thresholds come from
+``SAMPLE_ROWS`` chosen by a hash of their id; features and thresholds come from
 these rows alone. Where labels only say toxic or not, toxic rows are graded 1 or
-2 by how many of their words are marked, that is much more frequent among toxic
-rows. Near copies in the sample count once, by the smallest hash of their
-words, so that one text's own words don't become signs of toxicity.
+2 by how many of their features are marked, that is much more frequent among
+toxic rows. Near copies in the sample count once, by the smallest hash of their
+shingles, and a feature is used only if its share among toxic rows differs
+beyond chance for the number of features tried, so that single texts' own words
+don't become signs of toxicity.
 
 Scoring reads every text where it lies, whole; nothing is shuffled.
 
-Defined cases: a null text has no words; an unlabelled or empty training table
+Defined cases: a null text has no features; an unlabelled or empty training table
 gives a model that finds nothing toxic; null labels are left out; ids labelled
 more than once take the highest label; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.sizing import sent_if_small
-from shelfmark.llm.common import alnum_words, bounded_batches, texts, written
+from shelfmark.llm.common import ALNUM_TABLE, bounded_batches, texts, written
+from shelfmark.llm.simhash import shingle_hashes
 
 SAMPLE_ROWS = 10_000
 FEATURES = 4096
 SUPPORT = 4
+CHANCE = 0.01
+SHORTEST, LONGEST = 3, 8
+SHARES = (200, 100, 50)
 MARKED = 4.0
 GRADES = 2
-REJECT = 0.5
+REJECT = 0.25
 STEPS = 250
 RIDGE = 2e-4
 HASHES = 1 << 20
+MOST = np.iinfo(np.uint64).max
+
+
+def features_of(text: bytes, starts: set[str] | None = None) -> set[str]:
+    """Features as level, kind (= a word, ^ a beginning) and letters; with ``starts``, of such words only."""
+    words = text.translate(ALNUM_TABLE).decode("utf-8", "replace").split()
+    counts: Counter[str] = Counter()
+    for word, n in Counter(words).items():
+        if starts is not None and word[:SHORTEST] not in starts:
+            continue
+        counts["=" + word] += n
+        for size in range(SHORTEST, min(LONGEST, len(word) - 1) + 1):
+            counts["^" + word[:size]] += n
+    found = set()
+    for name, n in counts.items():
+        found.add("0" + name)
+        if n > 1:
+            found.update(f"{k}{name}" for k, share in enumerate(SHARES, 1) if n * share >= len(words))
+    return found
 
 
 @dataclass
 class Model:
-    """Weights by word and the thresholds in order; no thresholds: nothing is toxic."""
+    """Weights by feature and the thresholds in order; no thresholds: nothing is toxic."""
 
-    weights: dict[bytes, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def __post_init__(self):
+        self.starts = {name[2 : 2 + SHORTEST] for name in self.weights}
+
     def severity(self, text: bytes) -> float:
         if not len(self.thresholds):
             return 0.0
-        known = sorted(self.weights.keys() & set(alnum_words(text)))
-        total = sum(self.weights[word] for word in known)
+        known = sorted(self.weights.keys() & features_of(text, self.starts))
+        total = sum(self.weights[name] for name in known)
         return round(float(np.sum(1 / (1 + np.exp(self.thresholds - total)))), 6)
 
 
@@ -90,8 +120,8 @@ def fitted(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features
     return weights, gaps[0] + np.concatenate(([0], np.cumsum(np.exp(gaps[1:]))))
 
 
-def sample_words(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """label, words (distinct), n (of each) and copy_key of the sampled rows, one row per copy_key."""
+def sample_features(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """copy_key, label and features of the sampled rows, one row per copy_key."""
     bounded_batches(documents.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     total = known.count()
@@ -99,38 +129,31 @@ def sample_words(documents: DataFrame, labels: DataFrame, sample_rows: int) -> D
     some = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < share), "labels")
     source = documents.select("doc_id", "text").join(sent_if_small(some), "doc_id").select("label", "text")
 
-    def words_of(batches):
+    def features(batches):
         for batch in batches:
-            words, counts, keys = [], [], []
-            for text in texts(batch.column(1)):
-                seen, n = np.unique(np.array(alnum_words(text), object), return_counts=True) if text.strip() else ([], [])
-                words.append([word.decode("utf-8", "replace") for word in seen])
-                counts.append([int(k) for k in n])
-                hashes = [xxhash.xxh64_intdigest(word) >> 1 for word in seen]
-                keys.append(min(hashes, default=0))
+            values = texts(batch.column(1))
+            keys = [int(shingle_hashes(text).min(initial=MOST) >> np.uint64(1)) for text in values]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(words, pa.list_(pa.string())),
-                    pa.array(counts, pa.list_(pa.int64())),
                     pa.array(keys, pa.int64()),
+                    batch.column(0).cast(pa.int64()),
+                    pa.array([sorted(features_of(text)) for text in values], pa.list_(pa.string())),
                 ],
-                names=["label", "words", "n", "copy_key"],
+                names=["copy_key", "label", "features"],
             )
 
-    found = source.mapInArrow(words_of, "label long, words array<string>, n array<long>, copy_key long")
-    one = F.max(F.struct("label", "words", "n")).alias("one")
-    return found.groupBy("copy_key").agg(one).select("copy_key", "one.*")
+    found = source.mapInArrow(features, "copy_key long, label long, features array<string>")
+    return found.groupBy("copy_key").agg(F.max(F.struct("label", "features")).alias("one")).select("copy_key", "one.*")
 
 
-def chosen_words(sample: DataFrame) -> DataFrame:
-    """word, toxic, clean (rows that hold it) and odds of the words that tell most, at most ``FEATURES``."""
+def chosen_features(sample: DataFrame) -> DataFrame:
+    """name, toxic, clean (rows that hold it) and odds of the features that tell most, at most ``FEATURES``."""
     totals = sample.agg(
         F.sum((F.col("label") > 0).cast("long")).alias("all_toxic"), F.sum((F.col("label") <= 0).cast("long")).alias("all_clean")
     )
     counted = (
-        sample.select("label", F.explode("words").alias("word"))
-        .groupBy("word")
+        sample.select("label", F.explode("features").alias("name"))
+        .groupBy("name")
         .agg(
             F.sum((F.col("label") > 0).cast("long")).alias("toxic"),
             F.sum((F.col("label") <= 0).cast("long")).alias("clean"),
@@ -139,50 +162,52 @@ def chosen_words(sample: DataFrame) -> DataFrame:
         .join(F.broadcast(totals))  # a single row
     )
     odds = (F.col("toxic") + 0.5) / (F.col("all_toxic") + 1) / ((F.col("clean") + 0.5) / (F.col("all_clean") + 1))
-    telling = F.abs(F.log(odds)) * F.sqrt(F.col("toxic") + F.col("clean"))
+    held = F.col("toxic") + F.col("clean")
+    share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_clean"))
+
+    def gain(part: Column, expected: Column) -> Column:
+        return F.when(part > 0, part * F.log(part / expected)).otherwise(0.0)
+
+    # Log likelihood ratio of the feature's own share of toxic rows against that of all rows.
+    telling = gain(F.col("toxic"), held * share) + gain(F.col("clean"), held * (1 - share))
+    counted = counted.select("name", "toxic", "clean", odds.alias("odds"), telling.alias("telling"))
+    tried = counted.agg(F.log(F.count("*") / CHANCE).alias("least"))
     return (
-        counted.select("word", "toxic", "clean", odds.alias("odds"), telling.alias("telling"))
-        .orderBy(F.desc("telling"), "word")
+        counted.join(F.broadcast(tried))  # a single row
+        .where("telling >= least")
+        .drop("least")
+        .orderBy(F.desc("telling"), "name")
         .limit(FEATURES)
     )
 
 
 def trained(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows; ``labels.toxic`` is 0 or 1, or an ordered grade from 0."""
-    sample = written(sample_words(documents, labels, sample_rows), "sample")
-    features = {row["word"]: (k, row) for k, row in enumerate(chosen_words(sample).collect())}
-    place = {word: k for word, (k, _) in features.items()}
+    sample = written(sample_features(documents, labels, sample_rows), "sample")
+    chosen = chosen_features(sample).collect()
+    place = {row["name"]: k for k, row in enumerate(chosen)}
 
-    def featured(batches):
+    def placed(batches):
         for batch in batches:
-            found = [
-                [(place[word], n) for word, n in zip(words, counts, strict=True) if word in place]
-                for words, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
+            found = [[place[name] for name in names if name in place] for names in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())),
-                    pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64())),
-                ],
-                names=["copy_key", "label", "columns", "n"],
+                [*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["copy_key", "label", "columns"]
             )
 
-    rows = sample.mapInArrow(featured, "copy_key long, label long, columns array<int>, n array<long>").collect()
+    rows = sample.mapInArrow(placed, "copy_key long, label long, columns array<int>").collect()
     rows.sort(key=lambda row: row["copy_key"])
     grades = np.array([max(row["label"], 0) for row in rows], np.int64)
-    if not features or not grades.any() or grades.all():
+    if not place or not grades.any() or grades.all():
         return Model()
     if grades.max() == 1:
-        marked = {k for k, row in features.values() if row["odds"] >= MARKED and row["toxic"] >= SUPPORT}
-        n_marked = np.array([sum(n for k, n in zip(row["columns"], row["n"], strict=True) if k in marked) for row in rows])
+        marked = {k for k, row in enumerate(chosen) if row["odds"] >= MARKED}
+        n_marked = np.array([sum(k in marked for k in row["columns"]) for row in rows])
         toxic = n_marked[(grades == 1) & (n_marked > 0)]
         grades[(grades == 1) & (n_marked > (np.median(toxic) if len(toxic) else 0))] = GRADES
     sizes = np.array([len(row["columns"]) for row in rows])
     columns = np.array([k for row in rows for k in row["columns"]], np.int64)
-    weights, limits = fitted(np.repeat(np.arange(len(rows)), sizes), columns, grades, len(features))
-    return Model({word.encode(): float(weights[k]) for word, k in place.items()}, limits)
+    weights, limits = fitted(np.repeat(np.arange(len(rows)), sizes), columns, grades, len(place))
+    return Model({name: float(weights[k]) for name, k in place.items()}, limits)
 
 
 def scored(documents: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
