@@ -6,12 +6,14 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.catalog import Catalog
 from shelfmark.functions.sizing import sent_if_small, settled
 from shelfmark.functions.times import expiry, moment
+from shelfmark.operators.numbering import assign_ids
 from shelfmark.operators.quality import blocked_deletes
 from shelfmark.schemas import ForeignKey
 
@@ -19,13 +21,15 @@ from shelfmark.schemas import ForeignKey
 def latest(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row per ``key`` by ``order``; equal order is settled by the row itself.
 
-    An aggregate rather than a window: each task keeps one row per key, so a key
-    saved over and over costs one row per task in the shuffle.
+    Rows without a key are changes of their own and all stay. The window keeps
+    one row per key in each task before it shuffles, so a key saved over and
+    over costs one row per task.
     """
-    rest = [c for c in changes.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order)))
-    picked = changes.groupBy(key).agg(last.alias("_last"))
-    return picked.select(key, *(F.col("_last")[c].alias(c) for c in rest)).select(*changes.columns)
+    ranked = [*order, *(c for c in changes.columns if c not in (key, *order))]
+    last = W.partitionBy(key).orderBy(*(F.desc_nulls_last(c) for c in ranked))
+    keyed = changes.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(last))
+    kept = keyed.where("_rank = 1").select(*changes.columns)
+    return kept.unionByName(changes.where(F.col(key).isNull()))
 
 
 def with_defaults(df: DataFrame, now: datetime | None = None) -> DataFrame:
@@ -49,12 +53,17 @@ def upsert(
     """``base`` after saving ``changes``: new keys are inserted, known ones replaced.
 
     ``changes`` has the columns of ``base`` and those of ``order``; its last row
-    per key wins. Every saved row is stamped with ``updated_at = now``; one
+    per key wins. Rows without a key are all new and get fresh ones, above those
+    in use or given. Every saved row is stamped with ``updated_at = now``; one
     without ``created_at`` keeps the old one, or gets ``now`` if it is new.
     The saved rows are computed once. Rows not saved pass through one anti-join,
     which shuffles ``base`` only if the saved keys are too many to send to it.
     """
     saved = settled(latest(changes, key, order).select(*base.columns))
+    given = saved.where(F.col(key).isNotNull())
+    fresh = saved.where(F.col(key).isNull())
+    in_use = base.select(key).unionByName(given.select(key))
+    saved = given.unionByName(assign_ids(fresh, in_use, key).select(*base.columns))
     keys = sent_if_small(saved.select(key))
     untouched = base.join(keys, key, "left_anti").select(*base.columns)
     if "created_at" in base.columns:
@@ -78,10 +87,11 @@ def delete(
     :func:`~shelfmark.operators.quality.blocked_deletes` for which and why.
     Cascades are followed to the end, and references that allow it become null.
     Each consequence is one anti-join (or left join) against the deleted keys,
-    which are computed once per table.
+    which are computed once per table. A reference from a table the catalog
+    lacks is an error: give the rules that hold for the tables there are.
     """
     gone = keys.select("id").distinct()
-    if any(fk.parent == table and fk.on_delete == "restrict" and fk.child in catalog for fk in foreign_keys):
+    if any(fk.parent == table and fk.on_delete == "restrict" for fk in foreign_keys):
         refused = blocked_deletes(catalog, table, gone, foreign_keys).select("id")
         gone = gone.join(refused, "id", "left_anti")
     return _remove(catalog, table, settled(gone), foreign_keys)
@@ -92,7 +102,7 @@ def _remove(catalog: Catalog, table: str, gone: DataFrame, foreign_keys: Sequenc
     rows = catalog.table(table)
     result = catalog.replace(**{table: rows.join(gone, "id", "left_anti").select(*rows.columns)})
     for fk in foreign_keys:
-        if fk.parent != table or fk.child not in catalog:
+        if fk.parent != table:
             continue
         child = result.table(fk.child)
         hit = gone.select(F.col("id").alias(fk.column))

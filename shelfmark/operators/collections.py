@@ -77,17 +77,17 @@ def build_collections(
 
 
 def manifest(catalog: Catalog) -> DataFrame:
-    """Per collection: owner, number of datasets, total size, path and times."""
+    """Per collection, empty ones too: owner, number of datasets, total size, path and times."""
     sizes = archive_sizes(catalog.collection_datasets, catalog.dataset)
     return (
         catalog.user_dataset_collections.drop("archive_size_mb")
-        .join(sizes.withColumnRenamed("collection_id", "id"), "id")
+        .join(sizes.withColumnRenamed("collection_id", "id"), "id", "left")
         .select(
             F.col("id").alias("collection_id"),
             "user_id",
             "storage_path_hdfs",
-            "n_datasets",
-            "archive_size_mb",
+            F.coalesce("n_datasets", F.lit(0)).cast("bigint").alias("n_datasets"),
+            F.coalesce("archive_size_mb", F.lit(0)).cast("bigint").alias("archive_size_mb"),
             "created_at",
             "expires_at",
         )

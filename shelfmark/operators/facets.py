@@ -25,16 +25,16 @@ def _options(facet: str, names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def facets(
-    catalog: Catalog, ids: DataFrame | None = None, pairs_unique: bool = True
+    catalog: Catalog, ids: DataFrame | None = None, pairs_unique: bool = False
 ) -> DataFrame:
     """``(facet, option, n_datasets, low, high)`` over the catalog, or over ``ids`` only.
 
     Name facets count datasets per option; ``record_count`` and ``size`` give
     their range and how many datasets have a value. Counts are taken per key
     before names are joined, so map-side aggregation reduces each task to one
-    row per option however hot an option is. The links are pairs declared
-    unique; ``pairs_unique=False`` counts distinct datasets where that rule may
-    be broken, at the price of a shuffle of the links.
+    row per option however hot an option is. A dataset counts once
+    per option however often it is linked; ``pairs_unique=True`` spares the
+    shuffle of the links where their pairs are known to be unique.
     """
     datasets = catalog.dataset
     if ids is not None:

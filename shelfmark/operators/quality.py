@@ -11,16 +11,25 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.catalog import Catalog
+from shelfmark.functions.sizing import sent_if_small, settled
 from shelfmark.functions.tables import stacked
-from shelfmark.schemas import ForeignKey
+from shelfmark.schemas import ForeignKey, Rules
 
 
 def _key(columns: Sequence[str]) -> Column:
-    return F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns))
+    """One column's value as text, or several as a JSON list, so that no two keys look alike."""
+    if len(columns) == 1:
+        return F.coalesce(F.col(columns[0]).cast("string"), F.lit("?"))
+    return F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+
+
+def _unique_rule(columns: Sequence[str]) -> str:
+    return f"unique {','.join(columns)}"
 
 
 def _report(rule: str, table: str, rows: DataFrame, key: Column) -> DataFrame:
@@ -36,7 +45,7 @@ def duplicates(df: DataFrame, columns: Sequence[str], table: str = "") -> DataFr
     """Values of ``columns`` held by more than one row; null is never a duplicate."""
     present = df.dropna(subset=list(columns))
     held = present.groupBy(*columns).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
-    return _report("unique", table, held, _key(columns))
+    return _report(_unique_rule(columns), table, held, _key(columns))
 
 
 def without_duplicates(df: DataFrame, columns: Sequence[str], keep: str = "id") -> DataFrame:
@@ -44,14 +53,13 @@ def without_duplicates(df: DataFrame, columns: Sequence[str], keep: str = "id")
 
     Rows in which one of ``columns`` is null are all kept.
     """
-    others = [c for c in df.columns if c not in columns]
-    ranked = [keep, *(c for c in others if c != keep)] if keep in others else others
     whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-    if not others:
-        return df.where(whole).distinct().unionByName(df.where(~whole))
-    kept = df.where(whole).groupBy(*columns).agg(F.min(F.struct(*ranked)).alias("_rest"))
-    named = kept.select(*columns, *(F.col("_rest")[c].alias(c) for c in others)).select(*df.columns)
-    return named.unionByName(df.where(~whole))
+    rest = [c for c in df.columns if c not in (*columns, keep)]
+    order = [F.asc(c) for c in ([keep] if keep in df.columns else []) + rest] or [F.asc(columns[0])]
+    # The window keeps one row per value in each task before it shuffles.
+    first = W.partitionBy(*columns).orderBy(*order)
+    kept = df.where(whole).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    return kept.select(*df.columns).unionByName(df.where(~whole))
 
 
 def row_faults(
@@ -106,80 +114,77 @@ def orphan_rows(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
     return child.where(F.col(column).isNotNull()).join(parents, column, "left_anti").select(*child.columns)
 
 
-def all_orphans(catalog: Catalog, foreign_keys: Sequence[ForeignKey]) -> DataFrame:
-    """:func:`orphans` for many references: each table is read once and all keys join once.
+def _row_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    return _key(("id",) if "id" in df.columns else columns)
+
 
-    Every reference becomes a row naming its parent; rows are counted per value
-    in each task, and the counts meet the ids of all parents in one anti-join.
+def violations(catalog: Catalog, rules: Rules = schemas.CATALOG_RULES) -> DataFrame:
+    """All reports over all tables the catalog has, each table read once.
+
+    Every row names the rules it breaks, the values that must be unique and the
+    rows it refers to; all of that is counted per value in each task. The counts
+    of references meet the ids of their parents in one anti-join.
     """
-    held = [fk for fk in foreign_keys if fk.child in catalog and fk.parent in catalog]
-    children = list(dict.fromkeys(fk.child for fk in held))
+    names: list[tuple[str, str]] = []  # rule and table by number
+    unique: list[int] = []
+    held = [fk for fk in rules.foreign_keys if fk.child in catalog and fk.parent in catalog]
     parents = list(dict.fromkeys(fk.parent for fk in held))
+    nothing = F.lit(None).cast("bigint")
 
-    # References and parents go by number until the end, to keep the keys short.
-    def references(child: str) -> DataFrame:
-        keys = [
-            F.struct(
-                F.lit(number).alias("reference"),
-                F.lit(parents.index(fk.parent)).alias("parent"),
-                F.col(fk.column).cast("bigint").alias("id"),
-            )
-            for number, fk in enumerate(held)
-            if fk.child == child
-        ]
-        return catalog.table(child).select(F.inline(F.array(*keys)))
+    def entry(table: str, rule: str, applies: Column, key: Column, parent: Column, id_: Column) -> Column:
+        names.append((rule, table))
+        number = F.lit(len(names) - 1)
+        return F.when(
+            applies, F.struct(number.alias("rule"), parent.alias("parent"), id_.alias("id"), key.alias("key"))
+        )
 
-    used = (
-        stacked([references(child) for child in children])
-        .where(F.col("id").isNotNull())
-        .groupBy("reference", "parent", "id")
-        .agg(F.count("*").alias("n_rows"))
-    )
-    known = stacked(
-        [
-            catalog.table(parent).select(F.lit(number).alias("parent"), F.col("id").cast("bigint").alias("id"))
-            for number, parent in enumerate(parents)
-        ]
-    )
+    def entries(table: str) -> DataFrame:
+        df = catalog.table(table)
+        own = ["id"] if "id" in df.columns else []
+        keys = [columns for columns in ([own] if own else []) + [rules.unique.get(table, ())] if columns]
+        row = _row_key(df, rules.unique.get(table) or df.columns)
+        none = F.lit(None).cast("int")
+        found = []
+        for column in (*own, *rules.required.get(table, ())):
+            found.append(entry(table, f"required {column}", F.col(column).isNull(), row, none, nothing))
+        for column, most in rules.limits.get(table, {}).items():
+            found.append(entry(table, f"length {column}", F.length(column) > most, row, none, nothing))
+        for columns in keys:
+            whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+            unique.append(len(names))
+            found.append(entry(table, _unique_rule(columns), whole, _key(columns), none, nothing))
+        for fk in held:
+            if fk.child == table:
+                value = F.col(fk.column).cast("bigint")
+                parent = F.lit(parents.index(fk.parent))
+                key = F.lit(None).cast("string")
+                found.append(entry(table, f"reference {fk.column}", value.isNotNull(), key, parent, value))
+        # inline_outer, so that the tests are not run twice to see if any failed.
+        return df.select(F.inline_outer(F.array_compact(F.array(*found)))).where("rule IS NOT NULL")
+
+    ruled = [t for t in catalog if t in rules.required or t in rules.unique or "id" in catalog.table(t).columns]
+    counted = stacked([entries(t) for t in ruled]).groupBy("rule", "parent", "id", "key").agg(F.count("*").alias("n_rows"))
+    if parents:
+        known = stacked(
+            [
+                catalog.table(parent).select(F.lit(number).alias("parent"), F.col("id").cast("bigint").alias("id"))
+                for number, parent in enumerate(parents)
+            ]
+        )
+        counted = counted.join(known, ["parent", "id"], "left_anti")
 
-    def named(names: Sequence[str]) -> Column:
-        return F.get(F.array(*(F.lit(name) for name in names)), F.col("reference"))
+    def named(place: int) -> Column:
+        return F.get(F.array(*(F.lit(name[place]) for name in names)), F.col("rule"))
 
-    return used.join(known, ["parent", "id"], "left_anti").select(
-        named([f"reference {fk.column}" for fk in held]).alias("rule"),
-        named([fk.child for fk in held]).alias("table_name"),
-        F.col("id").cast("string").alias("key"),
+    broken = ~F.col("rule").isin(*unique) | (F.col("n_rows") > 1)
+    return counted.where(broken).select(
+        named(0).alias("rule"),
+        named(1).alias("table_name"),
+        F.coalesce("key", F.col("id").cast("string")).alias("key"),
         "n_rows",
     )
 
 
-def _row_key(catalog: Catalog, table: str) -> Sequence[str]:
-    if "id" in catalog.table(table).columns:
-        return ("id",)
-    return schemas.UNIQUE[table]
-
-
-def violations(
-    catalog: Catalog, foreign_keys: Sequence[ForeignKey] = schemas.APPLICATION_KEYS
-) -> DataFrame:
-    """All reports over all tables the catalog has."""
-    reports = [
-        duplicates(catalog.table(table), columns, table)
-        for table, columns in schemas.UNIQUE.items()
-        if table in catalog
-    ]
-    reports += [
-        row_faults(
-            catalog.table(table), required, schemas.TEXT_LIMITS.get(table), table, _row_key(catalog, table)
-        )
-        for table, required in schemas.REQUIRED.items()
-        if table in catalog
-    ]
-    if any(fk.child in catalog and fk.parent in catalog for fk in foreign_keys):
-        reports.append(all_orphans(catalog, foreign_keys))
-    return stacked(reports)
-
-
 def blocked_deletes(
     catalog: Catalog,
     table: str,
@@ -191,21 +196,14 @@ def blocked_deletes(
     ``keys`` has the ``id`` of each row of ``table`` to delete. Returns
     ``(id, referrer, n_rows)``: which column refers to it, in how many rows.
     """
-    wanted = keys.select("id").distinct()
+    wanted = sent_if_small(settled(keys.select("id").distinct()))
     reports = []
     for fk in foreign_keys:
-        if fk.parent == table and fk.on_delete == "restrict" and fk.child in catalog:
-            used = (
-                catalog.table(fk.child)
-                .where(F.col(fk.column).isNotNull())
-                .groupBy(F.col(fk.column).alias("id"))
-                .agg(F.count("*").alias("n_rows"))
-            )
-            reports.append(
-                used.join(wanted, "id", "left_semi").select(
-                    "id", F.lit(fk.name).alias("referrer"), "n_rows"
-                )
-            )
+        if fk.parent == table and fk.on_delete == "restrict":
+            # Only rows that refer to a wanted id are counted; a missing table is an error.
+            used = catalog.table(fk.child).select(F.col(fk.column).alias("id")).join(wanted, "id", "left_semi")
+            counted = used.groupBy("id").agg(F.count("*").alias("n_rows"))
+            reports.append(counted.select("id", F.lit(fk.name).alias("referrer"), "n_rows"))
     if not reports:
         nothing = wanted.where(F.lit(False))
         return nothing.select(

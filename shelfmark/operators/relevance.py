@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
-from shelfmark.functions.sizing import is_small
+from shelfmark.functions.sizing import is_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.functions.text import words
 
@@ -24,7 +24,6 @@ def relevance_topk(
     k: int = TOP,
     text_columns: Sequence[str] = ("title", "description"),
     id_column: str = "id",
-    small: bool | None = None,
     slots: int = SLOTS,
 ) -> DataFrame:
     """``(query_id, <id>, score, relevance_score, rank)``: the best ``k`` per query.
@@ -34,52 +33,64 @@ def relevance_topk(
     tie and the id decides. ``relevance_score`` is the score relative to the
     query's best, at most 1, as DECIMAL(5,4).
 
-    The whole text of every document is read, once for the totals and once for
-    the words. Only words some query asks for leave the scan, if the list of
-    them is counted small. Queries are sent to every task if they are few
-    (``small``, counted when not given), and otherwise joined with each word
-    cut into ``slots`` pieces. Ranking keeps ``k`` rows per query in every task
-    before it shuffles.
+    The whole text of every document is read once: what is kept of it is its
+    length and how often it holds each word some query asks for, and totals,
+    frequencies and scores all come from that. The list of asked words goes to
+    every task if it is counted small; otherwise words are joined by shuffle.
+    Queries are sent to every task if they are few, and otherwise joined with
+    each word cut into ``slots`` pieces. Ranking is done in ``slots`` pieces per
+    query first, so a query many documents answer is ranked by many tasks,
+    whatever ``k`` is; the pieces' best rows are ranked once more.
     """
-    text = F.concat_ws(" ", *text_columns)
-    tokens = docs.select(F.col(id_column).alias("_doc"), words(text).alias("_words")).withColumn(
-        "_length", F.size("_words")
+    asked = settled(
+        queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
     )
-    totals = tokens.agg(F.count("*").alias("docs"), F.sum("_length").alias("length"))
-    n_docs = totals.select(F.col("docs").cast("double")).scalar()
-    mean_length = totals.select(F.col("length").cast("double") / F.col("docs")).scalar()
+    vocabulary = asked.select("word").distinct()
+    small, few_words = is_small(asked), is_small(vocabulary)
 
-    asked = queries.select(
-        "query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word")
+    text = F.concat_ws(" ", *text_columns)
+    tokens = docs.select(F.col(id_column).alias("_doc"), words(text).alias("_words"))
+    # The null word stands for the document itself, so that its length counts
+    # whether or not it holds an asked word.
+    occurrences = tokens.select(
+        "_doc", F.size("_words").alias("_length"), F.explode(F.array_append("_words", F.lit(None))).alias("word")
     )
-    vocabulary = asked.select("word").distinct()
-    if small is None:
-        small = is_small(asked)
-    # explode_outer: a plain explode would first test the size of the word list,
-    # and so split every text twice. The join drops the null of an empty text.
-    occurrences = tokens.select("_doc", "_length", F.explode_outer("_words").alias("word"))
-    if small or is_small(vocabulary):
-        occurrences = occurrences.join(F.broadcast(vocabulary), "word", "left_semi")
-    counted = occurrences.groupBy("_doc", "word", "_length").agg(F.count("*").alias("tf"))
-    # Every row counts; naming tf keeps this plan equal to the one scored below,
-    # so that the texts are read and shuffled once for both.
-    frequency = counted.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    if few_words:
+        known = F.broadcast(vocabulary.withColumn("_asked", F.lit(True)))
+    else:
+        known = vocabulary.withColumn("_asked", F.lit(True))
+    kept = occurrences.join(known, "word", "left").where(F.col("word").isNull() | F.col("_asked"))
+    counted = settled(kept.groupBy("_doc", "_length", "word").agg(F.count("*").alias("tf")))
 
-    weight = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(frequency, "word").select("query_id", "word", weight.alias("weight"))
+    totals = counted.where("word IS NULL").agg(
+        F.sum("tf").cast("double").alias("n_docs"),
+        (F.sum(F.col("_length") * F.col("tf")).cast("double") / F.sum("tf")).alias("mean_length"),
+    )
+    counted = counted.where("word IS NOT NULL")
+    weight = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = (
+        asked.join(counted.groupBy("word").agg(F.count("*").alias("df")), "word")
+        .join(F.broadcast(totals))  # a single row
+        .select("query_id", "word", weight.alias("weight"), "mean_length")
+    )
     if small:
         scored = counted.join(F.broadcast(weighted), "word")
     else:
         scored = spread_join(counted, weighted, "word", spread="_doc", slots=slots)
-    saturation = F.col("tf") + K1 * (1 - B + B * F.col("_length") / mean_length)
+    saturation = F.col("tf") + K1 * (1 - B + B * F.col("_length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / saturation
     totalled = (
         scored.select("query_id", "_doc", part.alias("part"))
         .groupBy("query_id", "_doc")
         .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+        .withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(slots)))
     )
-    best_first = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_doc"))
-    top = totalled.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+
+    def ranked(rows: DataFrame, *group: str) -> DataFrame:
+        best_first = W.partitionBy(*group).orderBy(F.desc("score"), F.asc("_doc"))
+        return rows.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+
+    top = ranked(ranked(totalled, "query_id", "_slot").drop("rank"), "query_id")
     best = F.max("score").over(W.partitionBy("query_id"))
     relative = F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0))
     return top.select(

@@ -18,6 +18,7 @@ from shelfmark.operators.filters import (
     parse_parameters,
     text_match,
 )
+from shelfmark.operators.requests import checked_request
 from shelfmark.schemas import DATASET
 
 
@@ -31,9 +32,12 @@ def find(
 
     ``"as_written"`` keeps the historic answers: one copy of a dataset per
     combination of matching links, and the parameter quirks described in
-    :func:`~shelfmark.operators.filters.parse_parameters`.
+    :func:`~shelfmark.operators.filters.parse_parameters`. Either way texts are
+    trimmed and a request that breaks a rule is refused, as in a batch; see
+    :func:`~shelfmark.operators.requests.checked_request`.
     """
-    conditions = parse_parameters(params or {}, semantics).conditions
+    query, params = checked_request(query, params)
+    conditions = parse_parameters(params, semantics).conditions
     matched = catalog.dataset.where(text_match(query))
     found = apply_conditions(matched, catalog, conditions, copies=semantics == AS_WRITTEN)
     return found.select(*catalog.dataset.columns)

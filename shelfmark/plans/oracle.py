@@ -28,12 +28,12 @@ _VIEWS = {
             FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""",
     "dataset_modality": """
         SELECT DISTINCT l_partkey AS dataset_id, CAST(s_nationkey AS BIGINT) AS modality_id
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 48""",
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
     "dataset_ml_task": """
         SELECT DISTINCT l_partkey AS dataset_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS ml_task_id
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_discount >= 0.095""",
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "dataset_tag": """
-        SELECT DISTINCT l_partkey AS dataset_id, l_suppkey AS tag_id FROM lineitem WHERE l_tax >= 0.075""",
+        SELECT DISTINCT l_partkey AS dataset_id, l_suppkey AS tag_id FROM lineitem""",
     "roles": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation",
     "users": """
         SELECT c_custkey AS id, c_name AS username, CAST(c_nationkey AS BIGINT) AS role_id,
@@ -47,6 +47,13 @@ _VIEWS = {
         SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 8
                           ELSE 13 END
         FROM customer""",
+    "user_permissions": """
+        SELECT DISTINCT o_custkey AS user_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS permission_id
+        FROM orders""",
+    "group_permissions": """
+        SELECT DISTINCT CAST(ascii(c_mktsegment) - 64 AS BIGINT) AS group_id,
+               CAST(c_nationkey AS BIGINT) AS permission_id
+        FROM customer""",
     "log": """
         SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id,
                CASE event_id % 6 WHEN 0 THEN 'ring' WHEN 1 THEN 'ECON' WHEN 2 THEN 'red '
@@ -152,7 +159,7 @@ _SEARCH_BAG = """
 _SEARCH_VIEWS = "text_hit modality ml_task dataset_modality dataset_ml_task"
 
 
-def _relevance(docs: str, queries: str, id_column: str) -> str:
+def _relevance(docs: str, queries: str, id_column: str, k: int = 5) -> str:
     """BM25 as views ending in ``ranked``; ``docs`` is (doc, text), ``queries`` (query_id, query)."""
     words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
     return f"""
@@ -174,9 +181,13 @@ def _relevance(docs: str, queries: str, id_column: str) -> str:
                    CAST(CAST(score / max(score) OVER (PARTITION BY query_id) AS DECIMAL(5,4)) AS DOUBLE)
                        AS relevance_score,
                    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INTEGER) AS rank
-            FROM scored QUALIFY rank <= 5)"""
+            FROM scored QUALIFY rank <= {k})"""
 
 
+_DOCUMENT_QUERIES = """
+    SELECT * FROM (VALUES (0, 'the by anat'), (1, 'die und der'), (2, 'la de que'), (3, 'thereon'),
+                          (4, 'Eauouon à côté')) AS q(query_id, query)"""
+
 _CATALOG_DOCS = "SELECT id AS doc, concat_ws(' ', title, description) AS text FROM dataset"
 
 _BATCH = _sql(
@@ -247,10 +258,20 @@ ORACLES: dict[str, str] = {
                  FROM (SELECT id, string_split(translate(title, ' e', ',,'), ',') AS items FROM dataset))""",
     ),
     "search_set": _sql(
-        _SEARCH_VIEWS, f"SELECT id, title, record_count, created_at FROM text_hit h WHERE {_SEARCH_SET}"
+        _SEARCH_VIEWS,
+        f"""SELECT id, title, record_count, created_at,
+                   row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id) - 1 AS position
+            FROM text_hit h WHERE {_SEARCH_SET}""",
     ),
     "search_set_size": _sql(
-        _SEARCH_VIEWS, f"SELECT id, size FROM text_hit h WHERE {_SEARCH_SET} AND size <= 30"
+        _SEARCH_VIEWS,
+        f"""SELECT id, size, row_number() OVER (ORDER BY size ASC NULLS LAST, id) - 1 AS position
+            FROM text_hit h WHERE {_SEARCH_SET} AND size <= 30""",
+    ),
+    "search_untrimmed": _sql(
+        "text_hit anatomical_area",
+        """SELECT h.id, title FROM text_hit h JOIN anatomical_area a ON a.id = anatomical_area_id
+           WHERE a.name = 'ASIA' AND record_count >= 25""",
     ),
     "search_bag": _sql(_SEARCH_VIEWS, f"SELECT h.id, h.title, h.size {_SEARCH_BAG}"),
     "search_count": _sql(
@@ -284,7 +305,8 @@ ORACLES: dict[str, str] = {
     ),
     "detail_of_search": _sql(
         "detail text_hit",
-        "SELECT * FROM detail WHERE id IN (SELECT id FROM text_hit WHERE record_count >= 25)",
+        """SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id) - 1 AS position
+           FROM detail WHERE id IN (SELECT id FROM text_hit WHERE record_count >= 25)""",
     ),
     "response_rows": _sql(
         "dataset anatomical_area modality ml_task tag dataset_modality dataset_ml_task dataset_tag",
@@ -312,13 +334,30 @@ ORACLES: dict[str, str] = {
             )
         ),
     ),
-    "users_newest": _sql("users", "SELECT id, username, role_id, date_joined FROM users"),
+    "users_newest": _sql(
+        "users",
+        """SELECT id, username, role_id, date_joined,
+                  row_number() OVER (ORDER BY date_joined DESC NULLS FIRST, id) - 1 AS position FROM users""",
+    ),
     "user_groups": _sql(
         "users user_groups",
         """SELECT id, coalesce((SELECT string_agg(CAST(group_id AS VARCHAR), ',' ORDER BY group_id)
                                FROM user_groups WHERE user_id = id), '') AS groups FROM users""",
     ),
-    "groups_by_name": _sql("groups_", "SELECT id, name FROM groups_"),
+    "user_permissions": _sql(
+        "users user_permissions",
+        """SELECT id, coalesce((SELECT string_agg(CAST(permission_id AS VARCHAR), ',' ORDER BY permission_id)
+                               FROM user_permissions WHERE user_id = id), '') AS permissions FROM users""",
+    ),
+    "group_permissions": _sql(
+        "groups_ group_permissions",
+        """SELECT id, name, coalesce((SELECT string_agg(CAST(permission_id AS VARCHAR), ',' ORDER BY permission_id)
+                               FROM group_permissions WHERE group_id = id), '') AS permissions FROM groups_""",
+    ),
+    "groups_by_name": _sql(
+        "groups_",
+        "SELECT id, name, row_number() OVER (ORDER BY name ASC NULLS LAST, id) - 1 AS position FROM groups_",
+    ),
     "account_by_id": _sql(
         "users groups_",
         """SELECT id, username AS name FROM users WHERE id = 42
@@ -358,10 +397,10 @@ ORACLES: dict[str, str] = {
                   FROM text_hit
            UNION ALL SELECT 'size', NULL, count(size), min(size), max(size) FROM text_hit""",
     ),
-    "dup_names": _sql("dataset", _count_rows("dataset", "title", "unique", "dataset") + " HAVING count(*) > 1"),
+    "dup_names": _sql("dataset", _count_rows("dataset", "title", "unique title", "dataset") + " HAVING count(*) > 1"),
     "dup_pairs": _sql(
         "member",
-        """SELECT 'unique' AS rule, 'collection_datasets' AS table_name, query_id || '/' || dataset_id AS key,
+        """SELECT 'unique query_id,dataset_id' AS rule, 'collection_datasets' AS table_name, '["' || query_id || '","' || dataset_id || '"]' AS key,
                   count(*) AS n_rows
            FROM member GROUP BY query_id, dataset_id HAVING count(*) > 1""",
     ),
@@ -393,7 +432,23 @@ ORACLES: dict[str, str] = {
            WHERE NOT EXISTS (SELECT 1 FROM with_area d WHERE d.id = b.dataset_id)""",
     ),
     "all_violations": _sql(
-        "with_area dataset_modality dataset_ml_task dataset_tag member", _ORPHANED
+        "with_area dataset_modality dataset_ml_task dataset_tag member anatomical_area user_groups users",
+        _ORPHANED
+        + "".join(
+            f""" UNION ALL SELECT 'required {name}', 'dataset', CAST(id AS VARCHAR), 1 FROM with_area
+                WHERE {name} IS NULL"""
+            for name in ("created_at", "updated_at")
+        )
+        + """ UNION ALL SELECT 'unique id', 'anatomical_area', CAST(id AS VARCHAR), 2 FROM anatomical_area
+              UNION ALL SELECT 'unique name', 'anatomical_area', name, 3 FROM anatomical_area
+              UNION ALL SELECT 'required id', 'anatomical_area', '?', count(*) FROM anatomical_area
+              UNION ALL SELECT 'required name', 'anatomical_area', CAST(id + 100 AS VARCHAR), 1 FROM anatomical_area
+              UNION ALL SELECT 'length name', 'anatomical_area', CAST(id + 200 AS VARCHAR), 1 FROM anatomical_area
+              UNION ALL SELECT 'unique user_id,group_id', 'user_groups',
+                        '["' || user_id || '","' || group_id || '"]', 2 FROM user_groups WHERE user_id % 7 = 0
+              UNION ALL SELECT 'required group_id', 'user_groups', '["' || user_id || '",null]', count(*)
+                        FROM user_groups WHERE user_id % 7 = 1 GROUP BY user_id
+              UNION ALL SELECT 'reference role_id', 'users', '-1', count(*) FROM users WHERE id % 11 = 0""",
     ),
     "delete_blocked": _sql(
         "dataset member",
@@ -406,13 +461,13 @@ ORACLES: dict[str, str] = {
            FROM roles r JOIN users u ON u.role_id = r.id GROUP BY r.id""",
     ),
     "delete_cascade": _sql(
-        "dataset dataset_modality dataset_ml_task dataset_tag",
-        """SELECT 'dataset' AS table_name, id AS dataset_id, count(*) AS n_rows FROM dataset
-           WHERE id IN (SELECT dataset_id FROM dataset_ml_task) GROUP BY id
-           UNION ALL SELECT 'dataset_modality', dataset_id, count(*) FROM dataset_modality
-           WHERE dataset_id IN (SELECT dataset_id FROM dataset_ml_task) GROUP BY dataset_id
-           UNION ALL SELECT 'dataset_tag', dataset_id, count(*) FROM dataset_tag
-           WHERE dataset_id IN (SELECT dataset_id FROM dataset_ml_task) GROUP BY dataset_id""",
+        "with_area dataset_modality dataset_ml_task dataset_tag",
+        "SELECT 'dataset' AS table_name, id AS dataset_id, count(*) AS n_rows FROM with_area GROUP BY id"
+        + "".join(
+            f""" UNION ALL SELECT '{table}', dataset_id, count(*) FROM {table}
+                WHERE dataset_id IN (SELECT id FROM with_area) GROUP BY dataset_id"""
+            for table in ("dataset_modality", "dataset_ml_task", "dataset_tag")
+        ),
     ),
     "delete_set_null": _sql(
         "dataset anatomical_area",
@@ -427,6 +482,15 @@ ORACLES: dict[str, str] = {
                 ON collection_id = id
            WHERE user_id IN (SELECT user_id FROM log WHERE user_id IS NOT NULL) GROUP BY user_id""",
     ),
+    "insert_without_id": _sql(
+        "dataset log",
+        """SELECT title, description, record_count, created_at, updated_at, false AS fresh, count(*) AS n_rows,
+                  count(*) AS n_ids
+           FROM dataset GROUP BY ALL
+           UNION ALL
+           SELECT query_text, filters, k, TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01', true, count(*), count(*)
+           FROM log GROUP BY ALL""",
+    ),
     "upsert_latest": _sql(
         "dataset save",
         """SELECT coalesce(s.id, d.id) AS id,
@@ -463,9 +527,9 @@ ORACLES: dict[str, str] = {
     ),
     "collection_manifest": _sql(
         "member dataset collection",
-        """SELECT c.id AS collection_id, user_id, storage_path_hdfs, count(*) AS n_datasets,
+        """SELECT c.id AS collection_id, user_id, storage_path_hdfs, count(d.id) AS n_datasets,
                   CAST(coalesce(sum(size), 0) AS BIGINT) AS archive_size_mb, c.created_at, c.expires_at
-           FROM collection c JOIN member ON collection_id = c.id JOIN dataset d ON d.id = dataset_id
+           FROM collection c LEFT JOIN member ON collection_id = c.id LEFT JOIN dataset d ON d.id = dataset_id
            GROUP BY ALL""",
     ),
     "collection_contents": _sql(
@@ -510,7 +574,9 @@ ORACLES: dict[str, str] = {
     "saved_requests": _sql(
         "log",
         """SELECT id, query_text, CASE WHEN id % 2 = 0 THEN CAST(k AS VARCHAR) END AS record_count_min,
-                  CAST(NULL AS VARCHAR) AS size_max FROM log""",
+                  CAST(NULL AS VARCHAR) AS size_max, CASE WHEN id % 2 = 0 THEN 'CT,MRI' END AS modalities_list,
+                  CASE WHEN id % 2 = 0 THEN 'a,b' END AS tags_list,
+                  CASE WHEN id % 2 = 0 THEN 'size' END AS ordering FROM log""",
     ),
     "batch_search": _BATCH,
     "batch_search_shuffled": _BATCH,
@@ -547,11 +613,13 @@ ORACLES: dict[str, str] = {
     "relevance_documents": "WITH "
     + _relevance(
         "SELECT doc_id AS doc, text FROM documents",
-        """SELECT * FROM (VALUES (0, 'the by anat'), (1, 'die und der'), (2, 'la de que'), (3, 'thereon'),
-                                 (4, 'Eauouon à côté')) AS q(query_id, query)""",
+        _DOCUMENT_QUERIES,
         "doc_id",
     )
     + " SELECT * FROM ranked",
+    "relevance_many": "WITH "
+    + _relevance("SELECT doc_id AS doc, text FROM documents", _DOCUMENT_QUERIES, "doc_id", 2000)
+    + " SELECT * FROM ranked",
     "too_long": """
         SELECT 'length text' AS rule, 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS key,
                CAST(1 AS BIGINT) AS n_rows FROM documents WHERE length(text) > 500

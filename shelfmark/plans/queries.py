@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
+from shelfmark.functions.tables import stacked
 from shelfmark.functions.text import split_list
 from shelfmark.operators import accounts, batch, changes, collections, facets, quality, relevance
 from shelfmark.operators import search as searching
 from shelfmark.operators.detail import detail_by_ids, detail_view, display_names, json_rows, labels
 from shelfmark.operators.filters import apply_conditions, parse_parameters, text_match
-from shelfmark.operators.numbering import assign_ids
+from shelfmark.operators.numbering import assign_ids, number_rows
 from shelfmark.operators.paging import page
 from shelfmark.operators.requests import FIELDS, check_requests, read_filters
-from shelfmark.schemas import STRICT_KEYS, UNIQUE
+from shelfmark.schemas import LINK_KEYS, RELATIONS, STRICT_KEYS
 from shelfmark.sources.fixtures import documents, fixture_catalog, logged_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,12 +108,19 @@ def split_items(c: Catalog) -> DataFrame:
 
 @_query
 def search_set(c: Catalog) -> DataFrame:
-    return searching.search(c, TEXT, PARAMS).select("id", "title", "record_count", "created_at")
+    found = searching.search(c, TEXT, PARAMS).select("id", "title", "record_count", "created_at")
+    return number_rows(found)
 
 
 @_query
 def search_set_size(c: Catalog) -> DataFrame:
-    return searching.search(c, TEXT, {**SIZED, "ordering": ["size", "asc"]}).select("id", "size")
+    return number_rows(searching.search(c, TEXT, {**SIZED, "ordering": ["size", "asc"]}).select("id", "size"))
+
+
+@_query
+def search_untrimmed(c: Catalog) -> DataFrame:
+    params = {"record_count_min": " 25.0 ", "anatomical_area_name": "\tASIA ", "tags_list": "  ", "size_max": ""}
+    return searching.find(c, f"  {TEXT}\n", params).select("id", "title")
 
 
 @_query
@@ -173,7 +182,7 @@ def detail_by_ids_query(c: Catalog) -> DataFrame:
 
 @_query
 def detail_of_search(c: Catalog) -> DataFrame:
-    return _as_text(searching.search_details(c, TEXT, {"record_count_min": 25}))
+    return number_rows(_as_text(searching.search_details(c, TEXT, {"record_count_min": 25})))
 
 
 @_query
@@ -191,7 +200,7 @@ def shown_as(c: Catalog) -> DataFrame:
 
 @_query
 def users_newest(c: Catalog) -> DataFrame:
-    return accounts.users(c)
+    return number_rows(accounts.users(c))
 
 
 @_query
@@ -200,9 +209,23 @@ def user_groups(c: Catalog) -> DataFrame:
     return listed.select("id", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
+def _ids_text(column: str):
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@_query
+def user_permissions(c: Catalog) -> DataFrame:
+    return accounts.users_with_groups(c).select("id", _ids_text("permissions"))
+
+
+@_query
+def group_permissions(c: Catalog) -> DataFrame:
+    return accounts.groups_with_permissions(c).select("id", "name", _ids_text("permissions"))
+
+
 @_query
 def groups_by_name(c: Catalog) -> DataFrame:
-    return accounts.groups(c)
+    return number_rows(accounts.groups(c))
 
 
 @_query
@@ -221,7 +244,7 @@ def facets_query(c: Catalog) -> DataFrame:
 
 @_query
 def facets_of_search(c: Catalog) -> DataFrame:
-    return facets.facets(c, searching.find(c, TEXT).select("id"), pairs_unique=False)
+    return facets.facets(c, searching.find(c, TEXT).select("id"))
 
 
 # Integrity
@@ -263,15 +286,31 @@ def orphaned_rows(c: Catalog) -> DataFrame:
     return quality.orphan_rows(c.dataset_tag, "dataset_id", _without_area(c).dataset)
 
 
-@_query
-def all_violations(c: Catalog) -> DataFrame:
-    return quality.violations(_without_area(c))
+def _faulty(c: Catalog) -> Catalog:
+    """A catalog with rows that break every kind of rule."""
+    areas, links, users = c.anatomical_area, c.user_groups, c.users
+    name, id_ = F.col("name"), F.col("id")
+    bad = [
+        areas.select(id_, name),
+        areas.select(F.lit(None).cast("bigint").alias("id"), name),
+        areas.select(id_ + 100, F.lit(None).cast("string")),
+        areas.select(id_ + 200, F.repeat(name, 100)),
+    ]
+    bad_links = [
+        links.where("user_id % 7 = 0"),
+        links.where("user_id % 7 = 1").withColumn("group_id", F.lit(None).cast("bigint")),
+    ]
+    role = F.when(F.col("id") % 11 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("role_id"))
+    return _without_area(c).replace(
+        anatomical_area=reduce(DataFrame.union, bad, areas),
+        user_groups=reduce(DataFrame.unionByName, bad_links, links),
+        users=users.withColumn("role_id", role),
+    )
 
 
-def _unclassified(c: Catalog) -> DataFrame:
-    """Datasets no machine-learning task is linked to."""
-    linked = c.dataset_ml_task.select(F.col("dataset_id").alias("id"))
-    return c.dataset.select("id").join(linked, "id", "left_anti")
+@_query
+def all_violations(c: Catalog) -> DataFrame:
+    return quality.violations(_faulty(c))
 
 
 @_query
@@ -289,15 +328,15 @@ def delete_blocked_roles(c: Catalog) -> DataFrame:
 
 @_query
 def delete_cascade(c: Catalog) -> DataFrame:
-    """Deletes unclassified datasets of an application without collections."""
-    tables = ("dataset", *(name for name in UNIQUE if name.startswith("dataset_")))
-    app = Catalog(**{name: c.table(name) for name in tables})
-    left = changes.delete(app, "dataset", _unclassified(c))
-    parts = [
-        left.table(name).select(F.lit(name).alias("table_name"), F.col(key).alias("dataset_id"))
-        for name, key in (("dataset", "id"), ("dataset_modality", "dataset_id"), ("dataset_tag", "dataset_id"))
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Deletes datasets without an area under the rules of an application that has no collections."""
+    left = changes.delete(c, "dataset", c.dataset.where("anatomical_area_id IS NULL"), LINK_KEYS)
+    links = [(relation.bridge, "dataset_id") for relation in RELATIONS.values()]
+    rows = stacked(
+        [
+            left.table(name).select(F.lit(name).alias("table_name"), F.col(key).alias("dataset_id"))
+            for name, key in (("dataset", "id"), *links)
+        ]
+    )
     return rows.groupBy("table_name", "dataset_id").agg(F.count("*").alias("n_rows"))
 
 
@@ -349,6 +388,18 @@ def upsert_latest(c: Catalog) -> DataFrame:
     return saved.select("id", "title", "description", "record_count", "created_at", "updated_at")
 
 
+@_query
+def insert_without_id(c: Catalog) -> DataFrame:
+    """Every logged search saved as a new dataset: none is lost, and each gets an id of its own."""
+    new = _saves(c).withColumns({"id": F.lit(None).cast("bigint"), "title": F.regexp_replace("title", " [0-9]+$", "")})
+    saved = changes.upsert(c.dataset, new, order=("saved_at", "save_id"), now=NOW)
+    top = c.dataset.agg(F.max("id")).scalar()
+    fresh = (F.col("id") > top).alias("fresh")
+    return saved.groupBy("title", "description", "record_count", "created_at", "updated_at", fresh).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids")
+    )
+
+
 @_query
 def default_times(c: Catalog) -> DataFrame:
     blank = c.user_dataset_collections.select(
@@ -482,10 +533,17 @@ def saved_requests(c: Catalog) -> DataFrame:
         "filters",
         F.when(
             F.col("id") % 2 == 0,
-            F.concat(F.lit('{"record_count_min": "'), F.get_json_object("filters", "$.k"), F.lit('"}')),
+            F.concat(
+                F.lit('{"record_count_min": "'),
+                F.get_json_object("filters", "$.k"),
+                F.lit('", "modalities_list": ["CT", "MRI"], "tags_list": "a,b", "ordering": "size"}'),
+            ),
         ),
     )
-    return read_filters(log).select("id", "query_text", "record_count_min", "size_max")
+    ordering = F.array_join("ordering", ",").alias("ordering")
+    return read_filters(log).select(
+        "id", "query_text", "record_count_min", "size_max", "modalities_list", "tags_list", ordering
+    )
 
 
 # Batch search
@@ -554,15 +612,26 @@ def relevance_documents(spark: SparkSession, root: str) -> DataFrame:
     return _ranked(found)
 
 
+def relevance_many(spark: SparkSession, root: str) -> DataFrame:
+    """More hits per query than a task keeps by a per-task limit."""
+    asked = F.posexplode(F.array(*(F.lit(text) for text in DOCUMENT_QUERIES)))
+    queries = spark.range(1).select(asked.alias("query_id", "query"))
+    found = relevance.relevance_topk(
+        documents(spark, root), queries, 2000, text_columns=("text",), id_column="doc_id"
+    )
+    return _ranked(found)
+
+
 def long_documents(spark: SparkSession, root: str) -> DataFrame:
     return quality.too_long(documents(spark, root), {"text": 500, "source": 3}, "documents", ["doc_id"])
 
 
 _REGISTRY["relevance_documents"] = relevance_documents
+_REGISTRY["relevance_many"] = relevance_many
 _REGISTRY["too_long"] = long_documents
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """One search end to end: text, lists and a bound, in order, with details."""
     catalog = fixture_catalog(spark, root)
-    return _as_text(searching.search_details(catalog, TEXT, PARAMS)).limit(5)
+    return _as_text(searching.search_details(catalog, TEXT, PARAMS))

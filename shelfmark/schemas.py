@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -83,25 +84,32 @@ TEXT_LIMITS: dict[str, dict[str, int]] = {
     "tag": {"name": 50},
     "dataset": {"title": 500, "external_path": 1000, "local_path": 500},
     "roles": {"name": 20},
+    "users": {"username": 50},
     "user_dataset_collections": {"storage_path_hdfs": 500},
 }
 
+# Columns that must not be null.
 REQUIRED: dict[str, tuple[str, ...]] = {
     "anatomical_area": ("name",),
     "modality": ("name",),
     "ml_task": ("name",),
     "tag": ("name",),
-    "dataset": ("title",),
+    "dataset": ("title", "created_at", "updated_at"),
     "dataset_modality": ("dataset_id", "modality_id"),
     "dataset_ml_task": ("dataset_id", "ml_task_id"),
     "dataset_tag": ("dataset_id", "tag_id"),
     "roles": ("name",),
     "users": ("username", "role_id"),
+    "groups": ("name",),
+    "user_groups": ("user_id", "group_id"),
+    "user_permissions": ("user_id", "permission_id"),
+    "group_permissions": ("group_id", "permission_id"),
     "user_search_queries": ("query_text",),
     "user_dataset_collections": ("user_id", "storage_path_hdfs"),
     "collection_datasets": ("collection_id", "dataset_id", "query_id"),
 }
 
+# Columns whose values, taken together, must not repeat.
 UNIQUE: dict[str, tuple[str, ...]] = {
     "anatomical_area": ("name",),
     "modality": ("name",),
@@ -112,6 +120,10 @@ UNIQUE: dict[str, tuple[str, ...]] = {
     "dataset_tag": ("dataset_id", "tag_id"),
     "roles": ("name",),
     "users": ("username",),
+    "groups": ("name",),
+    "user_groups": ("user_id", "group_id"),
+    "user_permissions": ("user_id", "permission_id"),
+    "group_permissions": ("group_id", "permission_id"),
     "collection_datasets": ("collection_id", "dataset_id"),
 }
 
@@ -130,7 +142,7 @@ class ForeignKey:
         return f"{self.child}.{self.column}"
 
 
-# Two rule sets are declared for the catalog tables. The application rules let a
+# Two rule sets are declared for the catalog tables. The application rules let a
 # lookup row take its links with it; the strict ones refuse while it is used.
 _SHARED_KEYS = (
     ForeignKey("dataset_modality", "dataset_id", "dataset", "cascade"),
@@ -161,3 +173,32 @@ STRICT_KEYS = (
     ForeignKey("dataset_ml_task", "ml_task_id", "ml_task", "restrict"),
     ForeignKey("dataset_tag", "tag_id", "tag", "restrict"),
 ) + _SHARED_KEYS
+
+# The application rules for the catalog tables alone: a database without collections.
+LINK_KEYS = tuple(
+    fk for fk in APPLICATION_KEYS if fk.child in ("dataset", *(relation.bridge for relation in RELATIONS.values()))
+)
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What the rows of a catalog must keep. Tables with an ``id`` hold each id once and never null."""
+
+    required: Mapping[str, Sequence[str]]
+    unique: Mapping[str, Sequence[str]]
+    limits: Mapping[str, Mapping[str, int]]
+    foreign_keys: Sequence[ForeignKey]
+
+    def without(self, *columns: str) -> "Rules":
+        """The same rules but for what is required of ``table.column`` names."""
+        required = {
+            table: tuple(c for c in names if f"{table}.{c}" not in columns) for table, names in self.required.items()
+        }
+        keys = tuple(fk for fk in self.foreign_keys if fk.name not in columns)
+        return Rules(required, self.unique, self.limits, keys)
+
+
+CATALOG_RULES = Rules(REQUIRED, UNIQUE, TEXT_LIMITS, APPLICATION_KEYS)
+# The application's layout has no roles; the script's lets the times of a dataset be null.
+APPLICATION_RULES = CATALOG_RULES.without("users.role_id")
+SCRIPT_RULES = Rules(REQUIRED, UNIQUE, TEXT_LIMITS, STRICT_KEYS).without("dataset.created_at", "dataset.updated_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,7 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only a local master without that setting gets a temporary folder; on a
     cluster a machine-local folder would be lost with its executor, so there
-    the setting is required.
+    the setting is required, and must not name a folder of one machine there
+    unless all executors share it.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         current = tempfile.mkdtemp(prefix="shelfmark-checkpoint-")
         context.setCheckpointDir(current)

@@ -96,7 +96,7 @@ def _dataset(table: Tables) -> DataFrame:
 
 
 def _dataset_modality(table: Tables) -> DataFrame:
-    lines = table("lineitem").where(F.col("l_quantity") >= 48)
+    lines = table("lineitem")
     suppliers = table("supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("modality_id")
     )
@@ -106,7 +106,7 @@ def _dataset_modality(table: Tables) -> DataFrame:
 
 
 def _dataset_ml_task(table: Tables) -> DataFrame:
-    lines = table("lineitem").where(F.col("l_discount") >= 0.095)
+    lines = table("lineitem")
     tasks = table("orders").select(
         F.col("o_orderkey").alias("l_orderkey"), _priority_id().alias("ml_task_id")
     )
@@ -116,7 +116,7 @@ def _dataset_ml_task(table: Tables) -> DataFrame:
 
 
 def _dataset_tag(table: Tables) -> DataFrame:
-    lines = table("lineitem").where(F.col("l_tax") >= 0.075)
+    lines = table("lineitem")
     return lines.select(
         F.col("l_partkey").alias("dataset_id"), F.col("l_suppkey").alias("tag_id")
     ).distinct()
@@ -140,6 +140,18 @@ def _user_groups(table: Tables) -> DataFrame:
     return table("customer").select(F.col("c_custkey").alias("user_id"), F.explode(both).alias("group_id"))
 
 
+def _user_permissions(table: Tables) -> DataFrame:
+    return table("orders").select(
+        F.col("o_custkey").alias("user_id"), _priority_id().alias("permission_id")
+    ).distinct()
+
+
+def _group_permissions(table: Tables) -> DataFrame:
+    return table("customer").select(
+        _group_id().alias("group_id"), F.col("c_nationkey").cast("bigint").alias("permission_id")
+    ).distinct()
+
+
 def _search_queries(table: Tables) -> DataFrame:
     texts = F.array(*(F.lit(text) for text in QUERY_TEXTS))
     turn = (F.col("event_id") % len(QUERY_TEXTS)).cast("int")
@@ -193,6 +205,8 @@ def fixture_catalog(spark: SparkSession, root: str) -> Catalog:
         .select(_group_id().alias("id"), F.col("c_mktsegment").alias("name"))
         .distinct(),
         user_groups=lambda: _user_groups(table),
+        user_permissions=lambda: _user_permissions(table),
+        group_permissions=lambda: _group_permissions(table),
         user_search_queries=lambda: _search_queries(table),
         user_dataset_collections=lambda: _collections(table),
         collection_datasets=lambda: _collection_datasets(table),

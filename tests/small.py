@@ -30,6 +30,8 @@ ROWS = {
     "users": [(1, "ann", 1, T1), (2, "bo", 1, T3), (3, "cy", 2, None)],
     "groups": [(1, "staff"), (2, "guests")],
     "user_groups": [(1, 2), (1, 1), (2, 2)],
+    "user_permissions": [],
+    "group_permissions": [],
     "user_search_queries": [
         (1, 1, "ring", '{"size_max": 40}', T1),
         (2, None, "lung", None, T2),

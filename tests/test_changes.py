@@ -4,11 +4,11 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from small import T1, T3, ids, small_catalog
+from small import T1, T3, ids, plan, small_catalog
 
 from shelfmark.catalog import Catalog
 from shelfmark.operators import changes, quality
-from shelfmark.schemas import STRICT_KEYS
+from shelfmark.schemas import APPLICATION_RULES, LINK_KEYS, SCRIPT_RULES, STRICT_KEYS
 
 NOW = datetime(2025, 5, 5, 5)
 
@@ -23,14 +23,31 @@ def _report(df):
 
 
 def test_clean_catalog_has_no_violations(catalog):
-    assert _report(quality.violations(catalog)) == set()
+    times = {("required created_at", "dataset", "5", 1), ("required updated_at", "dataset", "5", 1)}
+    assert _report(quality.violations(catalog)) == times
+    assert _report(quality.violations(catalog, SCRIPT_RULES)) == set()
+
+
+def test_application_layout_has_no_roles(catalog):
+    users = catalog.users.drop("role_id").union(catalog.users.drop("role_id").where("id = 1"))
+    tables = {name: catalog.table(name) for name in catalog if name != "roles"}
+    application = Catalog(**{**tables, "users": users})
+    found = _report(quality.violations(application, APPLICATION_RULES))
+    assert {("unique id", "users", "1", 2), ("unique username", "users", "ann", 2)} <= found
+    assert not any("role" in rule for rule, *_ in found)
 
 
 def test_violations(spark):
     broken = small_catalog(
         spark,
         modality=[(1, "CT"), (2, "CT"), (3, None), (4, "m" * 51), (5, "m" * 50)],
-        dataset=[(1, "t" * 501, None, "p" * 1001, None, None, None, 9, T1, T1), (2, None, *[None] * 8)],
+        dataset=[
+            (1, "t" * 501, None, "p" * 1001, None, None, None, 9, T1, T1),
+            (2, None, *[None] * 6, T1, T1),
+            (2, "twice", *[None] * 6, T1, None),
+            (None, "no id", *[None] * 6, T1, T1),
+        ],
+        users=[(1, "u" * 51, 1, T1), (2, "ok", 7, T1)],
         dataset_modality=[(1, 1), (1, 1), (1, None), (7, 2)],
         dataset_ml_task=[],
         dataset_tag=[],
@@ -39,14 +56,19 @@ def test_violations(spark):
         user_search_queries=[],
     )
     assert _report(quality.violations(broken)) == {
-        ("unique", "modality", "CT", 2),
+        ("unique name", "modality", "CT", 2),
         ("required name", "modality", "3", 1),
         ("length name", "modality", "4", 1),
         ("length title", "dataset", "1", 1),
         ("length external_path", "dataset", "1", 1),
         ("required title", "dataset", "2", 1),
-        ("unique", "dataset_modality", "1/1", 2),
-        ("required modality_id", "dataset_modality", "1/?", 1),
+        ("unique dataset_id,modality_id", "dataset_modality", '["1","1"]', 2),
+        ("required modality_id", "dataset_modality", '["1",null]', 1),
+        ("required updated_at", "dataset", "2", 1),
+        ("required id", "dataset", "?", 1),
+        ("unique id", "dataset", "2", 2),
+        ("length username", "users", "1", 1),
+        ("reference role_id", "users", "7", 1),
         ("reference anatomical_area_id", "dataset", "9", 1),
         ("reference dataset_id", "dataset_modality", "7", 1),
     }
@@ -79,8 +101,10 @@ def test_delete_dataset_takes_its_links(spark, catalog):
     left = changes.delete(catalog, "dataset", keys)
     assert ids(left.dataset) == [1, 2, 3, 5]  # 1 is in a collection
     assert ids(left.dataset_modality, "dataset_id") == [1, 1, 2]
-    plain = Catalog(**{n: catalog.table(n) for n in ("dataset", "dataset_modality", "dataset_tag")})
-    left = changes.delete(plain, "dataset", keys)
+    plain = Catalog(**{n: catalog.table(n) for n in ("dataset", "dataset_modality", "dataset_ml_task", "dataset_tag")})
+    with pytest.raises(AttributeError, match="collection_datasets"):
+        changes.delete(plain, "dataset", keys)
+    left = changes.delete(plain, "dataset", keys, LINK_KEYS)
     assert ids(left.dataset) == [2, 3, 5]
     assert ids(left.dataset_modality, "dataset_id") == [2]
     assert ids(left.dataset_tag, "dataset_id") == [2, 2]
@@ -127,6 +151,21 @@ def test_upsert(spark, catalog):
     assert after[2]["updated_at"] != NOW
 
 
+def test_inserts_without_id_all_stay(spark, catalog):
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in catalog.dataset.schema)
+    row = lambda i, title: (i, title, *[None] * 8, T1)
+    saves = spark.createDataFrame(
+        [row(None, "new"), row(None, "new"), row(None, "other"), row(40, "given"), row(40, "given")],
+        f"{kinds}, saved_at timestamp_ntz",
+    )
+    after = changes.upsert(catalog.dataset, saves, now=NOW)
+    fresh = {r["id"]: r["title"] for r in after.where("id > 5").collect()}
+    assert after.count() == 9 and after.where("id IS NULL").count() == 0
+    assert fresh.pop(40) == "given"
+    assert sorted(fresh) == [41, 42, 43] and sorted(fresh.values()) == ["new", "new", "other"]
+    assert "SortAggregate" not in plan(changes.latest(saves, "id", ["saved_at"]))
+
+
 def test_defaults_and_expiry(spark):
     schema = "id int, created_at timestamp_ntz, expires_at timestamp_ntz"
     df = spark.createDataFrame([(1, None, None), (2, T1, T3)], schema)

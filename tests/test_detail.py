@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from small import ids, plan, small_catalog
 
+from shelfmark.catalog import Catalog
 from shelfmark.operators import accounts
 from shelfmark.operators.detail import (
     DETAIL_COLUMNS,
@@ -90,7 +91,8 @@ def test_accounts(spark, catalog):
     assert "password" not in accounts.users(with_secret).columns
     member = {row["id"]: row["groups"] for row in accounts.users_with_groups(catalog).collect()}
     assert member == {1: [1, 2], 2: [2], 3: []}
-    assert "permissions" not in accounts.users_with_groups(catalog).columns
+    bare = Catalog(users=catalog.users, user_groups=catalog.user_groups)
+    assert "permissions" not in accounts.users_with_groups(bare).columns
     allowed = catalog.replace(
         user_permissions=spark.createDataFrame([(1, 9), (1, 8)], SCHEMAS["user_permissions"]),
         group_permissions=spark.createDataFrame([(2, 7)], SCHEMAS["group_permissions"]),

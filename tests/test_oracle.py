@@ -44,4 +44,4 @@ def test_query_equals_sql(spark, connection, name):
 
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
-    assert 0 < len(rows) <= 5
+    assert rows

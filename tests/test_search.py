@@ -69,8 +69,8 @@ def test_details_keep_order_and_copies(catalog):
 def test_set_is_distinct_of_bag_and_bag_is_product(spark):
     catalog = fixture_catalog(spark, ROOT)
     names = {"modalities_list": "NATION_1,NATION_2,NATION_3,NATION_4", "ml_tasks_list": "1-URGENT,2-HIGH,5-LOW"}
-    bag = Counter(order_of(find(catalog, "e", names, "as_written")))
-    assert sorted(bag) == ids(find(catalog, "e", names))
+    bag = Counter(order_of(find(catalog, "in", names, "as_written")))
+    assert sorted(bag) == ids(find(catalog, "in", names))
 
     def links(bridge, key, wanted):
         rows = catalog.table(bridge).where(F.col(key).isin(wanted)).collect()
