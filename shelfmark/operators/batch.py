@@ -109,13 +109,15 @@ def text_matches(
     """``(pattern, id, ...)`` for every dataset whose title or description contains a pattern.
 
     With few patterns (``small``: their number and bytes were counted) they go
-    to every task and the texts stay where they are. Otherwise grams are joined
-    by shuffle, carrying ids only, each gram cut into ``slots`` pieces, and the
-    candidates meet the texts once more to be verified.
+    to every task and the texts stay where they are. Otherwise the grams some
+    pattern has are taken from the texts once, with ids only; they are counted,
+    joined by shuffle with grams of many texts cut into pieces, and the
+    candidates meet the texts once more to be verified, in ``slots`` pieces, as
+    a long text may be one of many candidates.
     """
     texts = datasets.withColumns({"_title": F.upper("title"), "_description": F.upper("description")})
     holds = F.contains("_title", "pattern") | F.contains("_description", "pattern")
-    choices = _pattern_grams(patterns)
+    choices = settled(_pattern_grams(patterns))
     # explode_outer: a plain explode would take the grams of every text a second
     # time, to test that there are any. The joins drop the null of an empty text.
     text_grams = F.explode_outer(_text_grams(lengths))
@@ -124,12 +126,19 @@ def text_matches(
         filed = F.broadcast(_filed(choices, by_request))
         candidates = texts.withColumn("gram", text_grams).join(filed, "gram")
         return candidates.where(holds).select("pattern", *_MATCHED)
-    exploded = texts.select("id", text_grams.alias("gram"))
-    by_text = exploded.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = sent_if_small(settled(choices.select("gram").distinct()))
+    exploded = settled(texts.select("id", text_grams.alias("gram")).join(wanted, "gram", "left_semi"))
+    by_text = settled(exploded.groupBy("gram").agg(F.count("*").alias("n")))
     filed = settled(_filed(choices, by_text))
     exploded = exploded.join(sent_if_small(filed.select("gram").distinct()), "gram", "left_semi")
-    candidates = spread_join(exploded, filed, "gram", spread="id", slots=slots).select("pattern", "id")
-    return candidates.join(texts, "id").where(holds).select("pattern", *_MATCHED)
+    found = spread_join(exploded, filed, "gram", spread="id", counts=by_text).select("pattern", "id")
+    candidates = settled(found)
+    by_id = candidates.groupBy("id").agg(F.count("*").alias("n"))
+    return (
+        spread_join(candidates, texts, "id", spread="pattern", counts=by_id)
+        .where(holds)
+        .select("pattern", *_MATCHED)
+    )
 
 
 def _resolved(searches: DataFrame, catalog: Catalog, fields: frozenset[str]) -> DataFrame:
@@ -208,18 +217,21 @@ def _hits(
         hits = hits.where(condition)
     for field, relation in RELATIONS.items():
         if f"{field}_list" in load.fields:
-            hits = _with_any_link(hits, catalog.table(relation.bridge), relation.key, f"_{field}")
+            hits = _with_any_link(hits, catalog.table(relation.bridge), relation.key, f"_{field}", slots)
     return hits.select("search_key", "pattern", *FIELDS, F.col("id").alias("dataset_id")), load
 
 
-def _with_any_link(hits: DataFrame, bridge: DataFrame, key: str, wanted: str) -> DataFrame:
-    """Hits whose dataset has a link to one of ``wanted``; null asks for nothing."""
-    hits = hits.alias("hits")
-    linked = bridge.where(
-        (F.col("dataset_id") == F.col("hits.id").outer())
-        & F.array_contains(F.col(f"hits.{wanted}").outer(), F.col(key))
-    )
-    return hits.where(F.col(wanted).isNull() | linked.exists())
+def _with_any_link(hits: DataFrame, bridge: DataFrame, key: str, wanted: str, slots: int) -> DataFrame:
+    """Hits whose dataset has a link to one of ``wanted``; null asks for nothing.
+
+    The links of a dataset are one list, of at most as many ids as the lookup
+    table has, which its hits meet once; a dataset many searches find is cut
+    into ``slots`` pieces.
+    """
+    links = bridge.groupBy(F.col("dataset_id").alias("id")).agg(F.collect_set(key).alias("_links"))
+    joined = spread_join(hits, links, "id", spread="search_key", how="left", slots=slots)
+    linked = F.coalesce(F.arrays_overlap("_links", wanted), F.lit(False))
+    return joined.where(F.col(wanted).isNull() | linked).drop("_links")
 
 
 def batch_counts(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.sizing import settled
+from shelfmark.functions.skew import spread_join
 from shelfmark.functions.times import moment
 from shelfmark.operators.changes import with_expiry
 from shelfmark.operators.numbering import assign_ids
@@ -52,8 +53,14 @@ def build_collections(
     wanted = asked.join(picked.select("query_id").distinct(), "query_id", "left_semi")
     # Fresh ids must not change between their two uses, headers and members.
     headers = settled(assign_ids(wanted, catalog.user_dataset_collections))
-    members = picked.join(
-        headers.select("query_id", F.col("id").alias("collection_id")), "query_id"
+    # A popular text has as many headers as askers, so those are cut into pieces.
+    askers = headers.groupBy("query_id").agg(F.count("*").alias("n"))
+    members = spread_join(
+        headers.select("query_id", F.col("id").alias("collection_id")),
+        picked,
+        "query_id",
+        spread="collection_id",
+        counts=askers,
     ).select(*SCHEMAS["collection_datasets"].names)
     sizes = archive_sizes(members, catalog.dataset).select(
         F.col("collection_id").alias("id"), "archive_size_mb"

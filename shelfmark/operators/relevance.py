@@ -38,7 +38,7 @@ def relevance_topk(
     frequencies and scores all come from that. The list of asked words goes to
     every task if it is counted small; otherwise words are joined by shuffle.
     Queries are sent to every task if they are few, and otherwise joined with
-    each word cut into ``slots`` pieces. Ranking is done in ``slots`` pieces per
+    the words many documents hold cut into pieces. Ranking is done in ``slots`` pieces per
     query first, so a query many documents answer is ranked by many tasks,
     whatever ``k`` is; the pieces' best rows are ranked once more.
     """
@@ -68,15 +68,17 @@ def relevance_topk(
     )
     counted = counted.where("word IS NOT NULL")
     weight = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    frequency = counted.groupBy("word").agg(F.count("*").alias("df"))
     weighted = (
-        asked.join(counted.groupBy("word").agg(F.count("*").alias("df")), "word")
+        asked.join(frequency, "word")
         .join(F.broadcast(totals))  # a single row
         .select("query_id", "word", weight.alias("weight"), "mean_length")
     )
     if small:
         scored = counted.join(F.broadcast(weighted), "word")
     else:
-        scored = spread_join(counted, weighted, "word", spread="_doc", slots=slots)
+        hot = frequency.withColumnRenamed("df", "n")
+        scored = spread_join(counted, weighted, "word", spread="_doc", counts=hot)
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("_length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / saturation
     totalled = (

@@ -554,6 +554,27 @@ ORACLES: dict[str, str] = {
             _CATALOG_DOCS, "SELECT DISTINCT query_text AS query_id, query_text AS query FROM log", "dataset_id"
         ),
     ),
+    "built_headers": _sql(
+        "dataset log",
+        """SELECT user_id, CAST(sum(size) AS BIGINT) AS archive_size_mb, TIMESTAMP '2025-01-01' AS created_at,
+                  TIMESTAMP '2025-01-02' AS expires_at, true AS path_fits
+           FROM (SELECT DISTINCT user_id, query_text FROM log WHERE user_id IS NOT NULL)
+                JOIN ranked ON query_id = query_text JOIN dataset d ON d.id = ranked.dataset_id
+           GROUP BY user_id, query_text""",
+        _relevance(
+            _CATALOG_DOCS, "SELECT DISTINCT query_text AS query_id, query_text AS query FROM log", "dataset_id"
+        ),
+    ),
+    "built_members": _sql(
+        "log dataset",
+        """SELECT a.user_id, t.query_id, r.dataset_id, r.relevance_score
+           FROM (SELECT DISTINCT user_id, query_text FROM log WHERE user_id IS NOT NULL) a
+                JOIN (SELECT query_text, min(id) AS query_id FROM log GROUP BY query_text) t USING (query_text)
+                JOIN ranked r ON r.query_id = a.query_text""",
+        _relevance(
+            _CATALOG_DOCS, "SELECT DISTINCT query_text AS query_id, query_text AS query FROM log", "dataset_id"
+        ),
+    ),
     "log_filters": _sql("log", "SELECT id, k AS value FROM log"),
     "log_append": _sql(
         "log",
@@ -620,6 +641,15 @@ ORACLES: dict[str, str] = {
     "relevance_many": "WITH "
     + _relevance("SELECT doc_id AS doc, text FROM documents", _DOCUMENT_QUERIES, "doc_id", 2000)
     + " SELECT * FROM ranked",
+    "batch_search_words": _sql(
+        "dataset",
+        """SELECT pattern, d.id AS dataset_id
+           FROM asked JOIN dataset d ON contains(upper(title), pattern) OR contains(upper(description), pattern)""",
+        """asked AS (
+               SELECT DISTINCT upper(replace(word, 'ß', 'SS')) AS pattern
+               FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM documents)
+               WHERE length(word) BETWEEN 2 AND 100)""",
+    ),
     "too_long": """
         SELECT 'length text' AS rule, 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS key,
                CAST(1 AS BIGINT) AS n_rows FROM documents WHERE length(text) > 500

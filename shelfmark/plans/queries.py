@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.tables import stacked
-from shelfmark.functions.text import split_list
+from shelfmark.functions.text import split_list, words
 from shelfmark.operators import accounts, batch, changes, collections, facets, quality, relevance
 from shelfmark.operators import search as searching
 from shelfmark.operators.detail import detail_by_ids, detail_view, display_names, json_rows, labels
@@ -455,6 +455,40 @@ def archive_contents(c: Catalog) -> DataFrame:
 
 @_query
 def built_collections(c: Catalog) -> DataFrame:
+    fresh = _built(c).user_dataset_collections.where(F.col("created_at") == F.lit(NOW).cast("timestamp_ntz"))
+    return fresh.groupBy("user_id", "created_at", "expires_at").agg(
+        F.count("*").alias("n_collections"), F.sum("archive_size_mb").alias("total_mb")
+    )
+
+
+@_query
+def built_headers(c: Catalog) -> DataFrame:
+    """Every new collection's owner, size, expiry, and whether path and id agree; ids follow those in use."""
+    top = c.user_dataset_collections.agg(F.max("id")).scalar()
+    fresh = _built(c).user_dataset_collections.where(F.col("id") > top)
+    return fresh.select(
+        "user_id",
+        "archive_size_mb",
+        "created_at",
+        "expires_at",
+        (F.col("storage_path_hdfs") == F.concat(F.lit("/collections/"), F.col("id").cast("string"))).alias("path_fits"),
+    )
+
+
+@_query
+def built_members(c: Catalog) -> DataFrame:
+    """Every dataset of every new collection, by its owner and query."""
+    top = c.user_dataset_collections.agg(F.max("id")).scalar()
+    built = _built(c)
+    owners = built.user_dataset_collections.select(F.col("id").alias("collection_id"), "user_id")
+    return (
+        built.collection_datasets.where(F.col("collection_id") > top)
+        .join(owners, "collection_id")
+        .select("user_id", "query_id", "dataset_id", F.col("relevance_score").cast("double").alias("relevance_score"))
+    )
+
+
+def _built(c: Catalog) -> Catalog:
     """A collection for everyone who searched, from the five best datasets per text."""
     texts = c.user_search_queries.groupBy("query_text").agg(F.min("id").alias("query_id"))
     ranked = relevance.relevance_topk(c.dataset, texts.withColumnRenamed("query_text", "query"))
@@ -464,11 +498,7 @@ def built_collections(c: Catalog) -> DataFrame:
     before = c.replace(
         user_dataset_collections=c.user_dataset_collections, collection_datasets=c.collection_datasets
     )
-    built = collections.build_collections(before, hits, owners, NOW)
-    fresh = built.user_dataset_collections.where(F.col("created_at") == F.lit(NOW).cast("timestamp_ntz"))
-    return fresh.groupBy("user_id", "created_at", "expires_at").agg(
-        F.count("*").alias("n_collections"), F.sum("archive_size_mb").alias("total_mb")
-    )
+    return collections.build_collections(before, hits, owners, NOW)
 
 
 @_query
@@ -631,6 +661,16 @@ _REGISTRY["relevance_many"] = relevance_many
 _REGISTRY["too_long"] = long_documents
 
 
+def batch_search_words(spark: SparkSession, root: str) -> DataFrame:
+    """Every distinct word of the documents as a search of the datasets."""
+    word = F.explode(words(F.col("text"))).alias("query")
+    requests = documents(spark, root).select(word).distinct()
+    return batch.batch_search(fixture_catalog(spark, root), requests).select("pattern", "dataset_id")
+
+
+_REGISTRY["batch_search_words"] = batch_search_words
+
+
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """One search end to end: text, lists and a bound, in order, with details."""
     catalog = fixture_catalog(spark, root)
