@@ -11,6 +11,7 @@ from shelfmark.llm.chat import op9_chat_formatting
 from shelfmark.llm.decontaminate import op1_decontamination
 from shelfmark.llm.html_text import op8_html_extraction
 from shelfmark.llm.licenses import op2_license_scans
+from shelfmark.llm.oracle import ORACLES
 from shelfmark.llm.quality_rules import op7_quality_rules
 from shelfmark.llm.secrets import op3_secret_scans
 from shelfmark.llm.simhash import op4_simhash_near_dedup
@@ -39,4 +40,4 @@ def registry() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
