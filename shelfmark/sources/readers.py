@@ -34,6 +34,8 @@ class StoredTable:
 
     name: str
     renamed: Mapping[str, str] = field(default_factory=dict)
+    range_column: str = "id"  # a number the stored table is read in ranges of
+    absent: tuple[str, ...] = ()  # columns of the catalog this layout does not have
 
 
 # The two database layouts. The first is the application's own,
@@ -47,7 +49,7 @@ APPLICATION_LAYOUT = {
     "dataset_modality": StoredTable("datasets_datasetmodality"),
     "dataset_ml_task": StoredTable("datasets_datasetmltask"),
     "dataset_tag": StoredTable("datasets_datasettag"),
-    "users": StoredTable("auth_user"),
+    "users": StoredTable("auth_user", absent=("role_id",)),
     "groups": StoredTable("auth_group"),
     "user_groups": StoredTable("auth_user_groups"),
     "user_permissions": StoredTable("auth_user_user_permissions"),
@@ -66,14 +68,14 @@ SCRIPT_LAYOUT = {
             "dataset_size_mb": "size",
         },
     ),
-    "dataset_modality": StoredTable("dataset_modalities"),
-    "dataset_ml_task": StoredTable("dataset_ml_tasks"),
-    "dataset_tag": StoredTable("dataset_tags"),
+    "dataset_modality": StoredTable("dataset_modalities", range_column="dataset_id"),
+    "dataset_ml_task": StoredTable("dataset_ml_tasks", range_column="dataset_id"),
+    "dataset_tag": StoredTable("dataset_tags", range_column="dataset_id"),
     "roles": StoredTable("roles"),
     "users": StoredTable("users", {"login": "username", "created_at": "date_joined"}),
     "user_search_queries": StoredTable("user_search_queries"),
     "user_dataset_collections": StoredTable("user_dataset_collections"),
-    "collection_datasets": StoredTable("collection_datasets"),
+    "collection_datasets": StoredTable("collection_datasets", range_column="collection_id"),
 }
 
 
@@ -81,7 +83,8 @@ def read_layout(load: Callable[[str], DataFrame], layout: Mapping[str, StoredTab
     """A catalog from ``load(<stored table>)``, with the catalog's names and types.
 
     Columns the catalog does not know, such as password hashes, are not read.
-    Times with a zone become UTC wall-clock times.
+    Times with a zone become UTC wall-clock times. A column the layout should
+    have and the stored table lacks is an error.
     """
 
     def build(name: str) -> DataFrame:
@@ -91,7 +94,7 @@ def read_layout(load: Callable[[str], DataFrame], layout: Mapping[str, StoredTab
             *(
                 F.col(column.name).cast(column.dataType).alias(column.name)
                 for column in SCHEMAS[name]
-                if column.name in df.columns
+                if column.name not in stored.absent
             )
         )
 
@@ -102,16 +105,12 @@ def read_database(
     spark: SparkSession,
     source: "DatabaseSource",
     layout: Mapping[str, StoredTable] = APPLICATION_LAYOUT,
-    partitions: int | None = None,
+    *,
+    partitions: int,
 ) -> Catalog:
-    """The catalog kept in a relational database; tables with an id are read in ranges of it."""
-
-    def load(name: str) -> DataFrame:
-        stored = next(table for table, where in layout.items() if where.name == name)
-        ranged = "id" in SCHEMAS[stored].names
-        return source.read(spark, name, partitions if ranged else None)
-
-    return read_layout(load, layout)
+    """The catalog kept in a relational database, each table read in ``partitions`` ranges of its range column."""
+    columns = {stored.name: stored.range_column for stored in layout.values()}
+    return read_layout(lambda name: source.read(spark, name, partitions, columns[name]), layout)
 
 
 # URL and driver class per database engine.
@@ -160,7 +159,7 @@ class DatabaseSource:
         self,
         spark: SparkSession,
         table: str,
-        partitions: int | None = None,
+        partitions: int,
         partition_column: str = "id",
         fetch_rows: int = 10_000,
     ) -> DataFrame:
@@ -170,7 +169,7 @@ class DatabaseSource:
         down to it in either case.
         """
         base = spark.read.format("jdbc").options(**self.options()).option("fetchsize", fetch_rows)
-        if not partitions or partitions < 2:
+        if partitions < 2:
             return base.option("dbtable", table).load()
         ends = (
             base.option("query", f"SELECT min({partition_column}) AS lo, max({partition_column}) AS hi FROM {table}")

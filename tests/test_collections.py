@@ -6,18 +6,21 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from small import T1, T3, ids, small_catalog
 
 from shelfmark.operators import collections
 from shelfmark.operators.changes import upsert
 from shelfmark.operators.detail import detail_view
+from shelfmark.schemas import SCHEMAS
 from shelfmark.session import ensure_checkpoint_dir
 from shelfmark.sources import sinks
 from shelfmark.sources.readers import (
     APPLICATION_LAYOUT,
     SCRIPT_LAYOUT,
     DatabaseSource,
+    read_database,
     read_files,
     read_layout,
 )
@@ -138,10 +141,12 @@ def test_database_source():
 def test_layouts(spark):
     stored = {
         "datasets": spark.createDataFrame(
-            [(1, "Brain", None, "http://a", "/b", 3, 4, 1, datetime(2024, 1, 1, 12))],
+            [(1, "Brain", None, "http://a", "/b", 3, 4, 1, datetime(2024, 1, 1, 12), None)],
             "id int, title string, description string, external_link string, local_storage_path string, "
-            "record_count int, dataset_size_mb int, anatomical_area_id int, created_at timestamp",
+            "record_count int, dataset_size_mb int, anatomical_area_id int, created_at timestamp, "
+            "updated_at timestamp",
         ),
+        "auth_user": spark.createDataFrame([(1, "ann")], "id int, username string"),
         "users": spark.createDataFrame(
             [(1, "ann", "secret", 2, datetime(2024, 1, 1))],
             "id int, login string, password_hash string, role_id int, created_at timestamp",
@@ -154,7 +159,29 @@ def test_layouts(spark):
     assert dict(script.dataset.dtypes)["id"] == "bigint"
     assert dict(script.dataset.dtypes)["created_at"] == "timestamp_ntz"
     assert script.users.columns == ["id", "username", "role_id", "date_joined"]
-    assert read_layout(stored.__getitem__, APPLICATION_LAYOUT).dataset_tag.columns == ["dataset_id", "tag_id"]
+    application = read_layout(stored.__getitem__, APPLICATION_LAYOUT)
+    assert application.dataset_tag.columns == ["dataset_id", "tag_id"]
+    with pytest.raises(AnalysisException):  # date_joined is missing, and only role_id may be
+        application.table("users")
+
+
+def test_every_stored_table_is_read_in_ranges(spark):
+    asked = []
+
+    class Source:
+        def read(self, spark, table, partitions, column):
+            asked.append((table, partitions, column))
+            return spark.createDataFrame([(1, 2)], "dataset_id int, modality_id int")
+
+    read_database(spark, Source(), SCRIPT_LAYOUT, partitions=7).table("dataset_modality")
+    assert asked == [("dataset_modalities", 7, "dataset_id")]
+    for layout in (APPLICATION_LAYOUT, SCRIPT_LAYOUT):
+        for name, stored in layout.items():
+            renamed = {new: old for old, new in stored.renamed.items()}
+            known = {renamed.get(c, c) for c in SCHEMAS[name].names}
+            assert stored.range_column in known or layout is APPLICATION_LAYOUT
+    with pytest.raises(TypeError):
+        read_database(spark, Source())
 
 
 def test_streams(spark, tmp_path):
