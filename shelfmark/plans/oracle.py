@@ -617,6 +617,24 @@ ORACLES: dict[str, str] = {
                   SELECT 1 FROM dataset_ml_task b JOIN ml_task m ON m.id = b.ml_task_id
                   WHERE b.dataset_id = d.id AND list_contains(string_split(ml_tasks_list, ','), m.name)))""",
     ),
+    "batch_ordered": _sql(
+        "log dataset",
+        " UNION ALL ".join(
+            f"""SELECT pattern, CAST(record_count_min AS BIGINT) AS record_count_min, '{column}' AS order_by,
+                       {down} AS descending, d.id AS dataset_id,
+                       row_number() OVER (PARTITION BY pattern, record_count_min ORDER BY {order}, d.id) - 1 AS position
+                FROM (SELECT DISTINCT upper(trim(query_text)) AS pattern, k % 40 AS record_count_min FROM log
+                      WHERE id % 4 = {turn}) s
+                JOIN dataset d ON (contains(upper(title), pattern) OR contains(upper(description), pattern))
+                     AND record_count >= record_count_min"""
+            for turn, column, down, order in (
+                (0, "size", "false", "size ASC NULLS LAST"),
+                (1, "title", "true", "title DESC NULLS FIRST"),
+                (2, "record_count", "true", "record_count DESC NULLS FIRST"),
+                (3, "created_at", "true", "created_at DESC NULLS FIRST"),
+            )
+        ),
+    ),
     "batch_counts": _sql(
         "search dataset log",
         """SELECT l.id AS request_id, coalesce(n, 0) AS count FROM log l LEFT JOIN (

@@ -614,6 +614,18 @@ def batch_search_lists(c: Catalog) -> DataFrame:
 _LISTED = ("modalities_list", "ml_tasks_list", "anatomical_area_name", "size_max")
 
 
+@_query
+def batch_ordered(c: Catalog) -> DataFrame:
+    """The logged searches, each in one of four orders by turns of its id."""
+    orders = (["size", "asc"], ["title", "desc"], ["-record_count"], None)
+    turn = F.col("request_id") % len(orders)
+    wanted = F.coalesce(
+        *(F.when(turn == k, F.array(*map(F.lit, order))) for k, order in enumerate(orders) if order)
+    )
+    found = batch.batch_ordered(c, logged_requests(c).withColumn("ordering", wanted))
+    return found.select("pattern", "record_count_min", "order_by", "descending", "dataset_id", "position")
+
+
 @_query
 def batch_counts(c: Catalog) -> DataFrame:
     return batch.batch_counts(c, logged_requests(c))

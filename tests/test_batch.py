@@ -6,6 +6,7 @@ import pytest
 from small import ids, plan, small_catalog
 
 from shelfmark.functions.skew import spread_join
+from shelfmark.operators import batch
 from shelfmark.operators.batch import batch_counts, batch_search, distinct_searches, with_search_key
 from shelfmark.operators.requests import (
     check_requests,
@@ -13,7 +14,7 @@ from shelfmark.operators.requests import (
     rejected_requests,
     valid_requests,
 )
-from shelfmark.operators.search import find
+from shelfmark.operators.search import find, search
 from shelfmark.schemas import DATASET
 
 REQUEST = (
@@ -174,3 +175,23 @@ def test_spread_join_equals_join(spark, how):
 
 def test_dataset_schema_is_complete(spark):
     assert small_catalog(spark).dataset.columns == DATASET.names
+
+
+def test_order_equals_single_searches(spark):
+    catalog = small_catalog(spark)
+    orders = [None, [], ["size"], ["size", "desc"], ["-title"], ["description"], ["anatomical_area", "desc"], ["-id", "desc"], ["created_at", "up"]]
+    requests = [(k, "in", order) for k, order in enumerate(orders)] + [(90, "in", ["no_such"]), (91, "in", ["a", "b", "c"])]
+    found = batch.batch_ordered(
+        catalog, spark.createDataFrame(requests, "request_id int, query string, ordering array<string>")
+    ).collect()
+    got: dict = {}
+    for row in sorted(found, key=lambda r: r["position"]):
+        got.setdefault((row["order_by"], row["descending"]), []).append(row["dataset_id"])
+    expected = {}
+    for order in orders:
+        name, *direction = order or ["created_at", "desc"]
+        down = (direction == ["desc"]) != name.startswith("-")
+        named = {"anatomical_area": "anatomical_area_id"}.get(name.lstrip("-"), name.lstrip("-"))
+        single = search(catalog, "in", {"ordering": order} if order else {})
+        expected[named, down] = [row["id"] for row in single.collect()]
+    assert got == expected
