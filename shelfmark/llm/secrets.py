@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import unused, written
 
 
 @dataclass(frozen=True)
@@ -185,14 +185,15 @@ def without_secrets(documents: DataFrame) -> DataFrame:
     """
     suspect = anchored(F.coalesce(F.col("text"), F.lit("")))
     some = documents.where(suspect)
-    found = findings(written(scan(some), "ledger")).withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
-    joined = some.join(found, F.sha2("text", 256) == F.col("_blob"), "left")
-    found = F.col("_spans").isNotNull()
-    clean = joined.withColumn("_clean", F.when(found, redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    columns = {name: F.col(name) for name in documents.columns} | {"text": F.col("_clean").alias("text")}
+    blob, spans, new = (unused(documents, name) for name in ("_blob", "_spans", "_new"))
+    found = findings(written(scan(some), "ledger")).withColumnsRenamed({"blob": blob, "spans": spans})
+    joined = some.join(found, F.sha2("text", 256) == F.col(blob), "left")
+    hit = F.col(spans).isNotNull()
+    clean = joined.withColumn(new, F.when(hit, redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    columns = {name: F.col(name) for name in documents.columns} | {"text": F.col(new).alias("text")}
     if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
-        n_chars = F.when(found, F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
+        n_chars = F.when(hit, F.length(new).cast(kind)).otherwise(F.col("n_chars"))
         columns["n_chars"] = n_chars.alias("n_chars")
     return clean.select(*columns.values()).unionByName(documents.where(~suspect))
 

@@ -39,6 +39,7 @@ from shelfmark.llm.common import (
     ragged_ranges,
     smallest_reachable,
     texts,
+    unused,
     written,
 )
 from shelfmark.llm.components import linked_to
@@ -240,16 +241,17 @@ def one_of_each(documents: DataFrame, bits: int = BITS) -> DataFrame:
     Rows without a doc_id stay, as no decision can name them. Of rows repeated
     under one doc_id the first by text stays.
     """
+    lost, place = unused(documents, "_lost"), unused(documents, "_place")
     gone = (
         near_duplicates(documents.select("doc_id", "text"), bits)
         .where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias("_gone"))
+        .select(F.col("doc_id").alias(lost))
     )
-    kept = documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
+    kept = documents.join(gone, documents["doc_id"] == F.col(lost), "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text")
     return (
-        kept.withColumn("_row", F.row_number().over(order))
-        .where((F.col("_row") == 1) | F.col("doc_id").isNull())
+        kept.withColumn(place, F.row_number().over(order))
+        .where((F.col(place) == 1) | F.col("doc_id").isNull())
         .select(*documents.columns)
     )
 

@@ -50,3 +50,37 @@ def test_stages_keep_the_columns(spark):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, ROOT).columns == docs.columns
         assert stage(spark, docs.limit(0), ROOT).count() == 0
+
+
+def test_stages_over_odd_rows(spark, tmp_path):
+    key = "AKIA" + "ABCDEFGH12345678"
+    rows = [
+        (1, f"some words and {key} here", None, "s", 30, "x", 1, True),
+        (1, f"some words and {key} here", None, "s", 30, "x", 1, True),
+        (2, "one two three four five six seven", "en", None, None, None, 2, None),
+        (3, "one two three four five six seven", "en", "s", 33, "y", 3, False),
+        (None, None, None, None, None, None, None, None),
+        (None, "no id " * 3, "en", "s", 1, "z", 4, True),
+        (4, "", "en", "s", 0, "z", 5, True),
+        (5, "long " * 40000 + "passage of the benchmark", "en", "s", 1, "z", 6, True),
+    ]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _lost string, _place int, _spans boolean"
+    docs = spark.createDataFrame(rows, kinds)
+    spark.createDataFrame([(1, "passage of the benchmark"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "bpe_encoding":
+            assert docs.columns == [part.split()[0] for part in kinds.split(", ")]
+            docs = spark.createDataFrame(docs.collect(), kinds)
+            if name == "toxicity":
+                assert docs.count() == len(rows)
+            if name == "near_dedup":
+                # Null and blank texts share fingerprint zero; rows without an id always stay.
+                assert sorted((r["doc_id"] for r in docs.collect()), key=repr) == [1, 2, 4, 5, None, None]
+            if name == "decontamination":
+                assert sorted((r["doc_id"] for r in docs.collect()), key=repr) == [1, 2, 4, None, None]
+            if name == "secret_scan":
+                (row,) = docs.where("doc_id = 1").collect()
+                assert (row["text"], row["n_chars"], row["_lost"]) == ("some words and [SECRET] here", 28, "x")
+    assert docs.count() == 5
