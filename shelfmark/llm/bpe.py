@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -86,10 +87,13 @@ class Words:
         return unicodedata.normalize("NFC", text).lower().split()
 
     def words(self, string: str) -> list[str]:
-        if string in self.special:
+        # Most strings are letters alone, or with one mark behind them.
+        if string.isalpha():
             return [string]
-        if UNUSUAL.search(string):
-            # Such strings come from the library's splitter.
+        if string[-1] in ".,;:!?" and string[:-1].isalpha():
+            return [string[:-1], string[-1]]
+        if string in self.special or UNUSUAL.search(string):
+            # Other unusual strings come from the library's splitter.
             return [string]
         return WORD.findall(string)
 
@@ -104,7 +108,7 @@ class Words:
         return [token.id for token in self.library.model.tokenize(letters)]
 
     def packed(self, word: str) -> bytes:
-        return np.array(self.ids(word), "<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.ids(word))}I", *ids)
 
 
 def packed_places(places: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -219,24 +223,30 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
         """Each batch with the place of every word (0: not among the frequent), words per row, and the rare words."""
         splitter = Words(path)
         place = {word: k for k, (word, _) in enumerate(head.value, 1)}.get
-        known: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
-
-        def look_up(string: str):
-            words = splitter.words(string)
-            found = tuple([place(word, 0) for word in words])
-            known[string] = found, tuple([w for w, k in zip(words, found, strict=True) if not k])
-            return known[string]
-
+        known: dict[str, list[int]] = {}
         for batch in batches:
             places, sizes, rare_words = [], [], []
             for text in batch.column(1).to_pylist():
-                if len(known) > HELD_STRINGS:
-                    known.clear()
-                found = [known.get(string) or look_up(string) for string in splitter.strings(text or "")]
-                numbers = [k for numbers, _ in found for k in numbers]
+                strings = splitter.strings(text or "")
+                numbers: list[int] = []
+                # A string that is a frequent word is that word alone.
+                for string, number in zip(strings, map(place, strings), strict=True):
+                    if number:
+                        numbers.append(number)
+                        continue
+                    found = known.get(string)
+                    if found is None:
+                        words = splitter.words(string)
+                        found = [place(word, 0) for word in words]
+                        if all(found):
+                            if len(known) > HELD_STRINGS:
+                                known.clear()
+                            known[string] = found
+                        else:
+                            rare_words.extend([w for w, k in zip(words, found, strict=True) if not k])
+                    numbers.extend(found)
                 places.append(np.array(numbers, np.int32))
                 sizes.append(len(numbers))
-                rare_words.extend([word for _, words in found if words for word in words])
             yield batch, np.concatenate([np.zeros(0, np.int32), *places]), np.array(sizes, np.int64), rare_words
 
     def rare(batches):
@@ -287,7 +297,7 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
         pieces = [(library.id_to_token(k) or "").encode() for k in range(size)]
 
         def text_of(ids: bytes) -> bytes:
-            return b" ".join([pieces[k] for k in np.frombuffer(ids, "<u4").tolist()])
+            return b" ".join([pieces[k] for k in struct.unpack(f"<{len(ids) // 4}I", ids)])
 
         ids_of = [b"", *(ids for _, ids in head.value)]
         piece_of = [text_of(ids) for ids in ids_of] if decode else []
