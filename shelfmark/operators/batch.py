@@ -198,13 +198,13 @@ def batch_search(
     ``dataset_id``, one row per hit; :func:`with_search_key` leads from a
     request to its key. Equal to running a single search per request.
     """
-    return _hits(catalog, requests, small_rows, small_bytes, slots)[0]
+    return _hits(catalog, settled(distinct_searches(requests)), small_rows, small_bytes, slots)[0]
 
 
 def _hits(
-    catalog: Catalog, requests: DataFrame, small_rows: int, small_bytes: int, slots: int
+    catalog: Catalog, searches: DataFrame, small_rows: int, small_bytes: int, slots: int
 ) -> tuple[DataFrame, _Load]:
-    searches = settled(distinct_searches(requests))
+    """The hits of settled distinct searches, and what was seen of them."""
     load = _Load.of(searches, small_rows, small_bytes)
     patterns = searches.select("pattern").distinct()
     matches = text_matches(
@@ -307,9 +307,11 @@ def batch_counts(
     slots: int = SLOTS,
 ) -> DataFrame:
     """``(request id, count)`` for every valid request, 0 where nothing is found."""
-    hits, load = _hits(catalog, requests, small_rows, small_bytes, slots)
+    keyed = settled(with_search_key(requests).select(id_column, "search_key", "pattern", *FIELDS))
+    searches = settled(keyed.drop(id_column).distinct())
+    hits, load = _hits(catalog, searches, small_rows, small_bytes, slots)
     counts = hits.groupBy("search_key").agg(F.count("*").alias("count"))
-    asked = with_search_key(requests).select(id_column, "search_key")
+    asked = keyed.select(id_column, "search_key")
     if load.small:
         counted = asked.join(F.broadcast(counts), "search_key", "left")
     else:
