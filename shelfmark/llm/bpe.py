@@ -50,6 +50,7 @@ HELD_STRINGS = 1 << 18
 # The tokenizer file's word pattern, and blanks as it knows them.
 BLANKS = r"\t-\r \x85\xa0"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
+MARKS = frozenset(".,;:!?")
 UNUSUAL = re.compile("[^\x00-\x1b\x20-ͯ‐-‧‰-⁞€]")
 
 
@@ -90,7 +91,7 @@ class Words:
         # Most strings are letters alone, or with one mark behind them.
         if string.isalpha():
             return [string]
-        if string[-1] in ".,;:!?" and string[:-1].isalpha():
+        if string[-1] in MARKS and string[:-1].isalpha():
             return [string[:-1], string[-1]]
         if string in self.special or UNUSUAL.search(string):
             # Other unusual strings come from the library's splitter.
@@ -104,7 +105,9 @@ class Words:
     def ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
-        letters = word.encode().decode("latin-1").translate(self.alphabet)
+        # ASCII letters stand for themselves.
+        plain = word.isascii() and word.isalpha()
+        letters = word if plain else word.encode().decode("latin-1").translate(self.alphabet)
         return [token.id for token in self.library.model.tokenize(letters)]
 
     def packed(self, word: str) -> bytes:
@@ -234,6 +237,10 @@ def _assembled(documents: DataFrame, path: str, head_words: int, decode: bool, d
                     if number:
                         numbers.append(number)
                         continue
+                    if string.isalpha():
+                        numbers.append(0)
+                        rare_words.append(string)
+                        continue
                     found = known.get(string)
                     if found is None:
                         words = splitter.words(string)
