@@ -75,7 +75,8 @@ def nodes_of(pages: list[Page], cache: dict) -> Nodes:
     """Elements of all pages in one numbering, with the features of each."""
     sizes = [len(page.tag) for page in pages]
     first = np.cumsum([0, *sizes])[:-1].tolist()
-    parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + f) for p, f in zip(pages, first, strict=True)])
+    own_parents = [np.array(page.parent) for page in pages]
+    parent = np.concatenate([np.where(p < 0, -1, p + f) for p, f in zip(own_parents, first, strict=True)])
     depth = np.concatenate([np.array(page.depth) for page in pages])
     tags = [tag for page in pages for tag in page.tag]
     attrs = [attr for page in pages for attr in page.attrs]
@@ -185,8 +186,12 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
     def other(kind: str) -> str:
         own_tag = OTHER_TAGS.get(kind)
         tag = own_tag if own_tag and choose.random() < 0.5 else choose.choice(["div", "div", "section"])
-        # Without its own tag a part is told by its name, or else by what it holds.
-        attrs = named(OTHER_NAMES[kind], 0.5 if tag == own_tag and tag != "section" else 0.97 if kind in ("comment", "notice", "advert", "sidebar") else 0.8)
+        if tag == own_tag and tag != "section":
+            chance = 0.5
+        else:
+            # Without a tag of its own a part is told by its name, or else by what it holds.
+            chance = 0.97 if kind in ("comment", "notice", "advert", "sidebar") else 0.8
+        attrs = named(OTHER_NAMES[kind], chance)
         links = [f'<a href="/{k}">{short()}</a>' for k in range(choose.randint(2, 8))]
         if kind == "menu" or (kind in ("header", "footer", "sidebar", "share") and choose.random() < 0.6):
             inside = "".join(f"<li>{x}</li>" for x in links) if choose.random() < 0.6 else " | ".join(links)
@@ -194,11 +199,18 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
         elif kind == "form":
             inside = f"<label>{short()}</label><input name=q><button>{short()}</button>"
         elif kind == "comment":
-            inside = "".join(
-                f'<div{named(["comment", "reply", "comment-body"], 0.7)}><b>{short()}</b><p>{say(4)}</p></div>' for _ in range(choose.randint(1, 5))
-            )
+            said = range(choose.randint(1, 5))
+            own = ["comment", "reply", "comment-body"]
+            inside = "".join(f"<div{named(own, 0.7)}><b>{short()}</b><p>{say(4)}</p></div>" for _ in said)
         else:
-            inside = choose.choice([f"<p>{say(2)}</p>", say(2), f"<h3>{short()}</h3><p>{say(2)}</p>", f"&copy; {short()} &middot; {short()}"])
+            inside = choose.choice(
+                [
+                    f"<p>{say(2)}</p>",
+                    say(2),
+                    f"<h3>{short()}</h3><p>{say(2)}</p>",
+                    f"&copy; {short()} &middot; {short()}",
+                ]
+            )
         return f"<{tag}{attrs}>{inside}</{tag}>"
 
     def block() -> str:
@@ -206,13 +218,16 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
         if kind < 0.1:
             return f"<h2 data-kept>{short()}</h2>"
         if kind < 0.18:
-            return "<ul data-kept>" + "".join(f"<li data-kept>{say(1)}</li>" for _ in range(choose.randint(2, 5))) + "</ul>"
+            items = "".join(f"<li data-kept>{say(1)}</li>" for _ in range(choose.randint(2, 5)))
+            return f"<ul data-kept>{items}</ul>"
         if kind < 0.24:
             return f"<blockquote data-kept><p data-kept>{say(3)}</p></blockquote>"
         if kind < 0.3:
             return f"<pre data-kept>{say(2)}</pre>"
         if kind < 0.36:
-            return "<table data-kept>" + "".join(f"<tr data-kept><td data-kept>{short()}</td><td data-kept>{say(1)}</td></tr>" for _ in range(3)) + "</table>"
+            cell = "<td data-kept>"
+            lines = "".join(f"<tr data-kept>{cell}{short()}</td>{cell}{say(1)}</td></tr>" for _ in range(3))
+            return f"<table data-kept>{lines}</table>"
         inside = say(6)
         if choose.random() < 0.4:
             inside += f' <a data-kept href="/x">{short()}</a> <b data-kept>{short()}</b> {say(2)}'
@@ -229,7 +244,8 @@ def layouts(sentences: list[str], count: int, seed: int = SEED) -> list[str]:
         after = "".join(other(k) for k in choose.sample(kinds, choose.choice(around)))
         blocks = [block() for _ in range(choose.randint(1, 3 if bare else 9))]
         if not bare and choose.random() < 0.4:
-            blocks.insert(choose.randint(0, len(blocks)), other(choose.choice(["advert", "share", "sidebar", "form", "comment"])))
+            place = choose.randint(0, len(blocks))
+            blocks.insert(place, other(choose.choice(["advert", "share", "sidebar", "form", "comment"])))
         tag = choose.choice(["article", "main", "div", "div", "section"])
         attrs = named(CONTENT_NAMES, 0.5 if tag in ("article", "main") else 0.8)
         title = f"<h1 data-kept>{short()}</h1>" if choose.random() < 0.7 else ""

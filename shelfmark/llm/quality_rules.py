@@ -152,12 +152,12 @@ def cutoffs(stats: DataFrame, few: int = FEW) -> DataFrame:
     """lang, source and the cutoffs of every source, from the nearest sketch with ``few`` documents."""
     found = written(quantiles(sketches(stats)), "quantiles")
     limits = []
-    for name in rates():
-        above = F.max(F.when(F.col("measure") == name, F.col("q50") + F.greatest(F.lit(UPPER[name]), SPREADS * (F.col("q50") - F.col("q10")))))
-        limits.append(above.alias(f"most_{name}"))
+    of = lambda name, value: F.max(F.when(F.col("measure") == name, value))
+    low, middle, high = F.col("q10"), F.col("q50"), F.col("q90")
+    for name, least in UPPER.items():
+        limits.append(of(name, middle + F.greatest(F.lit(least), SPREADS * (middle - low))).alias(f"most_{name}"))
     for name, least in LOWER.items():
-        below = F.max(F.when(F.col("measure") == name, F.col("q50") - F.greatest(F.lit(least), SPREADS * (F.col("q90") - F.col("q50")))))
-        limits.append(below.alias(f"least_{name}"))
+        limits.append(of(name, middle - F.greatest(F.lit(least), SPREADS * (high - middle))).alias(f"least_{name}"))
     by = found.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *limits)
     names = [column for column in by.columns if column.startswith(("most_", "least_"))]
     value = F.struct(*names)
