@@ -50,6 +50,8 @@ HELD_STRINGS = 1 << 18
 # The tokenizer file's word pattern, and blanks as it knows them.
 BLANKS = r"\t-\r \x85\xa0"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANKS}\p{{L}}\p{{N}}]+")
+# Blanks to Python but not to the tokenizer.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 MARKS = frozenset(".,;:!?")
 UNUSUAL = re.compile("[^\x00-\x1b\x20-ͯ‐-‧‰-⁞€]")
 
@@ -82,6 +84,8 @@ class Words:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
+        if text.isascii() and not any(mark in text for mark in SEPARATORS):
+            return text.lower().split()
         if UNUSUAL.search(text):
             normal = self.library.normalizer.normalize_str(text)
             return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
