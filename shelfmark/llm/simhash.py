@@ -26,7 +26,7 @@ from itertools import accumulate, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,10 +39,10 @@ from shelfmark.llm.common import (
     ragged_ranges,
     smallest_reachable,
     texts,
-    unused,
     written,
 )
 from shelfmark.llm.components import linked_to
+from shelfmark.llm.near_copies import one_of_each  # noqa: F401
 
 WORDS = 3
 SEED = 42
@@ -235,27 +235,6 @@ def near_duplicates(documents: DataFrame, bits: int = BITS, most_homes: int = HO
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """``documents`` with one row of each component: that of the smallest doc_id.
-
-    Rows without a doc_id stay, as no decision can name them. Of rows repeated
-    under one doc_id the first by text stays.
-    """
-    lost, place = unused(documents, "_lost"), unused(documents, "_place")
-    gone = (
-        near_duplicates(documents.select("doc_id", "text"), bits)
-        .where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias(lost))
-    )
-    kept = documents.join(gone, documents["doc_id"] == F.col(lost), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    return (
-        kept.withColumn(place, F.row_number().over(order))
-        .where((F.col(place) == 1) | F.col("doc_id").isNull())
-        .select(*documents.columns)
-    )
-
-
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
