@@ -41,13 +41,13 @@ NAMES = {
     "gfdl": ("free documentation", r"(?:gnu )?free documentation licen[cs]e"),
     "gpl": ("gnu", r"gnu (?:general public licen[cs]e|gpl)"),
     "apache": ("apache", r"apache (?:software )?licen[cs]e"),
-    "mit": ("mit", r"(?:mit|expat|mit x11) licen[cs]e"),
+    "mit": ("mit", r"(?:mit|mit x11) licen[cs]e"),
     "mit-0": ("no attribution", r"mit no attribution licen[cs]e"),
     "isc": ("isc", r"isc licen[cs]e"),
-    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[cs]e"),
+    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[cs]e"),
     "bsd-3-clause": ("bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) licen[cs]e"),
     "bsd-4-clause": ("bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e"),
-    "bsd-0-clause": ("bsd", r"(?:zero clause bsd|bsd zero clause|0bsd) licen[cs]e"),
+    "bsd-0-clause": ("bsd", r"(?:zero clause bsd|bsd zero clause) licen[cs]e"),
     "bsd": ("bsd", r"bsd(?: style)? licen[cs]e"),
     "mpl": ("mozilla public", r"mozilla public licen[cs]e"),
     "epl": ("eclipse public", r"eclipse public licen[cs]e"),
@@ -99,6 +99,12 @@ SPELLED = {
     "cc-by-sa": r"creative commons (?:by sa|attribution share ?alike)",
     "cc-by": r"creative commons (?:by|attribution)",
 }
+# Names without the keyword of their label above, each with its own.
+OTHER_NAMES = {
+    "mit": ("expat", r"expat licen[cs]e"),
+    "bsd-2-clause": ("freebsd", r"freebsd licen[cs]e"),
+    "bsd-0-clause": ("0bsd", r"0bsd licen[cs]e"),
+}
 VERSIONS = {
     "agpl": ("3", "1"),
     "lgpl": ("3", "2 1"),
@@ -164,7 +170,7 @@ def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: sentences, grants, tags, names; versions before none."""
     named: list[tuple[str, str, str, float]] = []
     spelled = [(label, ("creative commons", name)) for label, name in SPELLED.items()]
-    for label, (keyword, name) in [*NAMES.items(), *spelled]:
+    for label, (keyword, name) in [*NAMES.items(), *OTHER_NAMES.items(), *spelled]:
         for version in VERSIONS.get(label, ()):
             numbers = rf"{name}(?: version)? (?:v ?)?{version}(?: 0)?"
             tail = "-".join((label, version.replace(" ", ".")))

@@ -90,3 +90,54 @@ def test_odd_rows(spark, tmp_path):
 def test_only_built_in_functions(spark):
     plan = op.op2_license_scans(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def ungated(text):
+    """Labels and score by every pattern, without keywords and hint."""
+    joined = " " + " ".join(words_of(text)) + " "
+    spans = [
+        (found.start(), found.end(), number)
+        for number, rule in enumerate(RULES)
+        for found in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", joined)
+    ]
+    kept = [s for s in spans if not any(o[0] <= s[0] and o[1] >= s[1] and (o[:2] != s[:2] or o[2] < s[2]) for o in spans)]
+    return ",".join(sorted({RULES[n].label for *_, n in kept})), max((RULES[n].score for *_, n in kept), default=0.0)
+
+
+def test_keywords_and_hint_lose_nothing(spark, tmp_path):
+    alternatives = [
+        "Expat License", "licensed under the expat licence", "FreeBSD license", "released under the FreeBSD License",
+        "0BSD license", "provided under the terms of the 0bsd licence", "MIT X11 license", "simplified bsd license",
+        "zero clause BSD license", "gnu gpl v3", "wtfpl", "creative commons zero 1.0", "the unlicense", "public domain dedication and license",
+        "dedicated to the public domain", "all rights reserved this software is proprietary", "cecill b license", "zlib libpng license",
+    ]
+    rows = [(k, f"some words {text} and more") for k, text in enumerate(alternatives)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in op.op2_license_scans(spark, str(tmp_path)).collect()}
+    assert got == {k: ungated(text) for k, text in rows}
+    assert [got[k] for k in (0, 1, 2, 4)] == [("mit", 0.7), ("mit", 0.9), ("bsd-2-clause", 0.7), ("bsd-0-clause", 0.7)]
+
+
+def test_every_match_holds_its_keyword():
+    def shortest(parts):
+        """The words of every branch, repeats at their least, so that nothing optional helps."""
+        out = [""]
+        for kind, value in parts:
+            name = str(kind)
+            if name == "LITERAL":
+                more = [chr(value)]
+            elif name == "IN":
+                more = ["x"] if str(value[0][0]) != "LITERAL" else [chr(value[0][1])]
+            elif name == "BRANCH":
+                more = [one for branch in value[1] for one in shortest(branch)]
+            elif name == "SUBPATTERN":
+                more = shortest(value[3])
+            else:
+                more = [one * max(value[0], 0) for one in shortest(value[2])] if value[0] else [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    for rule in RULES:
+        for text in shortest(re._parser.parse(rule.pattern)):
+            assert re.fullmatch(rule.pattern, text) and f" {rule.keyword} " in f" {text} ", (rule, text)
+            assert re.search(op.HINT, text, re.ASCII), (rule, text)
