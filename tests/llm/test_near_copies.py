@@ -86,3 +86,11 @@ def test_bands_of_similar_sets_meet():
         assert op.is_near(common, len(one), len(other))
         apart += not set(op.bands(one).tolist()) & set(op.bands(other).tolist())
     assert apart == 0
+
+
+def test_rows_are_decided_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, c, 5), (7, a, 6), (None, a, 7), (None, a, 8)]
+    kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert len(kept) == 5
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept)) == [(0, a), (0, a), (1, a), (5, b), (7, c)]
