@@ -151,6 +151,8 @@ TEXTS = (
     ("public-domain", "public domain", r"(?:dedicated|released) (?:in)?to the public domain", 0.8),
 )
 GRANT = r"(?:licen[cs]ed|released|distributed|published|made available|available|provided|shared) under (?:the )?(?:terms of (?:the )?)?"
+# Words of a text whose letters are not yet lower-cased.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # No rule matches a text without one of these.
 HINT = (
     r"(?i:licen[cs]e|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|cc0|commons|gpl|wtfpl|permission|redistribution"
@@ -256,11 +258,14 @@ def scanned(documents: DataFrame, ordered: tuple[Rule, ...] | None = None) -> Da
     """doc_id, n_words, words (null without a hint) and found: start, minus_end, rule of the kept detections."""
     ordered = ordered or rules()
     text = F.coalesce(F.col("text"), F.lit(""))
-    hinted = documents.select("doc_id", F.when(text.rlike(HINT), text).alias("text"))
-    worded = hinted.select("doc_id", F.when(F.col("text").isNotNull(), normal_words(F.col("text"))).alias("words"))
+    n_words = F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words")
+    hinted = documents.select("doc_id", n_words, F.when(text.rlike(HINT), text).alias("text"))
+    worded = hinted.select(
+        "doc_id", "n_words", F.when(F.col("text").isNotNull(), normal_words(F.col("text"))).alias("words")
+    )
     words = F.col("words")
     found = F.when(words.isNotNull(), kept(detections(words, ordered)))
-    return worded.select("doc_id", "words", found.alias("found"))
+    return worded.select("doc_id", "n_words", "words", found.alias("found"))
 
 
 def op2_license_scans(spark, sf_dir: str) -> DataFrame:
@@ -287,6 +292,7 @@ def op2_license_scans(spark, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     return scan.select(
         "doc_id",
+        "n_words",
         reduce(Column.__add__, count.values()).cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"),
         F.greatest(*last).cast("long").alias("last_word"),

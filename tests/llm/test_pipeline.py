@@ -5,9 +5,9 @@ from pathlib import Path
 
 from test_bpe import row_by_library, rows
 from test_decontaminate import brute as contaminated
+from test_near_copies import brute_groups
 from test_secrets import op as secrets
 from test_secrets import spans_of
-from test_simhash import brute_components, brute_print
 
 from shelfmark.llm.toxicity import scored, trained
 
@@ -37,10 +37,12 @@ def test_run_equals_brute_force(spark):
     toxic = {r["doc_id"] for r in scored(documents, model).where("toxic").collect()}
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     kept = {d: t for d, t in texts.items() if d not in toxic}
-    firsts = {c for _, _, c in brute_components([(d, brute_print(t)) for d, t in kept.items()])}
+    ids = sorted(kept)
+    groups, pairs = brute_groups([kept[d] for d in ids])
+    firsts = {d for k, d in enumerate(ids) if groups[k] == k}
     kept = {d: t for d, t in kept.items() if d in firsts}
     hit = {row[0] for row in contaminated(list(kept.items()), items) if row[5]}
-    assert toxic and len(firsts) < len(texts) - len(toxic) and hit
+    assert toxic and pairs and len(firsts) < len(texts) - len(toxic) and hit
     expected = sorted((row_by_library(d, redacted(t)) for d, t in kept.items() if d not in hit), key=repr)
     assert rows(pipeline.run(spark, ROOT)) == expected
 
