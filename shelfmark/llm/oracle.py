@@ -158,9 +158,53 @@ CHAT = r"""
            sha256(learned) AS loss_sha256, formatted_chars, regexp_full_match(roles, 's?(ua)*u?') AS valid
     FROM said"""
 
+# CRC-32 of a number written out, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, c: list_reduce(
+        list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, bit: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+PERIODIC = f"""
+    WITH doc AS (
+        SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}') AS ws FROM documents),
+    part AS (
+        SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM doc),
+    tail AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM part),
+    said AS (
+        SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE
+               list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws
+        FROM tail),
+    word AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM said),
+    same AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q
+        FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    stretch AS (
+        SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same)
+        GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), ''
+               ORDER BY start, period) AS runs FROM run GROUP BY doc_id),
+    best AS (
+        SELECT x.* FROM run x WHERE NOT EXISTS (
+            SELECT 1 FROM run y WHERE y.doc_id = x.doc_id AND (
+                y.length * x.period > x.length * y.period
+                OR (y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))),
+    kept AS (
+        SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM word
+        WHERE NOT EXISTS (
+            SELECT 1 FROM run WHERE run.doc_id = word.doc_id AND i >= start + period AND i < start + length)
+        GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+           sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM said LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op3_secret_scans": _secrets(),
     "op7_quality_rules": _quality(),
     "op9_chat_formatting": CHAT,
+    "op11_periodic_runs": PERIODIC,
 }

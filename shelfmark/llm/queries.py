@@ -12,6 +12,7 @@ from shelfmark.llm.decontaminate import op1_decontamination
 from shelfmark.llm.html_text import op8_html_extraction
 from shelfmark.llm.licenses import op2_license_scans
 from shelfmark.llm.oracle import ORACLES
+from shelfmark.llm.periodic_runs import op11_periodic_runs
 from shelfmark.llm.quality_rules import op7_quality_rules
 from shelfmark.llm.secrets import op3_secret_scans
 from shelfmark.llm.simhash import op4_simhash_near_dedup
@@ -32,6 +33,7 @@ QUERIES = (
     op8_html_extraction,
     op9_chat_formatting,
     op10_token_counts,
+    op11_periodic_runs,
 )
 
 
