@@ -18,6 +18,7 @@ from shelfmark.llm.secrets import op3_secret_scans
 from shelfmark.llm.simhash import op4_simhash_near_dedup
 from shelfmark.llm.token_counts import op10_token_counts
 from shelfmark.llm.toxicity import op5_toxicity
+from shelfmark.llm.whitening import op12_embedding_whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,7 @@ QUERIES = (
     op9_chat_formatting,
     op10_token_counts,
     op11_periodic_runs,
+    op12_embedding_whitening,
 )
 
 
