@@ -10,6 +10,7 @@ from shelfmark.llm.bpe import op6_bpe_round_trip
 from shelfmark.llm.chat import op9_chat_formatting
 from shelfmark.llm.decontaminate import op1_decontamination
 from shelfmark.llm.html_text import op8_html_extraction
+from shelfmark.llm.language_id import op13_language_id
 from shelfmark.llm.licenses import op2_license_scans
 from shelfmark.llm.oracle import ORACLES
 from shelfmark.llm.periodic_runs import op11_periodic_runs
@@ -36,6 +37,7 @@ QUERIES = (
     op10_token_counts,
     op11_periodic_runs,
     op12_embedding_whitening,
+    op13_language_id,
 )
 
 
