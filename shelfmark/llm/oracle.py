@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from shelfmark.llm.common import ALNUM_WORD, BLANK_WORD, UPPER
-from shelfmark.llm.quality_rules import FEW, LOWER, SPREADS
-from shelfmark.llm.quality_rules import UPPER as MOST
+from shelfmark.llm.quality_rules import RULES, STEPS_BITS
 from shelfmark.llm.secrets import BASE, MORE
 
 
@@ -70,29 +69,29 @@ def _secrets() -> str:
 
 
 def _quality() -> str:
-    rates = {
-        "symbol_rate": "1000 * n_symbols // greatest(word_chars, 1)",
-        "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
-        "word_length": "100 * word_chars // greatest(n_words, 1)",
-    }
+    rates = {name: f"{rule.scale} * {rule.part} // greatest({rule.whole}, 1)" for name, rule in RULES.items()}
     values = " UNION ALL ".join(
-        f"SELECT lang, source, '{name}' AS measure, {rate} AS v FROM stat WHERE n_words > 0" for name, rate in rates.items()
+        f"SELECT lang, source, '{name}' AS measure, {value} AS v FROM stat WHERE n_words > 0"
+        + (f" AND {value} > 0" if RULES[name].present else "")
+        for name, value in rates.items()
     )
     levels = " UNION ALL ".join(
         f"SELECT {level} AS level, {lang} AS lang, {source} AS source, measure, bucket, n FROM sketch"
         for level, lang, source in ((0, "lang", "source"), (1, "lang", "''"), (2, "''", "''"))
     )
-    quantiles = ", ".join(f"min(bucket) FILTER (upto * 100 >= total * {q}) AS q{q}" for q in (10, 50, 90))
-    limits = [
-        f"max(q50 + greatest({least}, {SPREADS} * (q50 - q10))) FILTER (measure = '{name}') AS most_{name}"
-        for name, least in MOST.items()
-    ] + [
-        f"max(q50 - greatest({least}, {SPREADS} * (q90 - q50))) FILTER (measure = '{name}') AS least_{name}"
-        for name, least in LOWER.items()
-    ]
-    outside = " OR ".join(
-        [f"{rates[name]} > l.most_{name}" for name in MOST] + [f"{rates[name]} < l.least_{name}" for name in LOWER]
-    )
+    quantiles = ", ".join(f"min(bucket) FILTER (upto * 100 >= total * {q}) AS q{q}" for q in (25, 50, 75))
+    limits, chosen, outside = [], [], []
+    for name, rule in RULES.items():
+        far = f"{rule.spreads} * greatest({rule.least}, least(q50 - q25, q75 - q50))"
+        ends = {"most": f"q50 + {far}"} | ({"least": f"greatest(q50 - {far}, q50 // 4)"} if rule.lower else {})
+        held = f"FILTER (measure = '{name}')"
+        limits += [f"max(total) {held} AS n_{name}"] + [f"max({value}) {held} AS {end}_{name}" for end, value in ends.items()]
+        for end in ends:
+            nearest = " ".join(f"WHEN {at}.n_{name} >= {rule.few} THEN {at}.{end}_{name}" for at in ("o", "l"))
+            otherwise = "NULL" if rule.otherwise is None else rule.otherwise
+            chosen.append(f"coalesce(CASE {nearest} ELSE a.{end}_{name} END, {otherwise}) AS {end}_{name}")
+            outside.append(f"{rates[name]} {'>' if end == 'most' else '<'} {end}_{name}")
+    limits, chosen, outside = ", ".join(limits), ", ".join(chosen), " OR ".join(outside)
     return f"""
         WITH doc AS (
             SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
@@ -110,11 +109,13 @@ def _quality() -> str:
             SELECT doc_id, lang, source, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
                    len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-                   len(lines) AS n_lines
+                   len(lines) AS n_lines,
+                   len(text) - len(regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g')) AS n_marks
             FROM doc LEFT JOIN repeated USING (doc_id)),
         sketch AS (
             SELECT lang, source, measure, count(*) AS n,
-                   CASE WHEN v < 64 THEN v ELSE (v >> (len(bin(v)) - 6)) << (len(bin(v)) - 6) END AS bucket
+                   CASE WHEN v < {1 << STEPS_BITS} THEN v
+                        ELSE (v >> (len(bin(v)) - {STEPS_BITS})) << (len(bin(v)) - {STEPS_BITS}) END AS bucket
             FROM ({values}) GROUP BY ALL),
         merged AS (SELECT level, lang, source, measure, bucket, sum(n) AS n FROM ({levels}) GROUP BY ALL),
         ranked AS (
@@ -122,19 +123,15 @@ def _quality() -> str:
                    sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM merged),
         quantile AS (
             SELECT level, lang, source, measure, total, {quantiles} FROM ranked GROUP BY ALL),
-        cutoff AS (
-            SELECT level, lang, source, max(total) AS total, {", ".join(limits)} FROM quantile GROUP BY ALL),
+        cutoff AS (SELECT level, lang, source, {limits} FROM quantile GROUP BY ALL),
         chosen AS (
-            SELECT o.lang AS for_lang, o.source AS for_source,
-                   CASE WHEN o.total >= {FEW} THEN 0 WHEN l.total >= {FEW} THEN 1 ELSE 2 END AS level
-            FROM cutoff o JOIN cutoff l ON l.level = 1 AND l.lang = o.lang WHERE o.level = 0),
+            SELECT o.lang, o.source, {chosen}
+            FROM cutoff o LEFT JOIN cutoff l ON l.level = 1 AND l.lang = o.lang LEFT JOIN cutoff a ON a.level = 2
+            WHERE o.level = 0),
         judged AS (
             SELECT s.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
                    coalesce({outside}, false) AS outside
-            FROM stat s LEFT JOIN chosen c ON c.for_lang = s.lang AND c.for_source = s.source
-                 LEFT JOIN cutoff l ON l.level = c.level
-                      AND l.lang = CASE WHEN c.level < 2 THEN s.lang ELSE '' END
-                      AND l.source = CASE WHEN c.level < 1 THEN s.source ELSE '' END)
+            FROM stat s LEFT JOIN chosen c ON c.lang = s.lang AND c.source = s.source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT outside AS kept
         FROM judged"""

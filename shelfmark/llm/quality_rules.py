@@ -1,13 +1,22 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
 Every document's measures go into quantile sketches: counts of whole-number
-buckets that are exact up to 63 and have 32 steps per power of two beyond, so
-any quantile is right within 1/32. Sketches merge by adding counts: those of a
-source merge into its language's and those into the one of all. A source with
-few documents uses the sketch of its language, or of all.
-
-A cutoff is the median plus a multiple of the spread on the clean side of it
-(median to tenth percentile), so junk up to half of a source doesn't move it.
+buckets that are exact up to 1023 and have 512 steps per power of two beyond, so
+any quantile is right within 1/512. Sketches merge by adding counts: those of a
+source merge into its language's and those into the one of all. Each cutoff
+comes from the source's sketch, or, if that holds too few values, from that of
+its language, or of all.
+
+A cutoff is the median plus or minus a multiple of the spread, which is the
+smaller of the distances from the median to the two quartiles. Junk stretches
+one side of a distribution, so up to a quarter of a source can be junk of one
+kind without loosening its own cutoffs. Most documents repeat no line; that
+measure's quantiles are those of the documents that do.
+
+* mark_rate: ASCII punctuation and symbols in a thousand characters of words
+* dup_line_rate: repeated lines in a thousand
+* word_length: hundredths of characters in a word, with a lower cutoff as well,
+  never under a quarter of the median
 
 Defined cases: a null text has no words and fails; null lang or source count as
 the empty string; repeated rows count each time and get equal results; an empty
@@ -17,6 +26,8 @@ table gives none.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 from itertools import accumulate
 
 import pyarrow as pa
@@ -34,12 +45,31 @@ SPAN = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 
-FEW = 200
-SPREADS = 6
-EXACT = 64
-# Measures in thousandths (word length in hundredths) with the least distance of a cutoff from the median.
-UPPER = {"symbol_rate": 100, "dup_line_rate": 300, "word_length": 300}
-LOWER = {"word_length": 200}
+STEPS_BITS = 10
+EXACT = 1 << STEPS_BITS
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How cutoffs follow from a sketch of ``few`` values or more; a smaller spread than ``least`` counts as that."""
+
+    part: str
+    whole: str
+    scale: int
+    few: int
+    spreads: int
+    least: int
+    lower: bool = False
+    present: bool = False  # only values above 0 are sketched
+    otherwise: int | None = None  # the cutoff when no document has such a value
+
+
+RULES = {
+    "mark_rate": Measure("n_marks", "word_chars", 1000, 200, 10, 1),
+    "dup_line_rate": Measure("n_dup_lines", "n_lines", 1000, 20, 5, 20, present=True, otherwise=300),
+    "word_length": Measure("word_chars", "n_words", 100, 200, 10, 2, lower=True),
+}
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 FOLLOWING = bytes(range(0x80, 0xC0))
 
 
@@ -61,8 +91,8 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word)."""
+def measures(text: bytes) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_marks."""
     words = blank_words(text)
     lines = [line for line in text.split(b"\n") if line.strip()]
     return (
@@ -72,10 +102,11 @@ def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
+        len(text) - len(text.translate(None, MARKS)),
     )
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
 
 
 def measured(documents: DataFrame) -> DataFrame:
@@ -94,34 +125,30 @@ def measured(documents: DataFrame) -> DataFrame:
     return source.mapInArrow(measure, schema)
 
 
-def rates() -> dict[str, Column]:
-    """Whole-number measures the sketches hold."""
-
-    def share(part: str, whole: str, scale: int) -> Column:
-        return F.expr(f"{scale} * {part} div greatest({whole}, 1)")
-
-    return {
-        "symbol_rate": share("n_symbols", "word_chars", 1000),
-        "dup_line_rate": share("n_dup_lines", "n_lines", 1000),
-        "word_length": share("word_chars", "n_words", 100),
-    }
+def rate(rule: Measure) -> Column:
+    return F.expr(f"{rule.scale} * {rule.part} div greatest({rule.whole}, 1)")
 
 
 def bucket(value: Column) -> Column:
     """The smallest value of the sketch bucket of a whole number."""
-    drop = F.length(F.bin(value)) - 6
+    drop = F.length(F.bin(value)) - STEPS_BITS
     return F.when(value < EXACT, value).otherwise(
         F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
     )
 
 
-def sketches(stats: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n: one sketch per source, its language ('*' for the source) and all."""
-    values = F.array(*(F.struct(F.lit(name).alias("measure"), bucket(v).alias("bucket")) for name, v in rates().items()))
+def sketches(stats: DataFrame, rules: Mapping[str, Measure] = RULES) -> DataFrame:
+    """level, lang, source, measure, bucket, n: a sketch per source (0), language (1) and of all (2)."""
+    values = F.array(
+        *(F.struct(F.lit(name).alias("measure"), bucket(rate(rule)).alias("bucket")) for name, rule in rules.items())
+    )
+    present = [name for name, rule in rules.items() if rule.present]
     own = written(
         stats.where("n_words > 0")
         .select("lang", "source", F.explode(values).alias("value"))
-        .groupBy("lang", "source", "value.measure", "value.bucket")
+        .select("lang", "source", "value.*")
+        .where((F.col("bucket") > 0) | ~F.col("measure").isin(present))
+        .groupBy("lang", "source", "measure", "bucket")
         .agg(F.count("*").alias("n")),
         "sketches",
     )
@@ -138,51 +165,52 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, measure, total and the 10th, 50th and 90th percentile of each sketch."""
+    """level, lang, source, measure, total and the three quartiles of each sketch."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn(
         "total", F.sum("n").over(group)
     )
     return ranked.groupBy("level", "lang", "source", "measure", "total").agg(
-        *(F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in (10, 50, 90))
+        *(F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in (25, 50, 75))
     )
 
 
-def cutoffs(stats: DataFrame, few: int = FEW) -> DataFrame:
-    """lang, source and the cutoffs of every source, from the nearest sketch with ``few`` documents."""
-    found = written(quantiles(sketches(stats)), "quantiles")
+def cutoffs(stats: DataFrame, rules: Mapping[str, Measure] = RULES) -> DataFrame:
+    """lang, source and the cutoffs of every source, each from the nearest sketch with enough values."""
+    found = written(quantiles(sketches(stats, rules)), "quantiles")
+    low, middle, high = F.col("q25"), F.col("q50"), F.col("q75")
     limits = []
-    of = lambda name, value: F.max(F.when(F.col("measure") == name, value))
-    low, middle, high = F.col("q10"), F.col("q50"), F.col("q90")
-    for name, least in UPPER.items():
-        limits.append(of(name, middle + F.greatest(F.lit(least), SPREADS * (middle - low))).alias(f"most_{name}"))
-    for name, least in LOWER.items():
-        limits.append(of(name, middle - F.greatest(F.lit(least), SPREADS * (high - middle))).alias(f"least_{name}"))
-    by = found.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *limits)
-    names = [column for column in by.columns if column.startswith(("most_", "least_"))]
-    value = F.struct(*names)
-    source = by.where("level = 0").select("lang", "source", "total", value.alias("own"))
+    for name, rule in rules.items():
+        far = rule.spreads * F.greatest(F.lit(rule.least), F.least(middle - low, high - middle))
+        ends = {f"n_{name}": F.col("total"), f"most_{name}": middle + far}
+        if rule.lower:
+            ends[f"least_{name}"] = F.greatest(middle - far, F.expr("q50 div 4"))
+        limits += [F.max(F.when(F.col("measure") == name, end)).alias(end_name) for end_name, end in ends.items()]
+    by = found.groupBy("level", "lang", "source").agg(*limits)
+    value = F.struct(*by.columns[3:])
+    source = by.where("level = 0").select("lang", "source", value.alias("own"))
     # There are as many languages as the data names, so the join is left to the planner.
-    language = by.where("level = 1").select("lang", F.col("total").alias("lang_total"), value.alias("of_lang"))
+    language = by.where("level = 1").select("lang", value.alias("of_lang"))
     every = by.where("level = 2").select(F.lit(True).alias("one"), value.alias("of_all"))
-    chosen = (
-        F.when(F.col("total") >= few, F.col("own"))
-        .when(F.col("lang_total") >= few, F.col("of_lang"))
-        .otherwise(F.col("of_all"))
-    )
+    chosen = []
+    for name, rule in rules.items():
+        for end in ("most", "least")[: 1 + rule.lower]:
+            nearest = F.when(F.col(f"own.n_{name}") >= rule.few, F.col(f"own.{end}_{name}"))
+            nearest = nearest.when(F.col(f"of_lang.n_{name}") >= rule.few, F.col(f"of_lang.{end}_{name}"))
+            chosen.append(F.coalesce(nearest.otherwise(F.col(f"of_all.{end}_{name}")), F.lit(rule.otherwise)).alias(f"{end}_{name}"))
     return (
         source.join(language, "lang", "left")
         .withColumn("one", F.lit(True))
         .join(F.broadcast(every), "one", "left")  # a single row
-        .select("lang", "source", chosen.alias("limit"))
-        .select("lang", "source", "limit.*")
+        .select("lang", "source", *chosen)
     )
 
 
-def judged(documents: DataFrame, few: int = FEW) -> DataFrame:
-    """doc_id, the measures, base_failed and kept of every row."""
+def judged(documents: DataFrame, few: int | None = None) -> DataFrame:
+    """doc_id, the measures, base_failed and kept of every row; ``few`` replaces that of all rules."""
+    rules = RULES if few is None else {name: replace(rule, few=few) for name, rule in RULES.items()}
     stats = written(measured(documents), "measures")
-    limits = written(cutoffs(stats, few), "cutoffs")
+    limits = written(cutoffs(stats, rules), "cutoffs")
     # A source may hold a third of all rows: either nothing moves, or it is cut into slots.
     if is_small(limits):
         joined = stats.join(F.broadcast(limits), ["lang", "source"], "left")
@@ -190,10 +218,10 @@ def judged(documents: DataFrame, few: int = FEW) -> DataFrame:
         joined = spread_join(stats, limits, ["lang", "source"], ["doc_id", *MEASURES], "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     outside = F.lit(False)
-    for name, value in rates().items():
-        outside = outside | (value > F.col(f"most_{name}"))
-        if name in LOWER:
-            outside = outside | (value < F.col(f"least_{name}"))
+    for name, rule in rules.items():
+        outside = outside | (rate(rule) > F.col(f"most_{name}"))
+        if rule.lower:
+            outside = outside | (rate(rule) < F.col(f"least_{name}"))
     return joined.select(
         "doc_id",
         "lang",
