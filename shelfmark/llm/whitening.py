@@ -27,16 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark import StorageLevel
+from pyspark.mllib.linalg import DenseMatrix, Matrices
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import bounded_batches, written
+from shelfmark.llm.common import bounded_batches, first_of_runs, written
 from shelfmark.operators.numbering import number_rows
 
 # How an entry becomes a whole number.
@@ -124,39 +122,66 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def centred(rows: DataFrame, fit: Fit) -> DataFrame:
-    """``rows`` with ``deviation`` and ``centred``, from exact whole numbers, in place of ``x``."""
-    width, n, narrow = len(fit.sums), fit.n, fit.fits_long()
+def _centred(x: np.ndarray, fit: Fit, sums: np.ndarray, narrow: bool) -> tuple[np.ndarray, list[int | None]]:
+    """The centred rows and their deviations, from exact whole numbers."""
+    far = fit.n * (x if narrow else x.astype(object)) - sums
+    square = (far * far).sum(axis=1).tolist()
+    # Dividing whole numbers rounds once, however large the mean is.
+    return (far / fit.n).astype(np.float64), square if narrow else [int(s) if s < 1 << 63 else None for s in square]
+
+
+def deviations(rows: DataFrame, fit: Fit) -> DataFrame:
+    """``rows`` with ``deviation`` in place of ``x``."""
+    narrow = fit.fits_long()
     sums = np.array(fit.sums, np.int64 if narrow else object)
-    at = rows.columns.index("x")
     kept = [field for field in rows.schema if field.name != "x"]
-    schema = T.StructType(
-        [*kept, T.StructField("deviation", T.LongType()), T.StructField("centred", T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([*kept, T.StructField("deviation", T.LongType())])
+    source = rows.select(*(field.name for field in kept), "x")
 
-    def move(batches):
+    def measure(batches):
         for batch in batches:
-            x = _matrix(batch.column(at), width)
-            far = n * (x if narrow else x.astype(object)) - sums
-            square = (far * far).sum(axis=1)
-            if not narrow:
-                square = [int(s) if s < 1 << 63 else None for s in square]
-            # Dividing whole numbers rounds once, however large the mean is.
-            value = (far / n).astype(np.float64).ravel()
-            offsets = pa.array(np.arange(len(x) + 1) * width, pa.int32())
-            columns = [batch.column(batch.schema.get_field_index(field.name)) for field in kept]
-            columns += [pa.array(square, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(value))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            _, square = _centred(_matrix(batch.column(len(kept)), len(sums)), fit, sums, narrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(square, pa.int64())], names=schema.names)
+
+    return source.mapInArrow(measure, schema)
+
+
+def blocks(rows: DataFrame, fit: Fit, block_rows: int | None = None) -> BlockMatrix:
+    """The centred rows as a block matrix; ``number`` is a row's place in it, from 0 without gaps.
+
+    A block is as wide as a row and leaves its task as one value.
+    """
+    size = block_rows or BLOCK_ROWS
+    narrow, width = fit.fits_long(), len(fit.sums)
+    sums = np.array(fit.sums, np.int64 if narrow else object)
+    block = F.expr(f"number div {size}").cast("int").alias("block")
+    dealt = rows.select(block, "number", "x").repartition("block").sortWithinPartitions("block", "number")
+
+    def build(batches):
+        at, parts = None, []
 
-    return rows.mapInArrow(move, schema)
+        def finished():
+            moved, _ = _centred(np.concatenate(parts), fit, sums, narrow)
+            columns = [pa.array([at], pa.int32()), pa.array([len(moved)], pa.int32()), pa.array([moved.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "size", "values"])
+
+        for batch in batches:
+            numbers, x = batch.column(0).to_numpy(), _matrix(batch.column(2), width)
+            starts = first_of_runs(numbers)
+            for a, b in zip(starts, [*starts[1:], len(numbers)], strict=True):
+                if at is not None and numbers[a] != at:
+                    yield finished()
+                    parts = []
+                at = int(numbers[a])
+                parts.append(x[a:b])
+        if parts:
+            yield finished()
 
+    def as_block(row):
+        return (row["block"], 0), DenseMatrix(row["size"], width, np.frombuffer(row["values"]), isTransposed=True)
 
-def blocks(rows: DataFrame, column: str = "centred", block_rows: int = BLOCK_ROWS) -> BlockMatrix:
-    """The arrays of ``rows`` as a block matrix; ``number`` says which row each one is."""
-    vectors = rows.select(F.col("number").alias("index"), array_to_vector(column).alias("vector"))
-    # One block is as wide as a row, so a block holds whole rows.
-    width = len(rows.select(column).first()[0])
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector")).toBlockMatrix(block_rows, width)
+    built = dealt.mapInArrow(build, "block int, size int, values binary")
+    return BlockMatrix(built.rdd.map(as_block), size, width)
 
 
 def scatter(matrix: BlockMatrix, partitions: int) -> np.ndarray:
@@ -194,10 +219,25 @@ def projected(spark: SparkSession, matrix: BlockMatrix, whitening: Whitening) ->
     return matrix.multiply(BlockMatrix(spark.sparkContext.parallelize([((0, 0), local)], 1), width, components))
 
 
-def rows_of(matrix: BlockMatrix) -> DataFrame:
-    """``number`` and ``values`` of every row, without a detour through Python."""
-    rows = callMLlibFunc("getIndexedRows", matrix.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    return rows.select(F.col("index").alias("number"), vector_to_array("vector").alias("values"))
+def rows_of(spark: SparkSession, matrix: BlockMatrix) -> DataFrame:
+    """``number`` and ``values`` of every row."""
+    size, width = matrix.rowsPerBlock, matrix.colsPerBlock
+
+    def as_row(block):
+        (at, _), values = block
+        return at, values.toArray().tobytes()
+
+    def cut(batches):
+        for batch in batches:
+            for at, held in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                values = pa.array(np.frombuffer(held))
+                n = len(values) // width
+                numbers = pa.array(np.arange(n, dtype=np.int64) + at * size)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), values)
+                yield pa.RecordBatch.from_arrays([numbers, lists], names=["number", "values"])
+
+    found = spark.createDataFrame(matrix.blocks.map(as_row), "block int, values binary")
+    return found.mapInArrow(cut, "number long, values array<double>")
 
 
 def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
@@ -218,15 +258,18 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
         )
     fit = Fit.of(distinct)
     parts = max(distinct.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    fitted = blocks(centred(distinct, fit))
+    # Read by both sides of a product and again; a lost executor's blocks are built anew.
+    fitted = blocks(distinct, fit).persist(StorageLevel.MEMORY_AND_DISK)
     whitening = Whitening.of(scatter(fitted, parts) / fit.n, components)
-    white = scatter(projected(spark, fitted, whitening), parts) / fit.n
-    error = float(np.abs(white - np.diag(np.array(whitening.live, float))).max())
-    moved = written(centred(rows, fit), "centred")
-    values = rows_of(projected(spark, blocks(moved), whitening))
+    white = projected(spark, fitted, whitening).persist(StorageLevel.MEMORY_AND_DISK)
+    covariance = scatter(white, parts) / fit.n
+    for matrix in (white, fitted):
+        matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+    error = float(np.abs(covariance - np.diag(np.array(whitening.live, float))).max())
+    values = rows_of(spark, projected(spark, blocks(rows, fit), whitening))
     share = F.array(*map(F.lit, whitening.explained))
     return (
-        moved.select("vec_id", "number", "deviation")
+        deviations(rows, fit)
         .join(values, "number")
         .select("vec_id", "deviation", F.posexplode("values").alias("place", "whitened"))
         .select(

@@ -114,8 +114,14 @@ def test_far_values_are_cut_off_and_stay_exact(spark):
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_scatter_is_the_same_however_it_is_cut(spark, parts):
-    rnd = np.random.default_rng(9)
-    values = rnd.normal(size=(50, 3))
-    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "number long, centred array<double>")
-    found = op.scatter(op.blocks(rows, block_rows=8), parts)
-    np.testing.assert_allclose(found, values.T @ values, atol=1e-10)
+    values = np.random.default_rng(9).integers(-50, 50, size=(50, 3))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "number long, x array<long>")
+    fit = op.Fit.of(rows)
+    assert (fit.n, fit.sums) == (50, tuple(values.sum(axis=0).tolist()))
+    moved = values - values.mean(axis=0)
+    matrix = op.blocks(rows, fit, block_rows=8)
+    assert (matrix.numRowBlocks, matrix.numRows(), matrix.numCols()) == (7, 50, 3)
+    np.testing.assert_allclose(matrix.toLocalMatrix().toArray(), moved, atol=1e-12)
+    np.testing.assert_allclose(op.scatter(matrix, parts), moved.T @ moved, atol=1e-9)
+    back = {r["number"]: r["values"] for r in op.rows_of(spark, matrix).collect()}
+    np.testing.assert_allclose([back[k] for k in range(50)], moved, atol=1e-12)
