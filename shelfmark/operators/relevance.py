@@ -48,13 +48,7 @@ def relevance_topk(
     vocabulary = asked.select("word").distinct()
     small, few_words = is_small(asked), is_small(vocabulary)
 
-    text = F.concat_ws(" ", *text_columns)
-    tokens = docs.select(F.col(id_column).alias("_doc"), words(text).alias("_words"))
-    # The null word stands for the document itself, so that its length counts
-    # whether or not it holds an asked word.
-    occurrences = tokens.select(
-        "_doc", F.size("_words").alias("_length"), F.explode(F.array_append("_words", F.lit(None))).alias("word")
-    )
+    occurrences = word_rows(docs, text_columns, id_column)
     if few_words:
         known = F.broadcast(vocabulary.withColumn("_asked", F.lit(True)))
     else:
@@ -81,21 +75,43 @@ def relevance_topk(
         scored = spread_join(counted, weighted, "word", spread="_doc", counts=hot)
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("_length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / saturation
-    totalled = (
-        scored.select("query_id", "_doc", part.alias("part"))
-        .groupBy("query_id", "_doc")
-        .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-        .withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(slots)))
+    return best_documents(scored.select("query_id", "_doc", part.alias("part")), k, id_column, slots)
+
+
+def word_rows(docs: DataFrame, text_columns: Sequence[str], id_column: str) -> DataFrame:
+    """``_doc``, ``_length`` and ``word`` of every word of every document.
+
+    The null word stands for the document itself, so that its length counts
+    whether or not it holds an asked word.
+    """
+    text = F.concat_ws(" ", *text_columns)
+    tokens = docs.select(F.col(id_column).alias("_doc"), words(text).alias("_words"))
+    return tokens.select(
+        "_doc", F.size("_words").alias("_length"), F.explode(F.array_append("_words", F.lit(None))).alias("word")
     )
 
-    def ranked(rows: DataFrame, *group: str) -> DataFrame:
+
+def summed(parts: DataFrame) -> DataFrame:
+    """``query_id``, ``_doc`` and ``score`` from the parts each word adds."""
+    return parts.groupBy("query_id", "_doc").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+
+
+def ranked(scores: DataFrame, k: int, slots: int) -> DataFrame:
+    """The best ``k`` of each query with their ``rank``, ranked in ``slots`` pieces first."""
+    totalled = scores.withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(slots)))
+
+    def first(rows: DataFrame, *group: str) -> DataFrame:
         best_first = W.partitionBy(*group).orderBy(F.desc("score"), F.asc("_doc"))
         return rows.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
-    top = ranked(ranked(totalled, "query_id", "_slot").drop("rank"), "query_id")
+    return first(first(totalled, "query_id", "_slot").drop("rank"), "query_id")
+
+
+def best_documents(parts: DataFrame, k: int, id_column: str, slots: int) -> DataFrame:
+    """The result of a relevance search from the parts each word adds to a document's score."""
     best = F.max("score").over(W.partitionBy("query_id"))
     relative = F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0))
-    return top.select(
+    return ranked(summed(parts), k, slots).select(
         "query_id",
         F.col("_doc").alias(id_column),
         "score",
