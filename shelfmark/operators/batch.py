@@ -8,6 +8,7 @@ of its grams, found by an equality join, and verified with ``contains``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +75,7 @@ def _gram_length(pattern: Column) -> Column:
     return F.least(F.length(pattern), F.lit(GRAM_LENGTHS[-1]))
 
 
-def _pattern_grams(patterns: DataFrame) -> DataFrame:
+def pattern_grams(patterns: DataFrame) -> DataFrame:
     """``(pattern, gram)``: the grams a query may be filed under, all of one length."""
     choices = F.coalesce(
         *(
@@ -85,17 +86,17 @@ def _pattern_grams(patterns: DataFrame) -> DataFrame:
     return patterns.select("pattern", F.explode(F.array_distinct(choices)).alias("gram"))
 
 
-def _filed(pattern_grams: DataFrame, frequency: DataFrame) -> DataFrame:
+def filed_by_rarest(choices: DataFrame, frequency: DataFrame) -> DataFrame:
     """``(pattern, gram)`` with the gram that ``frequency`` counts least."""
     rank = F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))
     return (
-        pattern_grams.join(frequency, "gram", "left")
+        choices.join(frequency, "gram", "left")
         .groupBy("pattern")
         .agg(F.min(rank)["gram"].alias("gram"))
     )
 
 
-def _text_grams(lengths: tuple[int, ...]) -> Column:
+def text_grams(lengths: tuple[int, ...]) -> Column:
     """Distinct grams of title and description; none spans the gap between them."""
     found = [
         F.coalesce(grams(F.col(text), n), F.array().cast("array<string>"))
@@ -105,6 +106,16 @@ def _text_grams(lengths: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def upper_texts(datasets: DataFrame) -> DataFrame:
+    return datasets.withColumns({"_title": F.upper("title"), "_description": F.upper("description")})
+
+
+def holds(candidates: DataFrame) -> DataFrame:
+    """The candidates whose text does contain their pattern."""
+    found = F.contains("_title", "pattern") | F.contains("_description", "pattern")
+    return candidates.where(found).select("pattern", *_MATCHED)
+
+
 def text_matches(
     datasets: DataFrame, patterns: DataFrame, lengths: tuple[int, ...], small: bool, slots: int = SLOTS
 ) -> DataFrame:
@@ -117,30 +128,25 @@ def text_matches(
     candidates meet the texts once more to be verified, in ``slots`` pieces, as
     a long text may be one of many candidates.
     """
-    texts = datasets.withColumns({"_title": F.upper("title"), "_description": F.upper("description")})
-    holds = F.contains("_title", "pattern") | F.contains("_description", "pattern")
-    choices = settled(_pattern_grams(patterns))
+    texts = upper_texts(datasets)
+    choices = settled(pattern_grams(patterns))
     # explode_outer: a plain explode would take the grams of every text a second
     # time, to test that there are any. The joins drop the null of an empty text.
-    text_grams = F.explode_outer(_text_grams(lengths))
+    each_gram = F.explode_outer(text_grams(lengths))
     if small:
         by_request = choices.groupBy("gram").agg(F.count("*").alias("n"))
-        filed = F.broadcast(_filed(choices, by_request))
-        candidates = texts.withColumn("gram", text_grams).join(filed, "gram")
-        return candidates.where(holds).select("pattern", *_MATCHED)
+        filed = F.broadcast(filed_by_rarest(choices, by_request))
+        candidates = texts.withColumn("gram", each_gram).join(filed, "gram")
+        return holds(candidates)
     wanted = sent_if_small(settled(choices.select("gram").distinct()))
-    exploded = settled(texts.select("id", text_grams.alias("gram")).join(wanted, "gram", "left_semi"))
+    exploded = settled(texts.select("id", each_gram.alias("gram")).join(wanted, "gram", "left_semi"))
     by_text = settled(exploded.groupBy("gram").agg(F.count("*").alias("n")))
-    filed = settled(_filed(choices, by_text))
+    filed = settled(filed_by_rarest(choices, by_text))
     exploded = exploded.join(sent_if_small(filed.select("gram").distinct()), "gram", "left_semi")
     found = spread_join(exploded, filed, "gram", spread="id", counts=by_text).select("pattern", "id")
     candidates = settled(found)
     by_id = candidates.groupBy("id").agg(F.count("*").alias("n"))
-    return (
-        spread_join(candidates, texts, "id", spread="pattern", counts=by_id)
-        .where(holds)
-        .select("pattern", *_MATCHED)
-    )
+    return holds(spread_join(candidates, texts, "id", spread="pattern", counts=by_id))
 
 
 def _resolved(searches: DataFrame, catalog: Catalog, fields: frozenset[str]) -> DataFrame:
@@ -190,6 +196,7 @@ def batch_search(
     small_rows: int = SMALL_ROWS,
     small_bytes: int = SMALL_BYTES,
     slots: int = SLOTS,
+    matches: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every distinct search with every dataset it finds.
 
@@ -197,24 +204,32 @@ def batch_search(
     nothing. Returns ``search_key``, ``pattern``, the filter fields and
     ``dataset_id``, one row per hit; :func:`with_search_key` leads from a
     request to its key. Equal to running a single search per request.
+    ``matches``, from :mod:`shelfmark.operators.gram_index`, finds texts by a
+    stored index instead.
     """
-    return _hits(catalog, settled(distinct_searches(requests)), small_rows, small_bytes, slots)[0]
+    return _hits(catalog, settled(distinct_searches(requests)), small_rows, small_bytes, slots, matches)[0]
 
 
 def _hits(
-    catalog: Catalog, searches: DataFrame, small_rows: int, small_bytes: int, slots: int
+    catalog: Catalog,
+    searches: DataFrame,
+    small_rows: int,
+    small_bytes: int,
+    slots: int,
+    matches: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, _Load]:
     """The hits of settled distinct searches, and what was seen of them."""
     load = _Load.of(searches, small_rows, small_bytes)
     patterns = searches.select("pattern").distinct()
-    matches = text_matches(
-        catalog.dataset, patterns, load.gram_lengths or GRAM_LENGTHS, load.small, slots
-    )
+    if matches is not None:
+        found = matches(patterns)
+    else:
+        found = text_matches(catalog.dataset, patterns, load.gram_lengths or GRAM_LENGTHS, load.small, slots)
     resolved = _resolved(searches, catalog, load.fields)
     if load.small:
-        hits = matches.join(F.broadcast(resolved), "pattern")
+        hits = found.join(F.broadcast(resolved), "pattern")
     else:
-        hits = spread_join(matches, resolved, "pattern", spread="id", slots=slots)
+        hits = spread_join(found, resolved, "pattern", spread="id", slots=slots)
     for condition in _meets(load.fields):
         hits = hits.where(condition)
     for field, relation in RELATIONS.items():

@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from small import plan, small_catalog
+
+from shelfmark.operators import gram_index
+from shelfmark.operators.batch import batch_search
+from shelfmark.schemas import DATASET
+from shelfmark.sources.store import Store
+
+REQUESTS = "query string, record_count_min int, modalities_list string"
+
+
+def made(n, seed, first=0, step=1):
+    rnd = random.Random(seed)
+
+    def text(most):
+        return " ".join(rnd.choice(["Ring", "steel", "50%", "a_b", "Éclair", "red", "x"]) for _ in range(rnd.randint(0, most)))
+
+    return [(first + k * step, text(4), rnd.choice([None, text(6), "ring"]), None, None, k % 7, k % 5, None, None, None) for k in range(n)]
+
+
+def rows(df):
+    return sorted(tuple(r[c] for c in ("pattern", "record_count_min", "modalities_list", "dataset_id")) for r in df.collect())
+
+
+def catalog_of(spark, datasets):
+    return small_catalog(spark).replace(dataset=spark.createDataFrame(datasets, DATASET))
+
+
+ASKED = [
+    ("ring", None, None), ("RIN", 3, None), ("g s", None, None), ("50%", None, None), ("a_", 1, None), ("éclair", None, None),
+    ("absent", None, None), ("red", None, "CT,MRI"), ("x x", None, None), ("éc", None, None), ("ring", None, None), ("q", None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def requests(spark):
+    return spark.createDataFrame(ASKED, REQUESTS)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_equals_the_search_without_an_index(spark, tmp_path, monkeypatch, requests, small):
+    if not small:
+        monkeypatch.setattr(gram_index, "is_small", lambda df: False)
+        monkeypatch.setattr(gram_index, "sent_if_small", lambda df: df)
+    catalog = catalog_of(spark, made(200, 1))
+    version = gram_index.add_datasets(Store(spark, str(tmp_path)).open(), catalog.dataset, files=6, block_ids=16)
+    version = version.with_table("dataset", catalog.dataset, ["id"], files=6).put()
+    found = batch_search(catalog, requests, matches=gram_index.matcher(version, gram_index.stored_datasets(version)))
+    expected = rows(batch_search(catalog, requests))
+    assert len(expected) > 100 and rows(found) == expected
+    assert max(r["n"] for r in version.read(gram_index.GRAMS).collect()) < 50  # lists are cut
+
+
+def test_changed_and_deleted_datasets(spark, tmp_path, requests):
+    old = made(120, 1)
+    changed = made(40, 2, first=0, step=2) + made(30, 3, first=500)
+    gone = {1, 3, 5, 7}
+    today = {r[0]: r for r in old if r[0] not in gone} | {r[0]: r for r in changed}
+    before, now = catalog_of(spark, old), catalog_of(spark, list(today.values()))
+    base = gram_index.add_datasets(Store(spark, str(tmp_path)).open(), before.dataset, block_ids=16).put()
+    later = gram_index.add_datasets(base, spark.createDataFrame(changed, DATASET), block_ids=16).put()
+    found = batch_search(now, requests, matches=gram_index.matcher(later, lambda ids: now.dataset))
+    assert rows(found) == rows(batch_search(now, requests))
+    # The version before goes on answering for the table before.
+    found = batch_search(before, requests, matches=gram_index.matcher(base, lambda ids: before.dataset))
+    assert rows(found) == rows(batch_search(before, requests))
+
+
+def test_little_is_read(spark, tmp_path):
+    rare = [(10_000, "quartz", None, *[None] * 7)]
+    catalog = catalog_of(spark, made(300, 4) + rare)
+    version = gram_index.add_datasets(Store(spark, str(tmp_path)).open(), catalog.dataset, files=8)
+    version = version.with_table("dataset", catalog.dataset, ["id"], files=8).put()
+    patterns = spark.createDataFrame([("QUARTZ",)], "pattern string")
+    assert [tuple(r) for r in gram_index.candidates(version, patterns).collect()] == [("QUARTZ", 10_000)]
+    grams = spark.createDataFrame([("QUAR",), ("UART",), ("ARTZ",)], "gram string")
+    assert version.touched(gram_index.GRAMS, grams).count() <= 3 < version.files(gram_index.GRAMS).count()
+    texts = gram_index.stored_datasets(version)(spark.createDataFrame([(10_000,)], "id long"))
+    assert texts.count() < 100 and "gram" not in plan(texts)
+
+
+def test_empty(spark, tmp_path, requests):
+    catalog = catalog_of(spark, [])
+    version = gram_index.add_datasets(Store(spark, str(tmp_path)).open(), catalog.dataset)
+    assert batch_search(catalog, requests, matches=gram_index.matcher(version, lambda ids: catalog.dataset)).count() == 0
