@@ -329,7 +329,10 @@ def delete_blocked_roles(c: Catalog) -> DataFrame:
 @_query
 def delete_cascade(c: Catalog) -> DataFrame:
     """Deletes datasets without an area under the rules of an application that has no collections."""
-    left = changes.delete(c, "dataset", c.dataset.where("anatomical_area_id IS NULL"), LINK_KEYS)
+    return rows_left(changes.delete(c, "dataset", c.dataset.where("anatomical_area_id IS NULL"), LINK_KEYS))
+
+
+def rows_left(left: Catalog) -> DataFrame:
     links = [(relation.bridge, "dataset_id") for relation in RELATIONS.values()]
     rows = stacked(
         [
@@ -350,9 +353,15 @@ def delete_set_null(c: Catalog) -> DataFrame:
 @_query
 def delete_users(c: Catalog) -> DataFrame:
     """Users who never searched go, and their collections with them."""
+    return collections_left(changes.delete(c, "users", idle_users(c), STRICT_KEYS))
+
+
+def idle_users(c: Catalog) -> DataFrame:
     searched = c.user_search_queries.select(F.col("user_id").alias("id"))
-    idle = c.users.select("id").join(searched, "id", "left_anti")
-    left = changes.delete(c, "users", idle, STRICT_KEYS)
+    return c.users.select("id").join(searched, "id", "left_anti")
+
+
+def collections_left(left: Catalog) -> DataFrame:
     kept = left.user_dataset_collections.groupBy("user_id").agg(F.count("*").alias("n_collections"))
     rows = left.collection_datasets.join(
         left.user_dataset_collections.select(F.col("id").alias("collection_id"), "user_id"), "collection_id"
@@ -363,7 +372,7 @@ def delete_users(c: Catalog) -> DataFrame:
     )
 
 
-def _saves(c: Catalog) -> DataFrame:
+def saves(c: Catalog) -> DataFrame:
     """One save per logged search: its text becomes the title of a dataset."""
     log = c.user_search_queries
     return log.select(
@@ -384,14 +393,14 @@ def _saves(c: Catalog) -> DataFrame:
 
 @_query
 def upsert_latest(c: Catalog) -> DataFrame:
-    saved = changes.upsert(c.dataset, _saves(c), order=("saved_at", "save_id"), now=NOW)
+    saved = changes.upsert(c.dataset, saves(c), order=("saved_at", "save_id"), now=NOW)
     return saved.select("id", "title", "description", "record_count", "created_at", "updated_at")
 
 
 @_query
 def insert_without_id(c: Catalog) -> DataFrame:
     """Every logged search saved as a new dataset: none is lost, and each gets an id of its own."""
-    new = _saves(c).withColumns({"id": F.lit(None).cast("bigint"), "title": F.regexp_replace("title", " [0-9]+$", "")})
+    new = saves(c).withColumns({"id": F.lit(None).cast("bigint"), "title": F.regexp_replace("title", " [0-9]+$", "")})
     saved = changes.upsert(c.dataset, new, order=("saved_at", "save_id"), now=NOW)
     top = c.dataset.agg(F.max("id")).scalar()
     fresh = (F.col("id") > top).alias("fresh")
@@ -634,7 +643,7 @@ def batch_counts(c: Catalog) -> DataFrame:
 # Relevance
 
 
-def _ranked(df: DataFrame) -> DataFrame:
+def ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("relevance_score", F.col("relevance_score").cast("double"))
 
 
@@ -642,26 +651,27 @@ def _ranked(df: DataFrame) -> DataFrame:
 def relevance_top5(c: Catalog) -> DataFrame:
     texts = c.user_search_queries.select(F.col("query_text").alias("query")).distinct()
     found = relevance.relevance_topk(c.dataset, texts.withColumn("query_id", F.col("query")))
-    return _ranked(found)
+    return ranked(found)
 
 
-def relevance_documents(spark: SparkSession, root: str) -> DataFrame:
+def document_queries(spark: SparkSession) -> DataFrame:
     asked = F.posexplode(F.array(*(F.lit(text) for text in DOCUMENT_QUERIES)))
-    queries = spark.range(1).select(asked.alias("query_id", "query"))
+    return spark.range(1).select(asked.alias("query_id", "query"))
+
+
+def relevance_documents(spark: SparkSession, root: str) -> DataFrame:
     found = relevance.relevance_topk(
-        documents(spark, root), queries, text_columns=("text",), id_column="doc_id"
+        documents(spark, root), document_queries(spark), text_columns=("text",), id_column="doc_id"
     )
-    return _ranked(found)
+    return ranked(found)
 
 
 def relevance_many(spark: SparkSession, root: str) -> DataFrame:
     """More hits per query than a task keeps by a per-task limit."""
-    asked = F.posexplode(F.array(*(F.lit(text) for text in DOCUMENT_QUERIES)))
-    queries = spark.range(1).select(asked.alias("query_id", "query"))
     found = relevance.relevance_topk(
-        documents(spark, root), queries, 2000, text_columns=("text",), id_column="doc_id"
+        documents(spark, root), document_queries(spark), 2000, text_columns=("text",), id_column="doc_id"
     )
-    return _ranked(found)
+    return ranked(found)
 
 
 def long_documents(spark: SparkSession, root: str) -> DataFrame:

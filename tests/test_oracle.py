@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib.util
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -45,3 +47,14 @@ def test_query_equals_sql(spark, connection, name):
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
     assert rows
+
+
+def test_queries_without_the_training_data_operators():
+    """A library they need is missing: the others are there all the same."""
+    code = (
+        "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; "
+        "print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n[:2] == 'op' and n[2].isdigit()])"
+    )
+    found = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True, check=True)
+    own = sum(map(is_own, entry_module.queries()))
+    assert found.stdout.split("\n")[0] == f"{own} {own} []"
