@@ -2,8 +2,9 @@
 
 Every task builds suffix arrays over the words of its own documents, a shard at
 a time, and binary-searches every suffix of every benchmark item in them. A
-suffix of an item that is found with at least a window of words gives the
-longest verbatim match and all places of the window.
+suffix of an item that is found with at least a window of words gives all places
+of the window; equal windows are searched once. From each place, the longest
+verbatim match is found in the same way among the items' own suffixes.
 
 Sparse arrays: only positions from which a window of some item could start are
 sorted, that is positions followed by enough words of the benchmark's
@@ -36,6 +37,8 @@ BLOCK_BYTES = 8 * 1024 * 1024
 SHARD_BYTES = 16 * 1024 * 1024
 NEVER = np.iinfo(np.int32).max
 WINDOW_LIMIT = 1 << 20
+PLACES = 1 << 16
+NAMES = 4096
 
 
 class Block:
@@ -55,10 +58,23 @@ class Block:
         self.left = np.repeat(first + lengths, lengths) - np.arange(len(self.words))
         self.window = np.minimum(np.repeat(lengths, lengths), window)
         # Suffixes that are shorter than their item's window cannot begin one.
-        self.begins = np.flatnonzero(self.left >= self.window)
+        begins = np.flatnonzero(self.left >= self.window)
         self.need = np.full(len(self.vocabulary) + 1, NEVER, np.int32)
-        np.minimum.at(self.need, self.words[self.begins], self.window[self.begins].astype(np.int32))
-        self.longest = int(lengths.max(initial=0))
+        np.minimum.at(self.need, self.words[begins], self.window[begins].astype(np.int32))
+        self.longest, self.full = int(lengths.max(initial=0)), window
+        # Equal windows are searched once; ``items`` has the items of each.
+        numbers: dict[bytes, int] = {}
+        sizes = self.window[begins].tolist()
+        which = [numbers.setdefault(self.words[a : a + n].tobytes(), len(numbers)) for a, n in zip(begins.tolist(), sizes, strict=True)]
+        which = np.array(which, np.int64)
+        self.begins = begins[np.unique(which, return_index=True)[1]]
+        pairs = np.unique(which * max(len(coded), 1) + self.item[begins])
+        window_of, item = np.divmod(pairs, max(len(coded), 1))
+        self.items = np.split(item, np.searchsorted(window_of, np.arange(1, len(numbers))))
+        # The items' own suffixes in order, each item ended by 0: the longest match of any text is read from here.
+        ended = [word for words in coded for word in (*words, 0)]
+        self.ended = np.array(ended, np.int32)
+        self.order = suffix_array(self.ended, self.longest + 1) if ended else np.zeros(0, np.int64)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -99,9 +115,10 @@ def narrowed(words, order, low, high, depth, wanted):
 
 
 def found_in_shard(shard: list[bytes], block: Block) -> Iterator[tuple[np.ndarray, ...]]:
-    """Documents, first words, lengths and items of all windows found, and each longest match.
+    """All places of all windows, in pieces of about ``PLACES`` places.
 
-    Yields arrays (document, word position, window length, item, longest match).
+    Yields arrays (document, word position, window length, number of the window
+    among the block's distinct ones) and where the places are in which words.
     """
     counts, coded = [], []
     for text in shard:
@@ -140,45 +157,75 @@ def found_in_shard(shard: list[bytes], block: Block) -> Iterator[tuple[np.ndarra
         depth += 1
         active = active[(low[active] < high[active]) & (block.window[here] > depth)]
     hits = np.flatnonzero(high > low)
-    for some in np.array_split(hits, max(1, len(hits) // 4096)):
-        sizes = high[some] - low[some]
-        at = order[ragged_ranges(low[some], sizes)]
-        suffix = np.repeat(query[some], sizes)
+    sizes = high[hits] - low[hits]
+    ends = np.cumsum(sizes)
+    done = 0
+    while done < len(hits):
+        before = ends[done] - sizes[done]
+        until = max(done + 1, int(np.searchsorted(ends, before + PLACES, "right")))
+        some, n = hits[done:until], sizes[done:until]
+        at = order[ragged_ranges(low[some], n)]
         document = np.searchsorted(first, place[at], side="right") - 1
-        match = block.window[suffix].copy()
-        going = np.arange(len(at))
-        while len(going):
-            going = going[block.left[suffix[going]] > match[going]]
-            same = words[at[going] + match[going]] == block.words[suffix[going] + match[going]]
-            going = going[same]
-            match[going] += 1
-        yield document, place[at] - first[document], block.window[suffix], block.item[suffix], match
-
-
-def shard_hits(shard: list[bytes], blocks) -> tuple[list[int], list[int], list[set[str]], list[int]]:
-    """Per document: words, words inside found windows, items, longest match."""
+        yield document, place[at] - first[document], np.repeat(block.window[query[some]], n), np.repeat(some, n), words, at
+        done = until
+
+
+def longest_matches(words: np.ndarray, places: np.ndarray, length: np.ndarray, block: Block) -> np.ndarray:
+    """How many words from each place on stand in some item one after another.
+
+    Less than a whole window of an item is no match; ``length`` is that of a
+    window found at the place, which may be a short item's.
+    """
+    at, back = np.unique(places, return_inverse=True)
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(block.order))
+    match = np.zeros(len(at), np.int64)
+    active = np.arange(len(at))
+    depth = 0
+    while len(active):
+        wanted = words[np.minimum(at[active] + depth, len(words) - 1)]
+        low[active], high[active] = narrowed(block.ended, block.order, low[active], high[active], depth, wanted)
+        active = active[(low[active] < high[active]) & (wanted > 0)]
+        depth += 1
+        match[active] = depth
+    match = match[back]
+    return np.where(match >= block.full, match, length)
+
+
+def shard_hits(shard: list[bytes], blocks) -> tuple[list[int], list[int], list[list[str]], list[int]]:
+    """Per document: words, words inside found windows, items in order, longest match."""
     counts = [len(alnum_words(text)) for text in shard]
     items: list[set[str]] = [set() for _ in shard]
-    longest = [0] * len(shard)
+    longest = np.zeros(len(shard), np.int64)
     offsets = np.cumsum([0] + [count + 1 for count in counts])
     cover = np.zeros(int(offsets[-1]) + 1, np.int32)
     for sent in blocks:
         block = sent.value
-        for document, position, length, item, match in found_in_shard(shard, block):
-            begin = offsets[document] + position
-            begin = np.unique(begin * (WINDOW_LIMIT + 1) + length)
+        found = [np.zeros(0, np.int64)]
+        for document, position, length, window, words, at in found_in_shard(shard, block):
+            np.maximum.at(longest, document, longest_matches(words, at, length, block))
+            begin = np.unique((offsets[document] + position) * (WINDOW_LIMIT + 1) + length)
             begin, length = np.divmod(begin, WINDOW_LIMIT + 1)
             np.add.at(cover, begin, 1)
             np.add.at(cover, begin + length, -1)
-            pairs = np.unique(document * len(block.ids) + item)
-            for pair in pairs.tolist():
-                items[pair // len(block.ids)].add(block.ids[pair % len(block.ids)])
-            best = np.zeros(len(shard), np.int64)
-            np.maximum.at(best, document, match)
-            longest = [max(a, b) for a, b in zip(longest, best.tolist(), strict=True)]
+            found.append(np.unique(document * len(block.begins) + window))
+        document, window = np.divmod(np.unique(np.concatenate(found)), max(len(block.begins), 1))
+        names: dict[bytes, set[str]] = {}
+        numbers = np.unique(document)
+        begin, end = (np.searchsorted(document, numbers, side) for side in ("left", "right"))
+        for number, a, b in zip(numbers.tolist(), begin, end, strict=True):
+            # Documents with the same windows have the same items.
+            key = window[a:b].tobytes()
+            if key not in names:
+                if len(names) > NAMES:
+                    names.clear()
+                held = np.unique(np.concatenate([block.items[w] for w in window[a:b].tolist()]))
+                names[key] = {block.ids[k] for k in held.tolist()}
+            # Most documents have items of one block, and so share the set itself.
+            items[number] = items[number] | names[key] if items[number] else names[key]
     inside = np.concatenate(([0], np.cumsum(np.cumsum(cover) > 0)))
     hit = [int(inside[offsets[k] + counts[k]] - inside[offsets[k]]) for k in range(len(shard))]
-    return counts, hit, items, longest
+    ordered = {id(one): sorted(one) for one in items}
+    return counts, hit, [ordered[id(one)] for one in items], longest.tolist()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: int):
@@ -231,7 +278,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                     ids,
                     pa.array(counts, pa.int64()),
                     pa.array(hit, pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.array(items, pa.list_(pa.string())),
                     pa.array(longest, pa.int64()),
                 ],
                 names=["doc_id", "n_words", "n_hit", "items", "longest"],
@@ -274,15 +321,24 @@ def places(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
             ids = pa.concat_arrays([batch.column(0) for batch, _ in pairs])
             shard = [x for _, t in pairs for x in t]
             for sent in blocks:
-                for document, position, length, item, match in found_in_shard(shard, sent.value):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(document)),
-                            pa.array([sent.value.ids[k] for k in item.tolist()], pa.string()),
-                            *(pa.array(x.astype(np.int64)) for x in (position, length, match)),
-                        ],
-                        names=names,
-                    )
+                block = sent.value
+                for document, position, length, window, words, at in found_in_shard(shard, block):
+                    match = longest_matches(words, at, length, block)
+                    held = np.array([len(block.items[w]) for w in window.tolist()], np.int64)
+                    ends = np.cumsum(held)
+                    # A place has a row per item, so places of many items leave in pieces too.
+                    cuts = np.unique(np.searchsorted(ends, np.arange(PLACES, int(ends[-1]), PLACES)) + 1).tolist()
+                    for a, b in zip([0, *cuts], [*cuts, len(held)], strict=True):
+                        item = np.concatenate([block.items[w] for w in window[a:b].tolist()] or [held[:0]])
+                        columns = [np.repeat(x[a:b].astype(np.int64), held[a:b]) for x in (position, length, match)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                ids.take(pa.array(np.repeat(document[a:b], held[a:b]))),
+                                pa.array([block.ids[k] for k in item.tolist()], pa.string()),
+                                *map(pa.array, columns),
+                            ],
+                            names=names,
+                        )
 
     return source.mapInArrow(search, schema)
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -117,3 +119,35 @@ def test_odd_rows_blocks_and_empty_tables(spark, odd, monkeypatch):
     assert op.contamination(odd.limit(0), items).count() == 0
     where = {tuple(r) for r in op.places(odd, items).where("doc_id is null").collect()}
     assert where == {(None, "7", 0, 2, 2), (None, "8", 0, 2, 2)}
+
+
+def test_repeated_items_in_repeated_passages():
+    """Each distinct window is searched once, however many items hold it."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    items = [(f"item{k}", passage.encode()) for k in range(1600)]
+    shard = [f"before x{k} {passage} after".encode() for k in range(4000)]
+    block = op.Block(items, 10)
+    assert len(block.begins) == 31
+
+    class Sent:
+        value = block
+
+    tracemalloc.start()
+    start = time.perf_counter()
+    counts, hit, found, longest = op.shard_hits(shard, [Sent])
+    took, peak = time.perf_counter() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(counts) == {43} and set(hit) == {40} and set(longest) == {40}
+    assert len(found) == 4000 and all(one == found[0] for one in found) and found[0] == sorted(f"item{k}" for k in range(1600))
+    assert took < 10 and peak < 300e6  # traced, which slows it down
+
+
+def test_places_leave_in_pieces(monkeypatch):
+    class Sent:
+        value = op.Block([(k, b"one two three") for k in range(3)] + [(9, b"two three four")], 3)
+
+    shard = [b"one two three four " * 20, b"two three four", b"x"]
+    whole = op.shard_hits(shard, [Sent])
+    monkeypatch.setattr(op, "PLACES", 2)
+    assert len(list(op.found_in_shard(shard, Sent.value))) == 2  # one window, and the other
+    assert op.shard_hits(shard, [Sent]) == whole
