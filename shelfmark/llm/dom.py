@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +64,9 @@ class Page:
         self.text_of: list[int] = []
         self.block_of: list[int] = []
         self.text: list[str] = []
+        # Open elements from the outermost on, and for each tag their places among them.
         self._open, self._block = [0], 0
+        self._places: defaultdict[str, list[int]] = defaultdict(list)
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -111,25 +114,29 @@ class Page:
             self.attrs.append(attrs)
             self.parent.append(self._open[-1])
             self.depth.append(len(self._open))
+            self._places[tag].append(len(self._open))
             self._open.append(len(self.tag) - 1)
 
+    def _innermost(self, tags: set[str]) -> int:
+        """The place of the innermost open element with one of ``tags``; 0 if there is none."""
+        return max(self._places[tag][-1] if self._places[tag] else 0 for tag in tags)
+
+    def _end(self, place: int) -> None:
+        """Close the open elements from ``place`` inwards."""
+        while len(self._open) > place:
+            self._places[self.tag[self._open.pop()]].pop()
+
     def _end_open(self, tags: set[str], walls: set[str]) -> None:
-        for at in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[at]]
-            if tag in tags:
-                outer = at
-                # Close the outermost of a run of such elements before a wall.
-                while outer > 1 and self.tag[self._open[outer - 1]] in tags:
-                    outer -= 1
-                del self._open[outer:]
-                return
-            if tag in walls:
-                return
+        outer = self._innermost(tags)
+        if outer > self._innermost(walls):
+            # Close the outermost of a run of such elements before a wall.
+            while outer > 1 and self.tag[self._open[outer - 1]] in tags:
+                outer -= 1
+            self._end(outer)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._block += 1
-        for at in range(len(self._open) - 1, 0, -1):
-            if self.tag[self._open[at]] == tag:
-                del self._open[at:]
-                return
+        place = self._innermost({tag})
+        if place:
+            self._end(place)

@@ -34,6 +34,7 @@ from shelfmark.llm.common import bounded_batches
 from shelfmark.llm.dom import INLINE, RAW, Page, names
 
 SAMPLE_PAGES = 200
+SAMPLE_CHARS = 200_000
 LAYOUT_PAGES = 600
 STEPS = 250
 RIDGE = 1e-6
@@ -71,6 +72,12 @@ def _bucket(value: np.ndarray) -> list[int]:
     return np.minimum(np.log2(value + 1).astype(int), 12).tolist()
 
 
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """The elements of each depth, from 0 on."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))
+
+
 def nodes_of(pages: list[Page], cache: dict) -> Nodes:
     """Elements of all pages in one numbering, with the features of each."""
     sizes = [len(page.tag) for page in pages]
@@ -89,8 +96,7 @@ def nodes_of(pages: list[Page], cache: dict) -> Nodes:
     linked[link] = chars[link]
     own = chars.copy()
     inline = np.array([tag in INLINE for tag in tags])
-    for level in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == level)
+    for at in reversed(by_depth(depth)[1:]):
         for total in (chars, linked, stops):
             np.add.at(total, parent[at], total[at])
         spread = at[inline[at]]
@@ -119,7 +125,7 @@ def marginals(own: np.ndarray, nodes: Nodes, pair: np.ndarray) -> tuple[np.ndarr
     evidence = np.zeros((n, 2))
     evidence[:, 1] = own
     potential = pair[nodes.inline.astype(int)]
-    levels = [np.flatnonzero(nodes.depth == level) for level in range(int(nodes.depth.max(initial=0)) + 1)]
+    levels = by_depth(nodes.depth)
     up = np.zeros((n, 2))
     for at in reversed(levels[1:]):
         # To the parent: over the own state, evidence and what came from below.
@@ -264,32 +270,34 @@ def labels_of(page: Page, rule) -> np.ndarray:
     return np.array([rule(page, k) for k in range(len(page.tag))], np.int64)
 
 
-def in_article(page: Page, element: int) -> bool:
+def article_labels(page: Page) -> np.ndarray:
     """Inside an article or main element, and not in a part of it that the standard sets apart."""
     apart = {"nav", "footer", "aside", "form", "button"} | RAW
-    found = False
-    while element > 0:
-        if page.tag[element] in apart:
-            return False
-        found = found or page.tag[element] in ("article", "main")
-        element = page.parent[element]
-    return found
+    found, left = [False], [False]
+    # A parent comes before its children.
+    for tag, parent in zip(page.tag[1:], page.parent[1:], strict=True):
+        found.append(found[parent] or tag in ("article", "main"))
+        left.append(left[parent] or tag in apart)
+    return np.array([f and not a for f, a in zip(found, left, strict=True)], np.int64)
 
 
 def trained(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """A model from a sample of ``pages`` that name their article, and from layouts of their sentences."""
+    """A model from a sample of ``pages`` that name their article, and from layouts of their sentences.
+
+    At most ``sample_pages`` pages of fewer than ``SAMPLE_CHARS`` characters are learned from.
+    """
     total = pages.count()
     share = min(HASHES, 4 * HASHES * sample_pages // max(total, 1))
     rows = (
         pages.select("page_id", "html")
         .where(F.pmod(F.xxhash64("page_id"), F.lit(HASHES)) < share)
-        .where(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") < 200_000))
+        .where(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") < SAMPLE_CHARS))
         .orderBy(F.xxhash64("page_id", "html"), "html")
         .limit(sample_pages)
         .collect()
     )
     marked = [Page(row["html"]) for row in rows]
-    labels = [labels_of(page, in_article) for page in marked]
+    labels = [article_labels(page) for page in marked]
     sentences = sorted(
         {" ".join(t.split()) for page in marked for t in page.text if 20 < len(t) < 300}
     ) or ["Some words make a sentence, and more words follow.", "Another one stands here.", "It ends, at last, with this."]

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 
+from shelfmark.llm import dom
 from shelfmark.llm import html_text as op
 from shelfmark.llm.dom import Page
 
@@ -116,3 +119,46 @@ def test_odd_rows(spark, model):
     assert by_id[6] == (words * 4).strip()
     assert op.extracted(odd.limit(0), model).count() == 0
     assert op.trained(odd.limit(0)).weights
+
+
+def walked(page, tags, walls):
+    """What a start tag closes, by a walk over all open elements."""
+    for at in range(len(page._open) - 1, 0, -1):
+        tag = page.tag[page._open[at]]
+        if tag in tags:
+            while at > 1 and page.tag[page._open[at - 1]] in tags:
+                at -= 1
+            return at
+        if tag in walls:
+            return None
+    return None
+
+
+def test_closing_equals_a_walk_over_open_elements(monkeypatch):
+    rnd = random.Random(8)
+    inner, seen = dom.Page._end_open, []
+
+    def checked(page, tags, walls):
+        expected = walked(page, tags, walls)
+        before = len(page._open)
+        inner(page, tags, walls)
+        assert len(page._open) == (before if expected is None else expected)
+        seen.append(expected)
+        for tag, places in page._places.items():
+            assert [page.tag[page._open[k]] for k in places] == [tag] * len(places)
+
+    monkeypatch.setattr(dom.Page, "_end_open", checked)
+    tags = ["p", "li", "ul", "td", "tr", "table", "dd", "dt", "dl", "div", "b", "button", "option", "select", "tbody", "th"]
+    for _ in range(300):
+        dom.Page("".join(f"<{rnd.choice(['', '', '/'])}{rnd.choice(tags)}>x" for _ in range(60)))
+    assert sum(e is not None for e in seen) > 500
+
+
+def test_deep_nesting_takes_seconds():
+    source = "<div>" * 100_000 + "<p>Some text stands here, deep below.</p>" + "</div>" * 100_000
+    start = time.perf_counter()
+    page = dom.Page(source)
+    nodes = op.nodes_of([page], {})
+    chance, _ = op.marginals(np.zeros(len(page.tag)), nodes, np.zeros((2, 2, 2)))
+    assert op.article_labels(page).sum() == 0
+    assert len(chance) == 100_002 and time.perf_counter() - start < 30
