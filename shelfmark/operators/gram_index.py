@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.operators.batch import GRAM_LENGTHS, filed_by_rarest, holds, pattern_grams, text_grams, upper_texts
+from shelfmark.sources.folders import kept
 from shelfmark.sources.store import Version
 
 BLOCK_IDS = 4096
@@ -65,7 +66,7 @@ def matcher(version: Version, datasets: Callable[[DataFrame], DataFrame]) -> Cal
     """
 
     def matches(patterns: DataFrame) -> DataFrame:
-        found = settled(candidates(version, patterns))
+        found = kept(candidates(version, patterns), "candidates")
         by_id = settled(found.groupBy("id").agg(F.count("*").alias("n")))
         texts = upper_texts(datasets(by_id.select("id")))
         return holds(spread_join(found, texts, "id", spread="pattern", counts=by_id, slots=SLOTS))

@@ -28,6 +28,7 @@ from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.functions.text import words
 from shelfmark.operators.relevance import K1, B, TOP, best_documents, ranked, summed, word_rows
+from shelfmark.sources.folders import kept
 from shelfmark.sources.store import Version
 
 BLOCK_DOCS = 32
@@ -49,7 +50,7 @@ def add_documents(
     files: int | None = None,
 ) -> Version:
     """The index with ``docs``, whose ids are new to it, as a further segment."""
-    counted = settled(word_rows(docs, text_columns, id_column).groupBy("_doc", "_length", "word").agg(F.count("*").alias("tf")))
+    counted = kept(word_rows(docs, text_columns, id_column).groupBy("_doc", "_length", "word").agg(F.count("*").alias("tf")), "counted")
     itself = counted.where("word IS NULL")
     step = F.floor(F.log2(F.greatest("_length", F.lit(1))) * LENGTH_STEPS)
     # At most 8 rows per doubling of the length.
@@ -102,7 +103,7 @@ class Search:
         vocabulary = settled(asked.select("word").distinct())
         totals = version.read(SEGMENTS).agg(F.sum("n_docs").cast("double").alias("n"), F.sum("total_length").cast("double").alias("l")).first()
         n_docs, mean = totals["n"] or 0.0, (totals["l"] or 0.0) / (totals["n"] or 1.0)
-        heads = settled(_lists(version, vocabulary).drop("docs"))
+        heads = kept(_lists(version, vocabulary).drop("docs"), "heads")
         frequency = heads.groupBy("word").agg(F.sum("n").alias("df"), F.count("*").alias("lists"))
         weight = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = settled(asked.join(frequency.select("word", weight.alias("weight")), "word"))
@@ -112,10 +113,9 @@ class Search:
         else:
             counts = frequency.select("word", F.col("lists").alias("n"))
             joined = spread_join(heads, weighted, "word", spread=["segment", "block"], counts=counts)
-        lists = settled(joined.select("query_id", "word", "weight", "segment", "block", "n", most.alias("most")))
-        blocks = settled(
-            lists.groupBy("query_id", "segment", "block").agg(F.sum("most").alias("bound"), F.max("n").alias("n"))
-        )
+        lists = kept(joined.select("query_id", "word", "weight", "segment", "block", "n", most.alias("most")), "lists")
+        by_block = lists.groupBy("query_id", "segment", "block")
+        blocks = kept(by_block.agg(F.sum("most").alias("bound"), F.max("n").alias("n")), "blocks")
         return cls(version, vocabulary, lists, blocks, mean)
 
     def promising(self, k: int, slots: int = SLOTS) -> DataFrame:
@@ -133,9 +133,8 @@ class Search:
     def parts(self, chosen: DataFrame) -> DataFrame:
         """``query_id``, ``_doc`` and what each word adds, in the chosen blocks."""
         on = ["word", "segment", "block"]
-        needed = settled(
-            self.lists.join(sent_if_small(chosen), ["query_id", "segment", "block"], "left_semi").select("query_id", "weight", *on)
-        )
+        asked = self.lists.join(sent_if_small(chosen), ["query_id", "segment", "block"], "left_semi")
+        needed = kept(asked.select("query_id", "weight", *on), "needed")
         held = _lists(self.version, self.vocabulary).select(*on, "docs")
         if is_small(needed):
             found = held.join(F.broadcast(needed), on)

@@ -21,6 +21,7 @@ from shelfmark.operators.changes import latest, upsert
 from shelfmark.operators.numbering import assign_ids
 from shelfmark.operators.quality import blocked_deletes
 from shelfmark.schemas import ForeignKey
+from shelfmark.sources.folders import kept
 from shelfmark.sources.store import Version, within
 
 
@@ -54,14 +55,14 @@ def save_rows(
     touched = settled(version.touched(table, keys).unionByName(files.join(named, "file", "left_semi")).distinct())
     held = version.rows(table, touched, marked=True)
     gone = F.broadcast(keys)
-    kept = held.join(gone, key, "left_anti").select(*columns, "_file")
+    others = held.join(gone, key, "left_anti").select(*columns, "_file")
     if "created_at" in columns:
         before = held.select(key, F.col("created_at").alias("_before")).join(gone, key, "left_semi")
         created = F.coalesce(F.col("created_at"), F.col("_before"), moment(now))
         placed = placed.join(before, key, "left").withColumn("created_at", created)
     if "updated_at" in columns:
         placed = placed.withColumn("updated_at", moment(now))
-    rows = kept.unionByName(placed.select(*columns, "_file")).withColumn("_part", F.xxhash64("_file"))
+    rows = others.unionByName(placed.select(*columns, "_file")).withColumn("_part", F.xxhash64("_file"))
     written = version.store.write(table, rows, head, labels="_part")
     return version.with_files(table, files.join(touched.select("file"), "file", "left_anti").unionByName(written))
 
@@ -85,7 +86,7 @@ def delete_rows(
 def _hit(version: Version, table: str, column: str, keys: DataFrame) -> DataFrame:
     """The rows of ``table`` whose ``column`` is in ``keys`` (named like it), with their places."""
     files = version.touched(table, keys) if version.heads[table].key == column else version.files(table)
-    return settled(version.rows(table, files, marked=True).join(sent_if_small(keys), column, "left_semi"))
+    return kept(version.rows(table, files, marked=True).join(sent_if_small(keys), column, "left_semi"), table)
 
 
 def _remove(version: Version, table: str, gone: DataFrame, foreign_keys: Sequence[ForeignKey]) -> Version:

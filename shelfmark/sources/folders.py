@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.session import ensure_checkpoint_dir
 
@@ -15,6 +15,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, as files in the shared folder; for tables too large for :func:`~shelfmark.functions.sizing.settled`."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def listed(spark: SparkSession, folder: str) -> list[str]:
     """Names in ``folder``, in order; none if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

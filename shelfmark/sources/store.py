@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from shelfmark.catalog import Catalog
 from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.tables import stacked
-from shelfmark.sources.folders import listed, put_in_place
+from shelfmark.sources.folders import kept, listed, put_in_place
 
 ROWS_PER_FILE = 5_000_000
 
@@ -91,7 +91,7 @@ class Store:
             dealt = df.select(*names, labels).repartition(labels).sortWithinPartitions(labels, *head.order)
         else:
             # The ranges are found by a look at all rows, so they are computed once before.
-            rows = settled(df.select(*names))
+            rows = kept(df.select(*names), table)
             dealt = rows.repartitionByRange(*([files] if files else []), *head.order).sortWithinPartitions(*head.order)
         writer = dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE)
         (writer.partitionBy(labels) if labels else writer).parquet(folder)
@@ -198,8 +198,8 @@ class Version:
             parts.append(found.select("*", *marks) if marked else found)
         if holed:
             found = spark.read.schema(schema).parquet(*holed).select("*", *marks)
-            kept = _without(found, sent_if_small(self.bitmaps(files)))
-            parts.append(kept if marked else kept.drop("_file", "_row"))
+            left = _without(found, sent_if_small(self.bitmaps(files)))
+            parts.append(left if marked else left.drop("_file", "_row"))
         if not parts:
             marks = [T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())] if marked else []
             parts.append(spark.createDataFrame([], T.StructType([*schema.fields, *marks])))
