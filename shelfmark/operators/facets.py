@@ -13,7 +13,7 @@ from shelfmark.schemas import RELATIONS
 _SCHEMA = ("facet", "option", "n_datasets", "low", "high")
 
 
-def _options(facet: str, names: DataFrame, counts: DataFrame) -> DataFrame:
+def options(facet: str, names: DataFrame, counts: DataFrame) -> DataFrame:
     """Every name of a lookup table with its count, 0 where nothing uses it."""
     return names.join(counts, "id", "left").select(
         F.lit(facet).alias("facet"),
@@ -24,6 +24,17 @@ def _options(facet: str, names: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def value_range(datasets: DataFrame, name: str) -> DataFrame:
+    """The facet of a number: how many datasets have it, and its range."""
+    return datasets.agg(
+        F.lit(name).alias("facet"),
+        F.lit(None).cast("string").alias("option"),
+        F.count(name).alias("n_datasets"),
+        F.min(name).alias("low"),
+        F.max(name).alias("high"),
+    )
+
+
 def facets(
     catalog: Catalog, ids: DataFrame | None = None, pairs_unique: bool = False
 ) -> DataFrame:
@@ -49,7 +60,7 @@ def facets(
         ),
     )
     parts = [
-        _options(
+        options(
             "anatomical_area",
             catalog.anatomical_area,
             per_area.select(F.col("anatomical_area_id").alias("id"), "n"),
@@ -61,7 +72,7 @@ def facets(
             bridge = bridge.join(ids, bridge["dataset_id"] == ids["id"], "left_semi")
         used = F.count("*") if pairs_unique else F.count_distinct("dataset_id")
         counts = bridge.groupBy(F.col(relation.key).alias("id")).agg(used.alias("n"))
-        parts.append(_options(field, catalog.table(relation.target), counts))
+        parts.append(options(field, catalog.table(relation.target), counts))
     ranges = per_area.agg(
         *(
             F.struct(

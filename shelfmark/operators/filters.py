@@ -101,7 +101,7 @@ def text_match(query: str | Column) -> Column:
     return icontains(F.col("title"), needle) | icontains(F.col("description"), needle)
 
 
-def _compare(column: Column, condition: Condition) -> Column:
+def compared(column: Column, condition: Condition) -> Column:
     value = condition.value
     if condition.op == "in":
         items = [int(item) for item in value if str(item).strip()] if condition.attribute == "id" else value
@@ -129,9 +129,9 @@ def linked_ids(catalog: Catalog, condition: Condition) -> DataFrame:
     relation = RELATIONS[condition.field]
     bridge = catalog.table(relation.bridge)
     if condition.attribute == "id":
-        hits = bridge.where(_compare(F.col(relation.key), condition))
+        hits = bridge.where(compared(F.col(relation.key), condition))
     else:
-        wanted = catalog.table(relation.target).where(_compare(F.col("name"), condition))
+        wanted = catalog.table(relation.target).where(compared(F.col("name"), condition))
         hits = bridge.join(
             wanted.select(F.col("id").alias(relation.key)), relation.key, "left_semi"
         )
@@ -151,7 +151,7 @@ def apply_conditions(
     for condition in conditions:
         name = _column_of(condition, datasets.columns)
         if name is not None:
-            datasets = datasets.where(_compare(F.col(name), condition))
+            datasets = datasets.where(compared(F.col(name), condition))
         elif condition.attribute and condition.field in (*RELATIONS, *TO_ONE):
             related.append(condition)
         else:
@@ -159,7 +159,7 @@ def apply_conditions(
     for condition in related:
         if condition.field in TO_ONE:
             key = TO_ONE[condition.field]
-            targets = catalog.table(condition.field).where(_compare(F.col("name"), condition))
+            targets = catalog.table(condition.field).where(compared(F.col("name"), condition))
             datasets = datasets.join(targets.select(F.col("id").alias(key)), key, "left_semi")
         else:
             hits = linked_ids(catalog, condition)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.catalog import Catalog
+from shelfmark.functions.bits import is_set
 from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.tables import stacked
 from shelfmark.sources.folders import kept, listed, put_in_place
@@ -281,9 +282,6 @@ def within(key: Column) -> Column:
 def _without(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``rows`` (with marks) less those whose bit is set."""
     at = F.col("_row") + 1
-    place = F.bitmap_bit_position(at)
     held = bitmaps.withColumnsRenamed({"file": "_file", "bucket": "_bucket", "bitmap": "_bitmap"})
-    byte = F.conv(F.hex(F.substr(F.col("_bitmap"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    gone = F.col("_bitmap").isNotNull() & (F.getbit(byte, (place % 8).cast("int")) == 1)
     joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(held, ["_file", "_bucket"], "left")
-    return joined.where(~gone).select(*rows.columns)
+    return joined.where(~is_set(F.col("_bitmap"), F.bitmap_bit_position(at))).select(*rows.columns)
