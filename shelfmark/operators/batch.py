@@ -22,6 +22,7 @@ from shelfmark.functions.text import grams, split_list
 from shelfmark.operators.numbering import number_rows
 from shelfmark.operators.requests import FIELDS, valid_requests
 from shelfmark.schemas import RELATIONS
+from shelfmark.sources.folders import kept
 
 GRAM_LENGTHS = (2, 3, 4)
 
@@ -282,11 +283,12 @@ def batch_ordered(
     ``requests`` may have ``ordering``, a list as a single search takes it; one
     search asked for in several orders has its hits once per order, named by
     ``order_by`` and ``descending``. An order by an unknown column finds nothing.
-    All hits are sorted and numbered as one table, so a search with very many
-    hits is spread over tasks like the rest.
+    All hits are sorted and numbered as one table, and joined by counted keys, so
+    a search with very many hits is spread over tasks like the rest.
     """
     orders = _asked_orders(requests)
-    hits = batch_search(catalog, requests, small_rows, small_bytes, slots)
+    hits = kept(batch_search(catalog, requests, small_rows, small_bytes, slots), "hits")
+    by_search, by_dataset = (settled(hits.groupBy(key).agg(F.count("*").alias("n"))) for key in ("search_key", "dataset_id"))
     held = catalog.dataset.select(F.col("id").alias("dataset_id"), *_NUMBERS, *_TIMES, *_TEXTS)
 
     def value(names: tuple[str, ...], read=lambda column: column) -> Column:
@@ -304,13 +306,16 @@ def batch_ordered(
         F.when(down, text).alias("_down"),
     ]
     group = ["search_key", "order_by", "descending"]
-    kept = ["pattern", *FIELDS, "dataset_id"]
-    rows = hits.join(orders, "search_key").join(held, "dataset_id").select(*group, *kept, *by)
+    columns = ["pattern", *FIELDS, "dataset_id"]
+    # A search may have a third of all hits, and a dataset be found by a third of all searches.
+    rows = spread_join(hits, orders, "search_key", spread="dataset_id", counts=by_search)
+    rows = spread_join(rows, held, "dataset_id", spread="search_key", counts=by_dataset)
+    rows = rows.select(*group, *columns, *by)
     ordered = rows.orderBy(*group, "_null", "_number", "_up", F.desc("_down"), "dataset_id")
-    numbered = settled(number_rows(ordered.select(*group, *kept), "_place"))
-    first = numbered.groupBy(*group).agg(F.min("_place").alias("_first"))
-    placed = numbered.join(first, group)
-    return placed.select(*group, *kept, (F.col("_place") - F.col("_first")).alias("position"))
+    numbered = kept(number_rows(ordered.select(*group, *columns), "_place"), "numbered")
+    first = settled(numbered.groupBy(*group).agg(F.min("_place").alias("_first"), F.count("*").alias("n")))
+    placed = spread_join(numbered, first.drop("n"), group, spread="_place", counts=first.drop("_first"))
+    return placed.select(*group, *columns, (F.col("_place") - F.col("_first")).alias("position"))
 
 
 def batch_counts(
