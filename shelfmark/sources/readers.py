@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -108,7 +108,7 @@ def read_database(
     *,
     partitions: int,
 ) -> Catalog:
-    """The catalog kept in a relational database, each table read in ``partitions`` ranges of its range column."""
+    """The catalog kept in a relational database, each table read in ``partitions`` equal parts by its range column."""
     columns = {stored.name: stored.range_column for stored in layout.values()}
     return read_layout(lambda name: source.read(spark, name, partitions, columns[name]), layout)
 
@@ -163,26 +163,33 @@ class DatabaseSource:
         partition_column: str = "id",
         fetch_rows: int = 10_000,
     ) -> DataFrame:
-        """A table, read in ``partitions`` ranges of ``partition_column`` side by side.
+        """A table, read in ``partitions`` parts of ``partition_column`` side by side.
 
-        The range is asked of the database first; filters and columns are pushed
-        down to it in either case.
+        The database is asked first where its key is to be cut, so the parts have
+        equally many rows however its values are spread; filters and columns
+        are pushed down to it in either case.
         """
-        base = spark.read.format("jdbc").options(**self.options()).option("fetchsize", fetch_rows)
+        options = self.options()
+        base = spark.read.format("jdbc").options(**options).option("fetchsize", fetch_rows)
         if partitions < 2:
             return base.option("dbtable", table).load()
-        ends = (
-            base.option("query", f"SELECT min({partition_column}) AS lo, max({partition_column}) AS hi FROM {table}")
-            .load()
-            .first()
-        )
-        if ends["lo"] is None:
+        cuts = base.option("query", cuts_query(table, partition_column, partitions)).load().orderBy("cut").collect()
+        if not cuts:
             return base.option("dbtable", table).load()
-        return (
-            base.option("dbtable", table)
-            .option("partitionColumn", partition_column)
-            .option("lowerBound", ends["lo"])
-            .option("upperBound", ends["hi"])
-            .option("numPartitions", partitions)
-            .load()
-        )
+        predicates = range_predicates(partition_column, [row["cut"] for row in cuts[:-1]])
+        given = {key: value for key, value in options.items() if key != "url"} | {"fetchsize": str(fetch_rows)}
+        return spark.read.jdbc(options["url"], table, predicates=predicates, properties=given)
+
+
+def cuts_query(table: str, column: str, parts: int) -> str:
+    """SQL for the largest value of ``column`` in each of ``parts`` equally large parts of the table, at most one row a part."""
+    numbered = f"SELECT {column} AS v, ntile({parts}) OVER (ORDER BY {column}) AS part FROM {table} WHERE {column} IS NOT NULL"
+    return f"SELECT DISTINCT max(v) AS cut FROM ({numbered}) t GROUP BY part"
+
+
+def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
+    """Conditions that share out all rows at ``cuts`` (in order, the last part open); nulls go to the first."""
+    if not cuts:
+        return [f"{column} IS NULL OR {column} IS NOT NULL"]
+    inner = [f"{column} > {low} AND {column} <= {high}" for low, high in zip(cuts, cuts[1:])]
+    return [f"{column} <= {cuts[0]} OR {column} IS NULL", *inner, f"{column} > {cuts[-1]}"]
