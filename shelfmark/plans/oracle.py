@@ -397,6 +397,32 @@ ORACLES: dict[str, str] = {
                   FROM text_hit
            UNION ALL SELECT 'size', NULL, count(size), min(size), max(size) FROM text_hit""",
     ),
+    "facets_in_progress": _sql(
+        "dataset anatomical_area modality ml_task tag dataset_modality dataset_ml_task dataset_tag",
+        """SELECT 'anatomical_area' AS facet, name AS option,
+                  (SELECT count(*) FROM met WHERE anatomical_area_id = a.id AND m AND t AND r AND s) AS n_datasets,
+                  CAST(NULL AS INTEGER) AS low, CAST(NULL AS INTEGER) AS high FROM anatomical_area a
+           UNION ALL SELECT 'modalities', name, (SELECT count(DISTINCT dataset_id) FROM dataset_modality
+                  WHERE modality_id = x.id AND dataset_id IN (SELECT id FROM met WHERE t AND r AND s)), NULL, NULL
+                  FROM modality x
+           UNION ALL SELECT 'ml_tasks', name, (SELECT count(DISTINCT dataset_id) FROM dataset_ml_task
+                  WHERE ml_task_id = x.id AND dataset_id IN (SELECT id FROM met WHERE m AND r AND s)), NULL, NULL
+                  FROM ml_task x
+           UNION ALL SELECT 'tags', name, (SELECT count(DISTINCT dataset_id) FROM dataset_tag
+                  WHERE tag_id = x.id AND dataset_id IN (SELECT id FROM met WHERE m AND t AND r AND s)), NULL, NULL
+                  FROM tag x
+           UNION ALL SELECT 'record_count', NULL, count(record_count), min(record_count), max(record_count)
+                  FROM met WHERE m AND t AND s
+           UNION ALL SELECT 'size', NULL, count(size), min(size), max(size) FROM met WHERE m AND t AND r""",
+        """met AS (
+               SELECT id, record_count, size, anatomical_area_id,
+                      coalesce(record_count >= 25, false) AS r, coalesce(size <= 30, false) AS s,
+                      id IN (SELECT dataset_id FROM dataset_modality JOIN modality y ON y.id = modality_id
+                             WHERE name IN ('NATION_1', 'NATION_2', 'NATION_3')) AS m,
+                      id IN (SELECT dataset_id FROM dataset_ml_task JOIN ml_task y ON y.id = ml_task_id
+                             WHERE name IN ('1-URGENT', '2-HIGH', '5-LOW')) AS t
+               FROM dataset WHERE contains(upper(title), 'RIN') OR contains(upper(description), 'RIN'))""",
+    ),
     "dup_names": _sql("dataset", _count_rows("dataset", "title", "unique title", "dataset") + " HAVING count(*) > 1"),
     "dup_pairs": _sql(
         "member",
@@ -575,6 +601,12 @@ ORACLES: dict[str, str] = {
             _CATALOG_DOCS, "SELECT DISTINCT query_text AS query_id, query_text AS query FROM log", "dataset_id"
         ),
     ),
+    "log_numbered": _sql(
+        "log",
+        """SELECT user_id, query_text, count(*) AS n_rows, (SELECT count(*) FROM log) AS n_ids,
+                  CAST(1 AS BIGINT) AS first_id, (SELECT count(*) FROM log) AS last_id
+           FROM log GROUP BY user_id, query_text""",
+    ),
     "log_filters": _sql("log", "SELECT id, k AS value FROM log"),
     "log_append": _sql(
         "log",

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.text import words
-from shelfmark.operators import gram_index, relevance_index
+from shelfmark.operators import facet_index, gram_index, relevance_index
 from shelfmark.operators.batch import batch_search
+from shelfmark.operators.collections import log_entries
 from shelfmark.operators.stored_changes import delete_rows, save_rows
 from shelfmark.plans import queries
 from shelfmark.schemas import LINK_KEYS, RELATIONS, STRICT_KEYS
 from shelfmark.sources.fixtures import documents, fixture_catalog, logged_requests
 from shelfmark.sources.folders import shared_folder
 from shelfmark.sources.store import Store, Version
+from shelfmark.streaming.numbered import numbered_log, write_batch
 
 # Files per stored table, enough for the test tables to have ranges.
 FILES = 8
@@ -100,6 +102,40 @@ def batch_words_indexed(spark: SparkSession, root: str) -> DataFrame:
     return batch_search(c, requests, matches=_gram_indexed(c)).select("pattern", "dataset_id")
 
 
+def _faceted(c: Catalog) -> Version:
+    """Options indexed while each fifth dataset had another area, and then brought up to date."""
+    changed = F.col("id") % 5 == 0
+    before = c.replace(dataset=c.dataset.withColumn("anatomical_area_id", F.when(~changed, F.col("anatomical_area_id"))))
+    spark = c.dataset.sparkSession
+    version = facet_index.with_facets(Store(spark, shared_folder(spark, "facets")).open(), before, FILES).put()
+    return facet_index.with_changed(version, c, c.dataset.where(changed).select("id")).put()
+
+
+def facets_indexed(spark: SparkSession, root: str) -> DataFrame:
+    c = fixture_catalog(spark, root)
+    return facet_index.facets_in_progress(_faceted(c), c, queries.TEXT)
+
+
+def facets_in_progress(spark: SparkSession, root: str) -> DataFrame:
+    """Each facet of a search without the filters on that facet."""
+    c = fixture_catalog(spark, root)
+    return facet_index.facets_in_progress(_faceted(c), c, queries.TEXT, queries.SIZED)
+
+
+def log_numbered(spark: SparkSession, root: str) -> DataFrame:
+    """The searches logged in four batches, one of them twice: who asked what how often, and the ids given."""
+    asked = fixture_catalog(spark, root).user_search_queries.select(
+        "id", "user_id", F.col("query_text").alias("query"), "filters", "performed_at"
+    )
+    path = shared_folder(spark, "log")
+    for number in (0, 1, 1, 2, 3):
+        write_batch(log_entries(asked.where(F.col("id") % 4 == number).drop("id")), number, path, first_id=1)
+    log = numbered_log(spark, path)
+    ids = log.agg(F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    counts = log.groupBy("user_id", "query_text").agg(F.count("*").alias("n_rows"))
+    return counts.join(F.broadcast(ids))  # a single row
+
+
 # Each query with the one whose result it must have.
 SAME_AS = {
     stored_upsert: "upsert_latest",
@@ -109,4 +145,7 @@ SAME_AS = {
     relevance_indexed: "relevance_documents",
     batch_search_indexed: "batch_search",
     batch_words_indexed: "batch_search_words",
+    facets_indexed: "facets_of_search",
+    facets_in_progress: "facets_in_progress",
+    log_numbered: "log_numbered",
 }
