@@ -94,3 +94,20 @@ def test_rows_are_decided_by_id_and_text(spark):
     kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert len(kept) == 5
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept)) == [(0, a), (0, a), (1, a), (5, b), (7, c)]
+
+
+def test_cells_are_bounded_and_lose_no_link(spark, monkeypatch):
+    """Texts that share a long passage but are no copies, with some true copies among them."""
+    monkeypatch.setattr(op, "HOME_ROWS", 8)
+    monkeypatch.setattr(op, "REPLICA_ROWS", 16)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage + [f"own{k}x{j}" for j in range(22)]) for k in range(90)]
+    texts += [" ".join(passage + [f"own{k}x{j}" for j in range(20)] + ["changed", "end"]) for k in range(0, 90, 3)]
+    groups, pairs = brute_groups(texts)
+    assert pairs == 30
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["group"] for r in op.copies(documents).collect()}
+    first = {}
+    for k in range(len(texts)):
+        first.setdefault(rows[k], k)
+    assert [first[rows[k]] for k in range(len(texts))] == groups
