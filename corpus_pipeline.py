@@ -10,6 +10,7 @@ from shelfmark.llm.common import written
 from shelfmark.llm.decontaminate import decontaminated
 from shelfmark.llm.near_copies import one_of_each
 from shelfmark.llm.secrets import without_secrets
+from shelfmark.llm.simhash import near_duplicates
 from shelfmark.llm.toxicity import trained, without_toxic
 
 
@@ -19,8 +20,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more) stays: that of the smallest doc_id."""
-    return one_of_each(docs)
+    """One document of each group stays: that of the smallest doc_id.
+
+    Groups are what SimHash links (fingerprints that differ in at most 3 bits) and
+    near copies (five-word similarity of 0.8 or more) connect together.
+    """
+    return one_of_each(docs, near_duplicates)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ takes part with its text but is never the smallest id and never dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -237,10 +238,27 @@ def links(found: DataFrame, home_bytes: int = HOME_BYTES) -> DataFrame:
     return checked.where("near").select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(among)
 
 
-def copies(documents: DataFrame, home_bytes: int = HOME_BYTES) -> DataFrame:
-    """doc_id, text_hash, key and group (a key) of every row; near copies share the group."""
+def linked_keys(found: DataFrame, components: DataFrame) -> DataFrame:
+    """Links (a, b) of keys from ``components`` (text_hash and component, the hash of one of its texts)."""
+    keys = written(found.select("text_hash", "key").distinct(), "keys")
+    apart = components.where("text_hash <> component").distinct()
+    ends = apart.join(keys.withColumnRenamed("key", "a"), "text_hash").drop("text_hash")
+    return ends.join(keys.select(F.col("text_hash").alias("component"), F.col("key").alias("b")), "component").select("a", "b")
+
+
+def copies(documents: DataFrame, home_bytes: int = HOME_BYTES, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, text_hash, key and group (a key) of every row; near copies share the group.
+
+    ``also`` adds links of another method: from rows with a doc_id and a text it
+    gives the doc_id and the component_id (a doc_id) of each.
+    """
     found = written(sets(documents), "shingles")
-    roots = written(linked_to(links(found, home_bytes)), "roots").withColumnRenamed("node", "key")
+    pairs = links(found, home_bytes)
+    if also is not None:
+        # Texts are named by their hash here, as a doc_id may be null or have several texts.
+        named = also(documents.select(F.xxhash64("text").alias("doc_id"), "text"))
+        pairs = pairs.unionByName(linked_keys(found, named.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("component"))))
+    roots = written(linked_to(pairs), "roots").withColumnRenamed("node", "key")
     return written(
         found.select("doc_id", "text_hash", "key")
         .join(sent_if_small(roots), "key", "left")
@@ -249,15 +267,17 @@ def copies(documents: DataFrame, home_bytes: int = HOME_BYTES) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``documents`` with one row of each group of near copies: that of the smallest doc_id.
 
+    Groups are what the links of :func:`copies` connect, those of ``also`` among them.
+
     Of a group's rows under that doc_id the first by hash of the text stays, once.
     Different texts under one doc_id are as different as under two. Rows without
     a doc_id stay, as no decision can name them.
     """
     lost, hashed, place = (unused(documents, name) for name in ("_lost", "_hashed", "_place"))
-    named = copies(documents.select("doc_id", "text")).where("doc_id is not null")
+    named = copies(documents.select("doc_id", "text"), also=also).where("doc_id is not null")
     row = F.struct("doc_id", "text_hash")
     first = named.groupBy("group").agg(F.min(row).alias("first"))
     distinct = named.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))

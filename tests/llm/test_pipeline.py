@@ -9,6 +9,7 @@ from test_near_copies import brute_groups
 from test_secrets import op as secrets
 from test_secrets import spans_of
 
+from shelfmark.llm.simhash import near_duplicates
 from shelfmark.llm.toxicity import scored, trained
 
 ROOT = "/root/testdata/sf0.01"
@@ -86,3 +87,24 @@ def test_stages_over_odd_rows(spark, tmp_path):
                 (row,) = docs.where("doc_id = 1").collect()
                 assert (row["text"], row["n_chars"], row["_lost"]) == ("some words and [SECRET] here", 28, "x")
     assert docs.count() == 5
+
+
+def test_near_dedup_follows_simhash_links(spark):
+    """Texts whose fingerprints are near stay together though their five-word sets are not alike."""
+    tails = [" ".join(f"{name}{n}" for n in range(8)) for name in "ab"]
+    rows = [
+        (3, "long " * 400 + tails[0]),
+        (1, "long " * 400 + tails[1]),
+        (2, tails[0]),
+        (None, "long " * 400 + tails[1]),
+        (4, None),
+        (5, " "),
+        (1, "another text under a used number"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fingerprints = {r["doc_id"]: r["fp"] for r in near_duplicates(docs.where("doc_id in (2, 3)")).collect()}
+    assert len(set(fingerprints.values())) == 2
+    groups, _ = brute_groups([text for _, text in rows[:2]])
+    assert groups == [0, 1]  # not near by five-word similarity
+    stay = sorted((tuple(r) for r in pipeline.near_dedup(spark, docs, ROOT).collect()), key=repr)
+    assert stay == sorted((rows[i] for i in (1, 2, 3, 4, 6)), key=repr)
