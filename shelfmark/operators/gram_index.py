@@ -25,22 +25,32 @@ from shelfmark.sources.folders import kept
 from shelfmark.sources.store import Version
 
 BLOCK_IDS = 4096
+MOST_TASKS = 10_000  # that deal with one block or several
 GRAMS = "grams"
 
 
 def add_datasets(version: Version, datasets: DataFrame, files: int | None = None, block_ids: int = BLOCK_IDS) -> Version:
     """The index with the grams of ``datasets``: all of them at first, new and changed ones later."""
-    held = upper_texts(datasets).select("id", F.explode_outer(text_grams(GRAM_LENGTHS)).alias("gram")).where("gram IS NOT NULL")
-    # A gram can be in every text; its list is as many blocks as bound the ids of each.
-    blocks = F.lit(-(-max(datasets.count(), 1) // block_ids))
-    lists = held.groupBy("gram", F.pmod(F.xxhash64("id"), blocks).alias("block")).agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")
-    )
+    lists = listed_grams(datasets, block_ids)
     if GRAMS in version.heads:
         return version.with_rows(GRAMS, lists, files)
     return version.with_table(GRAMS, lists, ["gram", "block"], files)
 
 
+def listed_grams(datasets: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """``gram`` and ``block`` with the ``ids`` of the block that hold the gram, and their number."""
+    texts = kept(datasets.select("id", "title", "description"), "texts")
+    # A gram can be in every text; its list is as many blocks as bound the ids of each.
+    number = -(-max(texts.count(), 1) // block_ids)
+    block = F.pmod(F.xxhash64("id"), F.lit(number)).alias("block")
+    # Texts are dealt by block before their grams are taken, so that the grams, some
+    # hundred per text, are grouped where they come to be, by as many tasks as there are blocks.
+    dealt = upper_texts(texts.select(block, "*")).repartition(min(number, MOST_TASKS), "block")
+    held = dealt.select("block", "id", F.explode_outer(text_grams(GRAM_LENGTHS)).alias("gram")).where("gram IS NOT NULL")
+    lists = held.groupBy("block", "gram").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return lists.select("gram", "block", "n", "ids")
+
+
 def candidates(version: Version, patterns: DataFrame) -> DataFrame:
     """``pattern`` and ``id`` of every dataset that held the rarest gram of a pattern."""
     choices = settled(pattern_grams(patterns))

@@ -87,3 +87,10 @@ def test_empty(spark, tmp_path, requests):
     catalog = catalog_of(spark, [])
     version = gram_index.add_datasets(Store(spark, str(tmp_path)).open(), catalog.dataset)
     assert batch_search(catalog, requests, matches=gram_index.matcher(version, lambda ids: catalog.dataset)).count() == 0
+
+
+def test_grams_are_grouped_where_they_come_to_be(spark):
+    """Texts move, by block; the many grams of each do not."""
+    lists = gram_index.listed_grams(catalog_of(spark, made(200, 1)).dataset, block_ids=16)
+    text = plan(lists)
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange")
