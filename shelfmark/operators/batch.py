@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
 from shelfmark.functions.ordering import DEFAULT_ORDERING
-from shelfmark.functions.sizing import SMALL_BYTES, SMALL_ROWS, sent_if_small, settled
+from shelfmark.functions.sizing import SMALL_BYTES, SMALL_ROWS, is_small, sent_if_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.functions.text import grams, split_list
 from shelfmark.operators.numbering import number_rows
@@ -123,13 +123,14 @@ def text_matches(
     """``(pattern, id, ...)`` for every dataset whose title or description contains a pattern.
 
     With few patterns (``small``: their number and bytes were counted) they go
-    to every task and the texts stay where they are. Otherwise the grams some
+    to every task and the texts move once, to be dealt evenly. Otherwise the grams some
     pattern has are taken from the texts once, with ids only; they are counted,
     joined by shuffle with grams of many texts cut into pieces, and the
     candidates meet the texts once more to be verified, in ``slots`` pieces, as
     a long text may be one of many candidates.
     """
-    texts = upper_texts(datasets)
+    # Texts are dealt anew, as few files of them would mean few tasks for all their grams.
+    texts = upper_texts(datasets.repartition("id"))
     choices = settled(pattern_grams(patterns))
     # explode_outer: a plain explode would take the grams of every text a second
     # time, to test that there are any. The joins drop the null of an empty text.
@@ -219,8 +220,8 @@ def _hits(
     slots: int,
     matches: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, _Load]:
-    """The hits of settled distinct searches, and what was seen of them."""
-    load = _Load.of(searches, small_rows, small_bytes)
+    """The hits of settled distinct searches, with their ``_search`` if they have one, and what was seen of them."""
+    load = _Load.of(searches.drop("_search"), small_rows, small_bytes)
     patterns = searches.select("pattern").distinct()
     if matches is not None:
         found = matches(patterns)
@@ -236,7 +237,8 @@ def _hits(
     for field, relation in RELATIONS.items():
         if f"{field}_list" in load.fields:
             hits = _with_any_link(hits, catalog.table(relation.bridge), relation.key, f"_{field}", slots)
-    return hits.select("search_key", "pattern", *FIELDS, F.col("id").alias("dataset_id")), load
+    numbers = [name for name in ("_search",) if name in searches.columns]
+    return hits.select("search_key", "pattern", *FIELDS, *numbers, F.col("id").alias("dataset_id")), load
 
 
 def _with_any_link(hits: DataFrame, bridge: DataFrame, key: str, wanted: str, slots: int) -> DataFrame:
@@ -284,11 +286,17 @@ def batch_ordered(
     search asked for in several orders has its hits once per order, named by
     ``order_by`` and ``descending``. An order by an unknown column finds nothing.
     All hits are sorted and numbered as one table, and joined by counted keys, so
-    a search with very many hits is spread over tasks like the rest.
+    a search with very many hits is spread over tasks like the rest. Searches and
+    their orders go by numbers meanwhile; what they ask for is put back at the end.
     """
-    orders = _asked_orders(requests)
-    hits = kept(batch_search(catalog, requests, small_rows, small_bytes, slots), "hits")
-    by_search, by_dataset = (settled(hits.groupBy(key).agg(F.count("*").alias("n"))) for key in ("search_key", "dataset_id"))
+    searches = kept(number_rows(distinct_searches(requests), "_search"), "searches")
+    asked = _asked_orders(requests).join(searches, "search_key")
+    orders = kept(number_rows(asked, "_group"), "orders")
+    few = is_small(orders, small_rows, small_bytes)
+    wanted = orders.select("_search", "_group", "order_by", "descending")
+    found = _hits(catalog, searches, small_rows, small_bytes, slots)[0]
+    hits = kept(found.select("_search", "dataset_id"), "hits")
+    by_search, by_dataset = (settled(hits.groupBy(key).agg(F.count("*").alias("n"))) for key in ("_search", "dataset_id"))
     held = catalog.dataset.select(F.col("id").alias("dataset_id"), *_NUMBERS, *_TIMES, *_TEXTS)
 
     def value(names: tuple[str, ...], read=lambda column: column) -> Column:
@@ -305,17 +313,23 @@ def batch_ordered(
         F.when(~down, text).alias("_up"),
         F.when(down, text).alias("_down"),
     ]
-    group = ["search_key", "order_by", "descending"]
-    columns = ["pattern", *FIELDS, "dataset_id"]
     # A search may have a third of all hits, and a dataset be found by a third of all searches.
-    rows = spread_join(hits, orders, "search_key", spread="dataset_id", counts=by_search)
-    rows = spread_join(rows, held, "dataset_id", spread="search_key", counts=by_dataset)
-    rows = rows.select(*group, *columns, *by)
-    ordered = rows.orderBy(*group, "_null", "_number", "_up", F.desc("_down"), "dataset_id")
-    numbered = kept(number_rows(ordered.select(*group, *columns), "_place"), "numbered")
-    first = settled(numbered.groupBy(*group).agg(F.min("_place").alias("_first"), F.count("*").alias("n")))
-    placed = spread_join(numbered, first.drop("n"), group, spread="_place", counts=first.drop("_first"))
-    return placed.select(*group, *columns, (F.col("_place") - F.col("_first")).alias("position"))
+    rows = spread_join(hits, held, "dataset_id", spread="_search", counts=by_dataset)
+    if few:
+        rows = rows.join(F.broadcast(wanted), "_search")
+    else:
+        rows = spread_join(rows, wanted, "_search", spread="dataset_id", counts=by_search)
+    rows = rows.select("_group", "dataset_id", *by)
+    ordered = rows.orderBy("_group", "_null", "_number", "_up", F.desc("_down"), "dataset_id")
+    numbered = number_rows(ordered.select("_group", "dataset_id"), "_place")
+    first = settled(numbered.groupBy("_group").agg(F.min("_place").alias("_first"), F.count("*").alias("n")))
+    group = ["search_key", "order_by", "descending"]
+    named = orders.select("_group", *group, "pattern", *FIELDS).join(first, "_group")
+    if few:
+        placed = numbered.join(F.broadcast(named.drop("n")), "_group")
+    else:
+        placed = spread_join(numbered, named.drop("n"), "_group", spread="_place", counts=first.drop("_first"))
+    return placed.select(*group, "pattern", *FIELDS, "dataset_id", (F.col("_place") - F.col("_first")).alias("position"))
 
 
 def batch_counts(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.sizing import settled
+from shelfmark.sources.folders import kept
 
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its low 33 bits
 
@@ -15,17 +15,18 @@ def number_rows(df: DataFrame, column: str = "position") -> DataFrame:
     """``df`` with 0, 1, 2, ... in ``column``, following partitions and their rows.
 
     Rows are never gathered in one task. Each is marked with its partition and
-    its place there, the marks are fixed by a checkpoint (so a lost executor
-    cannot change them), and one row per partition gives the offsets. Any
+    its place there, the marks are fixed in files (so a lost executor cannot
+    change them, and the rows are computed once), and one row per partition gives the offsets. Any
     distribution of the data is fine, a single hot value included.
     """
-    marked = settled(
+    marked = kept(
         df.withColumns(
             {
                 "_part": F.spark_partition_id(),
                 "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)),
             }
-        )
+        ),
+        "marked",
     )
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     # One row per partition of df, so neither the window's single task nor the

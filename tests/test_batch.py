@@ -195,3 +195,25 @@ def test_order_equals_single_searches(spark):
         single = search(catalog, "in", {"ordering": order} if order else {})
         expected[named, down] = [row["id"] for row in single.collect()]
     assert got == expected
+
+
+def test_ordered_by_shuffle_equals_ordered_by_broadcast(spark):
+    catalog = small_catalog(spark)
+    requests = [(k, query, [name, way]) for k, query in enumerate(("in", "ring")) for name in ("title", "size", "created_at") for way in ("asc", "desc")]
+    df = spark.createDataFrame(requests, "request_id int, query string, ordering array<string>")
+    found = [sorted(map(tuple, batch.batch_ordered(catalog, df, **how).collect()), key=repr) for how in ({}, {"small_rows": 0})]
+    assert found[0] == found[1] and len(found[0]) > 12
+
+
+def test_rows_to_order_carry_no_texts_of_searches(spark, monkeypatch):
+    """What is sorted and numbered names its search by a number."""
+    seen = []
+    number_rows = batch.number_rows
+
+    def numbered(df, column="position"):
+        seen.append(df.columns)
+        return number_rows(df, column)
+
+    monkeypatch.setattr(batch, "number_rows", numbered)
+    batch.batch_ordered(small_catalog(spark), spark.createDataFrame([("ring",)], "query string")).collect()
+    assert seen[-1] == ["_group", "dataset_id"]
