@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.catalog import Catalog
-from shelfmark.functions.bits import is_set
+from shelfmark.functions.bits import bit_words, is_set_in
 from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.tables import stacked
 from shelfmark.sources.folders import kept, listed, put_in_place
 
 ROWS_PER_FILE = 5_000_000
+ROWS_PER_TASK = 1_000_000
 
 ENTRIES = (
     "table string, file string, low string, high string, rows long, deletes string, deleted long, "
@@ -84,8 +85,9 @@ class Store:
         """The entries of ``df`` written to new files.
 
         Rows are dealt by ranges of all order columns, so a hot key is cut into
-        several files. With ``labels``, the name of a column, each label has
-        files of its own instead.
+        several files: ``files`` of them, and more where one would get over
+        ``ROWS_PER_TASK`` rows, so that no task sorts more as a table grows. With
+        ``labels``, the name of a column, each label has files of its own instead.
         """
         folder, names = f"{self.root}/data/{table}/{uuid.uuid4().hex}", head.schema.fieldNames()
         if labels:
@@ -93,7 +95,10 @@ class Store:
         else:
             # The ranges are found by a look at all rows, so they are computed once before.
             rows = kept(df.select(*names), table)
-            dealt = rows.repartitionByRange(*([files] if files else []), *head.order).sortWithinPartitions(*head.order)
+            least = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            parts = -(-rows.count() // ROWS_PER_TASK)
+            number = [max(files or 0, parts)] if files or parts > least else []
+            dealt = rows.repartitionByRange(*number, *head.order).sortWithinPartitions(*head.order)
         writer = dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE)
         (writer.partitionBy(labels) if labels else writer).parquet(folder)
         back = self.spark.read.schema(head.schema).parquet(folder)
@@ -121,7 +126,7 @@ _FILE = ("table", "file", "low", "high", "rows", "deletes", "deleted")
 
 def _file_name() -> Column:
     """Files are named by their path below the folder of all data, so a store can be moved as a whole."""
-    return F.regexp_extract("_metadata.file_path", ".*/data/(.+)$", 1)
+    return F.substring_index("_metadata.file_path", "/data/", -1)
 
 
 @dataclass(frozen=True)
@@ -199,7 +204,9 @@ class Version:
             parts.append(found.select("*", *marks) if marked else found)
         if holed:
             found = spark.read.schema(schema).parquet(*holed).select("*", *marks)
-            left = _without(found, sent_if_small(self.bitmaps(files)))
+            bitmaps = self.bitmaps(files)
+            words = bitmaps.select("file", "bucket", bit_words(F.col("bitmap")).alias("bitmap"))
+            left = _without(found, F.broadcast(words) if is_small(bitmaps) else words)
             parts.append(left if marked else left.drop("_file", "_row"))
         if not parts:
             marks = [T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())] if marked else []
@@ -280,8 +287,8 @@ def within(key: Column) -> Column:
 
 
 def _without(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``rows`` (with marks) less those whose bit is set."""
+    """``rows`` (with marks) less those whose bit is set; bitmaps are given as words."""
     at = F.col("_row") + 1
     held = bitmaps.withColumnsRenamed({"file": "_file", "bucket": "_bucket", "bitmap": "_bitmap"})
     joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(held, ["_file", "_bucket"], "left")
-    return joined.where(~is_set(F.col("_bitmap"), F.bitmap_bit_position(at))).select(*rows.columns)
+    return joined.where(~is_set_in(F.col("_bitmap"), F.bitmap_bit_position(at))).select(*rows.columns)

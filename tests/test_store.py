@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from small import T1, plan, small_catalog
 
+from shelfmark.functions.bits import bit_words, is_set_in
 from shelfmark.operators import changes, stored_changes
 from shelfmark.operators.stored_changes import delete_rows, save_rows
 from shelfmark.schemas import APPLICATION_KEYS, DATASET, LINK_KEYS, RELATIONS, STRICT_KEYS
@@ -224,3 +225,22 @@ def test_links_of_deleted_datasets_are_found_by_range(spark, store):
     holed = after.files("dataset_tag").where("deleted > 0").collect()
     assert len(holed) == 1 and holed[0]["deleted"] == 10
     assert listed(spark, f"{store.root}/nowhere") == []
+
+
+def test_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """No task sorts more rows because a table got larger, whatever number of files was asked for."""
+    monkeypatch.setattr("shelfmark.sources.store.ROWS_PER_TASK", 100)
+    version = Store(spark, str(tmp_path)).open().with_table("numbers", spark.range(1000), ["id"], files=2)
+    files = version.files("numbers").collect()
+    assert len(files) >= 10 and sum(row["rows"] for row in files) == 1000
+    assert sorted(row["id"] for row in version.read("numbers").collect()) == list(range(1000))
+
+
+def test_words_of_bitmaps(spark):
+    rng = random.Random(3)
+    bitmaps = [bytearray(rng.randbytes(n)) for n in (1, 2, 3, 4, 5, 4096)] + [bytearray(), None]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(bitmaps)], "k int, bitmap binary")
+    held = df.select("k", bit_words(F.col("bitmap")).alias("words")).select("k", F.explode(F.sequence(F.lit(0), F.lit(90))).alias("at"), "words")
+    for row in held.select("k", "at", is_set_in(F.col("words"), F.col("at")).alias("bit")).collect():
+        bits, at = bitmaps[row["k"]] or b"", row["at"]
+        assert row["bit"] == (at // 8 < len(bits) and bool(bits[at // 8] >> at % 8 & 1))
