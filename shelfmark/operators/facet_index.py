@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
-from shelfmark.functions.bits import is_set
+from shelfmark.functions.bits import bit_words, is_set, is_set_in
 from shelfmark.functions.sizing import sent_if_small, settled
 from shelfmark.functions.tables import stacked
 from shelfmark.operators.facets import options, value_range
@@ -47,13 +47,14 @@ def _links(catalog: Catalog) -> DataFrame:
 def _cells(links: DataFrame, few: int) -> DataFrame:
     at = F.bitmap_bit_position("id").cast("int")
     # A group has at most one position per id of a bucket, however hot the option is.
-    grouped = links.groupBy("facet", "option", F.bitmap_bucket_number("id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"), F.sort_array(F.collect_set(at)).alias("positions")
-    )
-    sparse = F.size("positions") <= few
-    return grouped.select(
-        "facet", "bucket", "option", F.when(~sparse, F.col("bitmap")).alias("bitmap"), F.when(sparse, F.col("positions")).alias("positions")
-    )
+    cell = ["facet", "bucket", "option"]
+    grouped = links.groupBy("facet", F.bitmap_bucket_number("id").alias("bucket"), "option").agg(F.collect_set(at).alias("positions"))
+    is_sparse = F.size("positions") <= few
+    sparse = grouped.where(is_sparse).select(*cell, F.lit(None).cast("binary").alias("bitmap"), F.sort_array("positions").alias("positions"))
+    # Bitmaps are made where a cell's positions have met: every task would send one of full size otherwise.
+    each = grouped.where(~is_sparse).select(*cell, F.explode(F.col("positions").cast("array<long>")).alias("at"))
+    dense = each.groupBy(*cell).agg(F.bitmap_construct_agg("at").alias("bitmap"))
+    return sparse.unionByName(dense.withColumn("positions", F.lit(None).cast("array<int>")))
 
 
 def with_facets(version: Version, catalog: Catalog, files: int | None = None, few: int = FEW) -> Version:
@@ -117,17 +118,22 @@ def facets_in_progress(version: Version, catalog: Catalog, query: str, params: M
     bits = hits.groupBy("bucket").agg(
         *(F.bitmap_construct_agg(F.when(others(facet), F.col("at"))).alias(f"hits_{facet}") for facet in _TARGETS)
     )
+    bits = bits.select("*", *(bit_words(F.col(f"hits_{facet}")).alias(f"words_{facet}") for facet in _TARGETS))
     bits = sent_if_small(kept(bits, "bits"))
-    own = F.coalesce(*(F.when(F.col("facet") == facet, F.col(f"hits_{facet}")) for facet in _TARGETS))
-    cells = version.read(OPTIONS).join(bits, "bucket").select("facet", "option", "bucket", "bitmap", "positions", own.alias("hits"))
+    def own(kind: str) -> Column:
+        return F.coalesce(*(F.when(F.col("facet") == facet, F.col(f"{kind}_{facet}")) for facet in _TARGETS))
+
+    cells = version.read(OPTIONS).join(bits, "bucket").select(
+        "facet", "option", "bucket", "bitmap", "positions", own("hits").alias("hits"), own("words").alias("words")
+    )
     dense = (
         cells.where("bitmap IS NOT NULL")
         .select("facet", "option", "bucket", F.explode(F.array("bitmap", "hits")).alias("bitmap"))
         .groupBy("facet", "option", "bucket")
         .agg(F.bitmap_count(F.bitmap_and_agg("bitmap")).alias("n"))
     )
-    listed = cells.where("bitmap IS NULL").select("facet", "option", "hits", F.explode("positions").alias("at"))
-    sparse = listed.where(is_set(F.col("hits"), F.col("at"))).groupBy("facet", "option").agg(F.count("*").alias("n"))
+    common = F.size(F.filter("positions", lambda at: is_set_in(F.col("words"), at))).cast("bigint")
+    sparse = cells.where("bitmap IS NULL").select("facet", "option", common.alias("n")).where("n > 0")
     counts = dense.select("facet", "option", "n").unionByName(sparse).groupBy("facet", "option").agg(F.sum("n").alias("n"))
     counts = settled(counts)  # one row per option
     parts = [
