@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.skew import SLOTS, spread_join
 from shelfmark.functions.text import words
-from shelfmark.operators.relevance import K1, B, TOP, best_documents, ranked, summed, word_rows
+from shelfmark.operators.relevance import K1, B, TOP, best_documents, ranked, summed
 from shelfmark.sources.folders import kept
 from shelfmark.sources.store import Version
 
@@ -35,6 +35,7 @@ BLOCK_DOCS = 32
 # Lengths of one block differ by less than a ninth: 8 steps per doubling.
 LENGTH_STEPS = 8
 PUSHED_WORDS = 200
+TASK_WORDS = 4_000_000
 # Scores are rounded to six digits, and two of them compared.
 MARGIN = 2e-6
 
@@ -50,36 +51,52 @@ def add_documents(
     files: int | None = None,
 ) -> Version:
     """The index with ``docs``, whose ids are new to it, as a further segment."""
-    counted = kept(word_rows(docs, text_columns, id_column).groupBy("_doc", "_length", "word").agg(F.count("*").alias("tf")), "counted")
-    itself = counted.where("word IS NULL")
+    found = docs.select(F.col(id_column).alias("_doc"), words(F.concat_ws(" ", *text_columns)).alias("_words"))
+    tokens = kept(found.select("_doc", "_words", F.size("_words").alias("_length")), "tokens")
     step = F.floor(F.log2(F.greatest("_length", F.lit(1))) * LENGTH_STEPS)
     # At most 8 rows per doubling of the length.
-    parts = itself.groupBy(step.alias("_step")).agg(F.ceil(F.sum("tf") / block_docs).alias("_parts"))
+    parts = settled(
+        tokens.groupBy(step.alias("_step")).agg(F.ceil(F.count("*") / block_docs).alias("_parts"), F.sum("_length").alias("_total"))
+    )
     number = 0
     if SEGMENTS in version.heads:
         number = version.read(SEGMENTS).agg(F.max("segment") + 1).scalar()
     place = F.col("_step") * F.lit(1 << 40) + F.pmod(F.xxhash64("_doc"), "_parts")
+    total = parts.agg(F.coalesce(F.sum("_total"), F.lit(0)).alias("n")).first()["n"]
+    least = int(version.store.spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = tokens.withColumn("_step", step).join(F.broadcast(parts), "_step").select("_doc", "_length", "_words", place.alias("block"))
+    postings = listed_words(placed, max(least, -(-total // TASK_WORDS)), number)
+    totals = tokens.agg(
+        F.lit(number).alias("segment"),
+        F.count("*").alias("n_docs"),
+        F.coalesce(F.sum("_length"), F.lit(0)).alias("total_length"),
+    )
+    if SEGMENTS in version.heads:
+        return version.with_rows(POSTINGS, postings, files).with_rows(SEGMENTS, totals)
+    return version.with_table(POSTINGS, postings, ["word", "segment", "block"], files).with_table(SEGMENTS, totals, ["segment"])
+
+
+def listed_words(placed: DataFrame, tasks: int, segment: int) -> DataFrame:
+    """The posting lists of documents (``_doc``, ``_length``, ``_words``) placed in blocks.
+
+    Documents move once, by block; their words are counted and listed where they
+    then are, by as many tasks as bound the words of each.
+    """
     entry = F.struct(F.col("_doc").alias("doc"), F.col("_length").alias("length"), "tf")
-    postings = (
-        counted.where("word IS NOT NULL")
-        .withColumn("_step", step)
-        .join(F.broadcast(parts), "_step")
-        .groupBy("word", F.lit(number).alias("segment"), place.alias("block"))
+    return (
+        placed.repartition(tasks, "block")
+        .select("block", "_doc", "_length", F.explode("_words").alias("word"))
+        .groupBy("block", "_doc", "_length", "word")
+        .agg(F.count("*").alias("tf"))
+        .groupBy("block", "word")
         .agg(
             F.count("*").alias("n"),
             F.max("tf").alias("most"),
             F.min("_length").alias("shortest"),
             F.sort_array(F.collect_list(entry)).alias("docs"),  # of one block
         )
+        .select("word", F.lit(segment).alias("segment"), "block", "n", "most", "shortest", "docs")
     )
-    totals = itself.agg(
-        F.lit(number).alias("segment"),
-        F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"),
-        F.coalesce(F.sum(F.col("_length") * F.col("tf")), F.lit(0)).alias("total_length"),
-    )
-    if SEGMENTS in version.heads:
-        return version.with_rows(POSTINGS, postings, files).with_rows(SEGMENTS, totals)
-    return version.with_table(POSTINGS, postings, ["word", "segment", "block"], files).with_table(SEGMENTS, totals, ["segment"])
 
 
 @dataclass(frozen=True)

@@ -97,3 +97,12 @@ def test_empty_index(spark, tmp_path):
     assert index.indexed_topk(version, queries).count() == 0
     later = index.add_documents(version, spark.createDataFrame([(1, "the lung", None)], DOCS))
     assert rows(index.indexed_topk(later, queries)) == rows(relevance_topk(spark.createDataFrame([(1, "the lung", None)], DOCS), queries))
+
+
+def test_words_are_listed_where_their_documents_are(spark):
+    """Documents move once, by block; their words do not move before they are in lists."""
+    rows = [(k, 3, ["a", "b", f"w{k}"], k % 4) for k in range(20)]
+    lists = index.listed_words(spark.createDataFrame(rows, "_doc long, _length int, _words array<string>, block long"), 3, 7)
+    assert plan(lists).count("Exchange") == 1
+    found = {(r["word"], r["block"]): [d["doc"] for d in r["docs"]] for r in lists.collect()}
+    assert found["a", 1] == [1, 5, 9, 13, 17] and found["w6", 2] == [6] and len(found) == 8 + 20
