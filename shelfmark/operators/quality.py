@@ -19,6 +19,7 @@ from shelfmark.catalog import Catalog
 from shelfmark.functions.sizing import sent_if_small, settled
 from shelfmark.functions.tables import stacked
 from shelfmark.schemas import ForeignKey, Rules
+from shelfmark.sources.folders import kept
 
 
 def _key(columns: Sequence[str]) -> Column:
@@ -58,8 +59,8 @@ def without_duplicates(df: DataFrame, columns: Sequence[str], keep: str = "id")
     order = [F.asc(c) for c in ([keep] if keep in df.columns else []) + rest] or [F.asc(columns[0])]
     # The window keeps one row per value in each task before it shuffles.
     first = W.partitionBy(*columns).orderBy(*order)
-    kept = df.where(whole).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-    return kept.select(*df.columns).unionByName(df.where(~whole))
+    firsts = df.where(whole).withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    return firsts.select(*df.columns).unionByName(df.where(~whole))
 
 
 def row_faults(
@@ -118,15 +119,27 @@ def _row_key(df: DataFrame, columns: Sequence[str]) -> Column:
     return _key(("id",) if "id" in df.columns else columns)
 
 
+def _whole(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
+
+
+def _often(entries: DataFrame, unique: Sequence[int]) -> DataFrame:
+    """Entries with ``n_rows``; of the rules in ``unique`` those that came more than once."""
+    counted = entries.groupBy("rule", "parent", "id", "key").agg(F.count("*").alias("n_rows"))
+    return counted.where(~F.col("rule").isin(*unique) | (F.col("n_rows") > 1))
+
+
 def violations(catalog: Catalog, rules: Rules = schemas.CATALOG_RULES) -> DataFrame:
     """All reports over all tables the catalog has, each table read once.
 
-    Every row names the rules it breaks, the values that must be unique and the
-    rows it refers to; all of that is counted per value in each task. The counts
-    of references meet the ids of their parents in one anti-join.
+    Every row names the rules it breaks, a hash of 64 bits of each value that must
+    be unique and the rows it refers to; all of that is counted per value in each
+    task. The counts of references meet the ids of their parents in one anti-join.
+    Values are looked at themselves only in the tables where a hash came twice, and
+    of them only those with such a hash: two values of one hash are told apart there.
     """
     names: list[tuple[str, str]] = []  # rule and table by number
-    unique: list[int] = []
+    unique: dict[int, tuple[str, Sequence[str]]] = {}
     held = [fk for fk in rules.foreign_keys if fk.child in catalog and fk.parent in catalog]
     parents = list(dict.fromkeys(fk.parent for fk in held))
     nothing = F.lit(None).cast("bigint")
@@ -150,9 +163,8 @@ def violations(catalog: Catalog, rules: Rules = schemas.CATALOG_RULES) -> DataFr
         for column, most in rules.limits.get(table, {}).items():
             found.append(entry(table, f"length {column}", F.length(column) > most, row, none, nothing))
         for columns in keys:
-            whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))
-            unique.append(len(names))
-            found.append(entry(table, _unique_rule(columns), whole, _key(columns), none, nothing))
+            unique[len(names)] = (table, columns)
+            found.append(entry(table, _unique_rule(columns), _whole(columns), F.lit(None).cast("string"), none, F.xxhash64(*columns)))
         for fk in held:
             if fk.child == table:
                 value = F.col(fk.column).cast("bigint")
@@ -163,7 +175,9 @@ def violations(catalog: Catalog, rules: Rules = schemas.CATALOG_RULES) -> DataFr
         return df.select(F.inline_outer(F.array_compact(F.array(*found)))).where("rule IS NOT NULL")
 
     ruled = [t for t in catalog if t in rules.required or t in rules.unique or "id" in catalog.table(t).columns]
-    counted = stacked([entries(t) for t in ruled]).groupBy("rule", "parent", "id", "key").agg(F.count("*").alias("n_rows"))
+    counted = kept(_often(stacked([entries(t) for t in ruled]), list(unique)), "counted")
+    repeated = counted.where(F.col("rule").isin(*unique))
+    counted = counted.where(~F.col("rule").isin(*unique))
     if parents:
         known = stacked(
             [
@@ -176,13 +190,22 @@ def violations(catalog: Catalog, rules: Rules = schemas.CATALOG_RULES) -> DataFr
     def named(place: int) -> Column:
         return F.get(F.array(*(F.lit(name[place]) for name in names)), F.col("rule"))
 
-    broken = ~F.col("rule").isin(*unique) | (F.col("n_rows") > 1)
-    return counted.where(broken).select(
-        named(0).alias("rule"),
-        named(1).alias("table_name"),
-        F.coalesce("key", F.col("id").cast("string")).alias("key"),
-        "n_rows",
-    )
+    reports = [
+        counted.select(
+            named(0).alias("rule"),
+            named(1).alias("table_name"),
+            F.coalesce("key", F.col("id").cast("string")).alias("key"),
+            "n_rows",
+        )
+    ]
+    # One row per rule.
+    for number in sorted(row["rule"] for row in repeated.select("rule").distinct().collect()):
+        table, columns = unique[number]
+        hashes = sent_if_small(repeated.where(F.col("rule") == number).select(F.col("id").alias("_hash")))
+        suspect = catalog.table(table).where(_whole(columns)).select(F.xxhash64(*columns).alias("_hash"), _key(columns).alias("key"))
+        held_by = suspect.join(hashes, "_hash", "left_semi").groupBy("key").agg(F.count("*").alias("n_rows"))
+        reports.append(_report(_unique_rule(columns), table, held_by.where("n_rows > 1"), F.col("key")))
+    return stacked(reports)
 
 
 def blocked_deletes(

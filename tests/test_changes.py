@@ -179,3 +179,18 @@ def test_defaults_and_expiry(spark):
         F.abs(stamped - F.unix_timestamp(F.current_timestamp())).alias("seconds")
     )
     assert clock.first()["seconds"] < 60
+
+
+def test_values_are_looked_at_only_where_a_hash_came_twice(spark, monkeypatch):
+    """Unique values are counted by hash; texts of those that came once are never grouped."""
+    counted = []
+
+    def kept(df, name):
+        counted.append(df.collect())
+        return df
+
+    monkeypatch.setattr(quality, "kept", kept)
+    catalog = small_catalog(spark, tag=[(1, "public"), (2, "public"), (3, "unused")])
+    found = sorted(tuple(r) for r in quality.violations(catalog).collect() if r["rule"] == "unique name")
+    assert found == [("unique name", "tag", "public", 2)]
+    assert len(counted) == 1 and not [row for row in counted[0] if row["key"] in ("public", "unused")]
