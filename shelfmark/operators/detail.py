@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.catalog import Catalog
-from shelfmark.functions.sizing import sent_if_small, settled
+from shelfmark.functions.sizing import is_small, sent_if_small, settled
 from shelfmark.functions.tables import stacked
 from shelfmark.functions.times import iso_utc
 from shelfmark.schemas import RELATIONS, ManyToMany
@@ -29,23 +29,31 @@ DETAIL_COLUMNS = (
     "updated_at",
 )
 
+# Datasets of one task; their lists are what its memory holds.
+PART_ROWS = 5_000
+
 _NO_ITEMS = "array<struct<id:bigint,name:string>>"
 
 
-def _items(catalog: Catalog, relation: ManyToMany, only: DataFrame | None) -> DataFrame:
+def _items(catalog: Catalog, relation: ManyToMany, only: DataFrame | None, parts: int | None = None) -> DataFrame:
     """``(dataset_id, items)``: the named far side of a relation, sorted by id.
 
     The links keep any bucketing on ``dataset_id`` up to the aggregation, which
     then needs no shuffle; the lookup table joins by whatever its size allows.
     """
     bridge = catalog.table(relation.bridge)
-    if only is not None:
-        bridge = bridge.join(only, "dataset_id", "left_semi")
     names = catalog.table(relation.target).select(F.col("id").alias(relation.key), "name")
+    if parts is None:
+        if only is not None:
+            bridge = bridge.join(only, "dataset_id", "left_semi")
+        named = bridge.join(names, relation.key)
+    elif is_small(names):
+        named = bridge.repartition(parts, "dataset_id").join(only, "dataset_id", "left_semi").join(F.broadcast(names), relation.key)
+    else:  # names come first, as a join by shuffle would deal the links anew
+        named = bridge.join(names, relation.key).repartition(parts, "dataset_id").join(only, "dataset_id", "left_semi")
     item = F.struct(F.col(relation.key).alias("id"), F.col("name").alias("name"))
     return (
-        bridge.join(names, relation.key)
-        .groupBy("dataset_id")
+        named.groupBy("dataset_id")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
     )
 
@@ -58,14 +66,23 @@ def detail_view(catalog: Catalog, datasets: DataFrame | None = None) -> DataFram
     and links of other datasets are dropped: in the scan if the ids are few
     enough to send there, else where the links are shuffled to be grouped.
     """
-    rows, only = catalog.dataset, None
+    rows, only, parts = catalog.dataset, None, None
     if datasets is not None:
         rows = settled(datasets)
-        only = sent_if_small(rows.select(F.col("id").alias("dataset_id")))
-    return _with_details(catalog, rows, only)
+        only = rows.select(F.col("id").alias("dataset_id"))
+        parts = _parts(rows)
+        # Dealt once, by as many tasks as the datasets need; the joins below then move nothing.
+        rows, only = (rows.repartition(parts, "id"), only.repartition(parts, "dataset_id")) if parts else (rows, sent_if_small(only))
+    return _with_details(catalog, rows, only, parts)
+
+
+def _parts(rows: DataFrame) -> int | None:
+    """Into how many parts to deal datasets and links, so that a task has at most ``PART_ROWS`` datasets; none if the usual number does."""
+    parts = -(-rows.count() // PART_ROWS)
+    return parts if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def _with_details(catalog: Catalog, rows: DataFrame, only: DataFrame | None) -> DataFrame:
+def _with_details(catalog: Catalog, rows: DataFrame, only: DataFrame | None, parts: int | None) -> DataFrame:
     areas = catalog.anatomical_area.select(
         F.col("id").alias("anatomical_area"), F.col("name").alias("anatomical_area_name")
     )
@@ -73,7 +90,7 @@ def _with_details(catalog: Catalog, rows: DataFrame, only: DataFrame | None) ->
         areas, "anatomical_area", "left"
     )
     for field, relation in RELATIONS.items():
-        items = _items(catalog, relation, only).select(
+        items = _items(catalog, relation, only, parts).select(
             F.col("dataset_id").alias("id"), F.col("items").alias(field)
         )
         detail = detail.join(items, "id", "left").withColumn(

@@ -128,3 +128,15 @@ def test_facets(spark, catalog):
 
     twice = catalog.replace(dataset_tag=catalog.dataset_tag.union(catalog.dataset_tag))
     assert counts(facets(twice, pairs_unique=False))["tags", "public"] == (3, None, None)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_details_of_many_are_dealt_in_more_parts(spark, monkeypatch, few):
+    """A task has a bounded number of datasets, whatever the usual number of parts is."""
+    catalog = small_catalog(spark)
+    monkeypatch.setattr("shelfmark.operators.detail.PART_ROWS", 1)
+    monkeypatch.setattr("shelfmark.operators.detail.is_small", lambda df: few)
+    view = detail_view(catalog, catalog.dataset)
+    dealt = [line for line in plan(view).split("\n") if "hashpartitioning(dataset_id" in line]
+    assert len(dealt) >= 3 and all(", 5)" in line for line in dealt)
+    assert sorted(map(str, view.collect())) == sorted(map(str, detail_view(catalog).collect()))
